@@ -25,12 +25,14 @@ from .common import pick, table, utf8
 
 BLOCK = 64
 RATE = 8000
-FRAME = 1024
-HOP = 512
+FRAME = 512
+HOP = 256
 #: Frequency bands (bin ranges) that give one peak each per frame.
-BANDS = ((8, 32), (32, 96), (96, 224), (224, 513))
-#: Each peak is paired with the strongest peaks of so many following frames.
-FAN_OUT = 3
+BANDS = ((4, 24), (24, 80), (80, 257))
+#: Each peak is paired with the next band's peak in its own frame and in so many following frames.
+FAN_OUT = 1
+#: A peak stands out if its power is over so many times its band's mean.
+STANDS_OUT = 2.0
 #: Frames transformed at once, so that memory stays bounded for very long payloads.
 FRAMES_AT_ONCE = 4096
 _WINDOW = np.hanning(FRAME).astype(np.float64)
@@ -77,7 +79,7 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
             band = power[:, lo:hi]
             best = band.argmax(axis=1)
             top[:, k] = best + lo
-            good[:, k] = band[rows, best] > 4.0 * band.mean(axis=1) + 1e-6
+            good[:, k] = band[rows, best] > STANDS_OUT * band.mean(axis=1) + 1e-6
         bins.append(top)
         strong.append(good)
     return np.concatenate(bins), np.concatenate(strong)
@@ -88,10 +90,10 @@ def landmarks(samples: bytes) -> np.ndarray:
     top, good = peaks(samples)
     frame, band = np.nonzero(good)
     out = []
-    for distance in range(1, FAN_OUT + 1):
-        keep = frame + distance < len(top)
+    for distance in range(FAN_OUT + 1):
+        keep = (frame + distance < len(top)) & ((band < len(BANDS) - 1) | (distance > 0))
         f, b = frame[keep], band[keep]
-        partner = (b + distance) % len(BANDS)
+        partner = (b + 1) % len(BANDS)
         both = good[f + distance, partner]
         f, b, partner = f[both], b[both], partner[both]
         out.append(np.stack([f, top[f, b], top[f + distance, partner], np.full(len(f), distance)], axis=1))
