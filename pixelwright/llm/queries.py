@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media
+from . import bpe, langid, media, packing
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_media_columns": media.op2,
         "op6_bpe_round_trip": bpe.op6,
+        "op8_packing": packing.op8,
+        "op10_language_id": langid.op10,
     }
 
 
