@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, media, packing, quality, token_counts
+from . import bpe, html_text, langid, licenses, media, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_counts": token_counts.op1,
         "op2_media_columns": media.op2,
         "op3_quality_classifier": quality.op3,
+        "op4_license_scan": licenses.op4,
         "op5_html_text": html_text.op5,
         "op6_bpe_round_trip": bpe.op6,
         "op8_packing": packing.op8,
@@ -22,4 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_license_scan": licenses.ORACLE,
+    }
