@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, langid, licenses, media, packing, quality, token_counts
+from . import bpe, html_text, iblt, langid, licenses, media, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_license_scan": licenses.op4,
         "op5_html_text": html_text.op5,
         "op6_bpe_round_trip": bpe.op6,
+        "op7_document_fingerprints": iblt.op7,
         "op8_packing": packing.op8,
         "op10_language_id": langid.op10,
     }
