@@ -41,7 +41,6 @@ RUN = 1 << 9
 #: The split pattern of this vocabulary (a fixed value, as in its file).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SURE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
-_LONG_RUN = regex.compile(rf"[^ \t\n\r]{{{RUN},}}|\s{{{RUN},}}")
 _NO_IDS = np.empty(0, np.uint32)
 
 
@@ -52,6 +51,11 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _has_long_run(text: str) -> bool:
+    """Whether RUN characters follow each other that are all white space or none of them."""
+    return max(map(len, text.split()), default=0) >= RUN or regex.search(rf"\s{{{RUN}}}", text) is not None
+
+
 class ByteBpe:
     """A byte-level BPE vocabulary file with its encoder and decoder."""
 
@@ -88,7 +92,7 @@ class ByteBpe:
         return np.concatenate(parts) if parts else _NO_IDS
 
     def _plain(self, text: str) -> np.ndarray:
-        if len(text) <= self.leaf and not (len(text) > RUN and _LONG_RUN.search(text)):
+        if len(text) <= min(self.leaf, 8 * RUN) or (len(text) <= self.leaf and not _has_long_run(text)):
             return self._leaf(text)
         return self._tree(text)
 
@@ -115,7 +119,7 @@ class ByteBpe:
         stack = [(start, end)]
         while stack:
             a, b = stack.pop()
-            if b - a <= self.leaf and not (b - a > RUN and _LONG_RUN.search(text, a, b)):
+            if b - a <= self.leaf and not (b - a > RUN and _has_long_run(text[a:b])):
                 cuts.append(b)
                 continue
             middle = (a + b) // 2
