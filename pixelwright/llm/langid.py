@@ -32,10 +32,11 @@ from .common import crc_mod, pick, table, utf8
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams; n-gram lengths in bytes.
-BUCKETS = 1 << 14
+BUCKET_BITS = 13
+BUCKETS = 1 << BUCKET_BITS
 LENGTHS = (1, 2, 3, 4)
 #: At most so many labelled rows are used to fit the classifiers.
-FIT_ROWS = 6000
+FIT_ROWS = 2400
 STEPS = 300
 #: A text is ambiguous if its score is below this.
 AMBIGUOUS = 0.4
@@ -58,7 +59,7 @@ def grams(data: bytes) -> Iterator[np.ndarray]:
             h = h[: len(b) - n + 1] * _PRIMES[0] + b[n - 1 :] * _PRIMES[1] + np.uint32(n)
             if n in LENGTHS:
                 x = h[max(0, before - n + 1) :]
-                yield (x ^ (x >> np.uint32(15))) * _PRIMES[2] >> np.uint32(32 - 14)
+                yield (x ^ (x >> np.uint32(15))) * _PRIMES[2] >> np.uint32(32 - BUCKET_BITS)
 
 
 def counts(data: bytes) -> np.ndarray:
