@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, iblt, langid, licenses, media, packing, quality, token_counts
+from . import bpe, html_text, iblt, jaccard_join, langid, licenses, media, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -19,6 +19,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bpe_round_trip": bpe.op6,
         "op7_document_fingerprints": iblt.op7,
         "op8_packing": packing.op8,
+        "op9_jaccard_join": jaccard_join.op9,
         "op10_language_id": langid.op10,
     }
 
