@@ -16,23 +16,31 @@ from ..functions.exprs import clamp16, idiv, trunc
 At = Callable[[int, int], Column]
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: the planner copies an expression into each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def apply(df: DataFrame, rule: Callable[[At, Column, Column], Column], edge: str = "replicate", column: str = "data") -> DataFrame:
     """New value of each pixel by rule(at, y, x); at(dy, dx) reads a neighbour under the edge policy."""
     h, w = F.col("h"), F.col("w")
 
-    def pixel(_: Column, i: Column) -> Column:
-        y, x = F.floor(i / w), i % w
+    def made(data: Column) -> Column:
+        def pixel(_: Column, i: Column) -> Column:
+            y, x = F.floor(i / w), i % w
+
+            def at(dy: int, dx: int) -> Column:
+                yy, xx = y + dy, x + dx
+                if edge == "replicate":
+                    return F.get(data, F.least(F.greatest(yy, F.lit(0)), h - 1) * w + F.least(F.greatest(xx, F.lit(0)), w - 1))
+                inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
+                return F.when(inside, F.get(data, yy * w + xx)).otherwise(F.lit(0))
 
-        def at(dy: int, dx: int) -> Column:
-            yy, xx = y + dy, x + dx
-            if edge == "replicate":
-                return F.get(column, F.least(F.greatest(yy, F.lit(0)), h - 1) * w + F.least(F.greatest(xx, F.lit(0)), w - 1))
-            inside = (yy >= 0) & (yy < h) & (xx >= 0) & (xx < w)
-            return F.when(inside, F.get(column, yy * w + xx)).otherwise(F.lit(0))
+            return rule(at, y, x)
 
-        return rule(at, y, x)
+        return F.transform(data, pixel)
 
-    return df.withColumn(column, F.transform(column, pixel))
+    return df.withColumn(column, once(F.col(column), made))
 
 
 def inside(y: Column, x: Column, r: int) -> Column:
@@ -115,12 +123,12 @@ def bilinear_demosaic(df: DataFrame, color: str) -> DataFrame:
     plane = apply(df, rule, "replicate")
     h, w = F.col("h"), F.col("w")
 
-    def border(_: Column, i: Column) -> Column:
+    def border(data: Column, i: Column) -> Column:
         y, x = F.floor(i / w), i % w
         yy, xx = F.least(F.greatest(y, F.lit(1)), h - 2), F.least(F.greatest(x, F.lit(1)), w - 2)
-        return F.get("data", yy * w + xx)
+        return F.get(data, yy * w + xx)
 
-    return plane.withColumn("data", F.transform("data", border))
+    return plane.withColumn("data", once(F.col("data"), lambda data: F.transform(data, lambda _, i: border(data, i))))
 
 
 def rotate_180(df: DataFrame) -> DataFrame:
@@ -129,7 +137,8 @@ def rotate_180(df: DataFrame) -> DataFrame:
 
 def transpose(df: DataFrame) -> DataFrame:
     h, w = F.col("h"), F.col("w")
-    return df.withColumn("data", F.transform("data", lambda _, i: F.get("data", (i % h) * w + F.floor(i / h)))).select(*[
+    turned = once(F.col("data"), lambda data: F.transform(data, lambda _, i: F.get(data, (i % h) * w + F.floor(i / h))))
+    return df.withColumn("data", turned).select(*[
         F.col("w").alias("h") if c == "h" else F.col("h").alias("w") if c == "w" else F.col(c) for c in df.columns
     ])
 
@@ -138,8 +147,8 @@ def drop_first(df: DataFrame, rows: int = 0, columns: int = 0) -> DataFrame:
     """Shift a frame up and left by single rows or columns; the freed edge copies its second neighbour inward."""
     h, w = F.col("h"), F.col("w")
 
-    def pixel(_: Column, i: Column) -> Column:
+    def pixel(data: Column, i: Column) -> Column:
         y, x = F.floor(i / w) + rows, i % w + columns
-        return F.get("data", F.when(y >= h, h - 2).otherwise(y) * w + F.when(x >= w, w - 2).otherwise(x))
+        return F.get(data, F.when(y >= h, h - 2).otherwise(y) * w + F.when(x >= w, w - 2).otherwise(x))
 
-    return df.withColumn("data", F.transform("data", pixel))
+    return df.withColumn("data", once(F.col("data"), lambda data: F.transform(data, lambda _, i: pixel(data, i))))

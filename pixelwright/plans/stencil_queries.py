@@ -1,0 +1,198 @@
+"""Stencils, demosaic and window operators over frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..functions import exprs as X
+from ..operators import hdr, kernels, repair
+from ..operators import stencil as S
+from .common import DENSE, at, at_zero, clamp, trunc, with_dense, with_px, with_rgb
+from .registry import query
+
+PDQ = "SELECT frame, y, x, {} AS val FROM pd"
+
+
+def _mean(cells):
+    return f"(({' + '.join(cells)}) // {len(cells)})"
+
+
+@query("w1_box_blur", f"WITH {DENSE}, h AS (SELECT frame, y, x, {_mean([at(0, k) for k in (-1, 0, 1)])} AS val FROM pd), hd AS (SELECT frame, list(val ORDER BY y, x) AS a FROM h GROUP BY frame) SELECT h.frame, h.y, h.x, {_mean([at(k, 0).replace('y +', 'h.y +').replace('x +', 'h.x +') for k in (-1, 0, 1)])} AS val FROM h JOIN hd USING (frame)")
+def w1(spark, sf):
+    return T.to_long(S.box_blur(T.frames(spark, sf), 1))
+
+
+_cells = "list_sort([" + ", ".join(at(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)) + "])[5]"
+
+
+@query("w2_median_filter", with_dense(PDQ.format(f"CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN {trunc(f'{_cells} * CAST(0.75 AS DOUBLE) + val * CAST(0.25 AS DOUBLE)')} ELSE val END")))
+def w2(spark, sf):
+    return T.to_long(S.median_filter(T.frames(spark, sf), 3, 0.75))
+
+
+def _weighted(weights):
+    return " + ".join(f"{at_zero(dy, dx)} * ({k})" for (dy, dx), k in weights.items())
+
+
+_gh = _weighted({(dy, dx): dx * (2 - abs(dy)) for dy in (-1, 0, 1) for dx in (-1, 1)})
+_gv = _weighted({(dy, dx): dy * (2 - abs(dx)) for dx in (-1, 0, 1) for dy in (-1, 1)})
+
+
+@query("w3_sobel", with_dense(f"SELECT frame, y, x, {_gh} AS gx, {_gv} AS gy, CAST(floor(sqrt(CAST(({_gh}) * ({_gh}) + ({_gv}) * ({_gv}) AS DOUBLE))) AS BIGINT) AS magnitude FROM pd"))
+def w3(spark, sf):
+    f = T.frames(spark, sf)
+    both = S.sobel(f.withColumn("raw", F.col("data")), "h").withColumnRenamed("data", "gx")
+    both = S.sobel(both.withColumnRenamed("raw", "data"), "v")
+    d = T.to_long(both.withColumn("data", F.arrays_zip(F.col("gx"), F.col("data").alias("gy"))))
+    gx, gy = F.col("val.gx"), F.col("val.gy")
+    return d.select("frame", "y", "x", gx.alias("gx"), gy.alias("gy"), F.floor(F.sqrt((gx * gx + gy * gy).cast("double"))).alias("magnitude"))
+
+
+_s = 0.5**1.5 * 0.55
+_sx, _sy = _s * (1 - 0.2), _s * (1 + 0.2)
+
+
+@query("w4_sharpen", with_dense(PDQ.format(clamp(trunc(f"val * CAST({1 + 2 * _sx + 2 * _sy!r} AS DOUBLE)") + "".join(" - " + trunc(f"{at(*o)} * CAST({k!r} AS DOUBLE)") for o, k in (((-1, 0), _sy), ((1, 0), _sy), ((0, -1), _sx), ((0, 1), _sx)))))))
+def w4(spark, sf):
+    return T.to_long(S.sharpen(T.frames(spark, sf), 0.5, 0.2))
+
+
+@query("w5_horizontal_gradient", with_px("SELECT frame, y, x, coalesce(lag(val, 2) OVER w - lead(val, 2) OVER w, 0) AS val FROM px WINDOW w AS (PARTITION BY frame, y ORDER BY x)"))
+def w5(spark, sf):
+    return T.to_long(S.horizontal_gradient(T.frames(spark, sf)))
+
+
+def _bilinear(color: str) -> str:
+    cross, corners = _mean([at(-1, 0), at(1, 0), at(0, -1), at(0, 1)]), _mean([at(-1, -1), at(-1, 1), at(1, -1), at(1, 1)])
+    rows, cols = _mean([at(0, -1), at(0, 1)]), _mean([at(-1, 0), at(1, 0)])
+    if color == "g":
+        return f"CASE WHEN y % 2 = x % 2 THEN {cross} ELSE val END"
+    a, b = (0, 1) if color == "r" else (1, 0)
+    return f"CASE WHEN y % 2 = {a} AND x % 2 = {a} THEN val WHEN y % 2 = {a} THEN {rows} WHEN x % 2 = {b} THEN {corners} ELSE {cols} END"
+
+
+@query("w10_bilinear_demosaic", with_dense(f"SELECT p.frame, p.y, p.x, q.r, q.g, q.b FROM px p JOIN (SELECT frame, y, x, {', '.join(f'{_bilinear(c)} AS {c}' for c in 'rgb')} FROM pd) q ON q.frame = p.frame AND q.y = least(greatest(p.y, 1), 6) AND q.x = least(greatest(p.x, 1), 6)"))
+def w10(spark, sf):
+    f = T.frames(spark, sf).withColumn("raw", F.col("data"))
+    planes = f
+    for c in "rgb":
+        planes = S.bilinear_demosaic(planes.withColumn("data", F.col("raw")), c).withColumn(c, F.col("data"))
+    return T.to_long(planes.withColumn("data", F.arrays_zip("r", "g", "b"))).select("frame", "y", "x", "val.*")
+
+
+@query("w11_nearest_demosaic", with_px("SELECT p.frame, p.y, p.x, q.r, q.g, q.b FROM px p JOIN (SELECT frame, y // 2 AS qy, x // 2 AS qx, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN val END) AS r, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN val END) AS g, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN val END) AS b FROM px GROUP BY ALL) q ON q.frame = p.frame AND q.qy = p.y // 2 AND q.qx = p.x // 2"))
+def w11(spark, sf):
+    f = T.frames(spark, sf)
+    w = F.col("w")
+
+    def quad(data, i):
+        y, x = F.floor(i / w), i % w
+        o = (y - y % 2) * w + x - x % 2
+        return F.struct(F.get(data, o).alias("r"), F.get(data, o + 1).alias("g"), F.get(data, o + w + 1).alias("b"))
+
+    return T.to_long(f.withColumn("data", S.once(F.col("data"), lambda data: F.transform(data, lambda _, i: quad(data, i))))).select("frame", "y", "x", "val.*")
+
+
+_n8 = [at(dy, dx) for dy in (-2, 0, 2) for dx in (-2, 0, 2) if (dy, dx) != (0, 0)]
+_n8s = f"list_sort([{', '.join(_n8)}])"
+_lg = lambda e: trunc(f"log2(CAST(greatest(1, {e} - 2048) AS DOUBLE)) * 65536.0")
+
+
+@query("w8_f3_bad_pixels", with_dense(f"SELECT frame, y, x, val, CASE WHEN val < 2048 - 96 THEN 'cold' WHEN val > 2048 + 96 AND {_lg('val')} - {_lg(f'{_n8s}[7]')} > 4096 THEN 'hot' END AS kind FROM pd WHERE y BETWEEN 2 AND 5 AND x BETWEEN 2 AND 5 AND (val < 2048 - 96 OR (val > 2048 + 96 AND {_lg('val')} - {_lg(f'{_n8s}[7]')} > 4096))"))
+def w8(spark, sf):
+    """Cold: below the dark range. Hot: far above the second largest of eight same-colour neighbours (threshold 1/16 EV here)."""
+    return repair.bad_pixels(T.frames(spark, sf), black=2048, threshold=4096)
+
+
+_map = "((x * 7 + y * 3) % 11 = 0)"
+_same = [at(-2, 0), at(2, 0), at(0, -2), at(0, 2)]
+
+
+@query("w7_j2_repair_listed_pixels", with_dense(f"SELECT frame, y, x, CASE WHEN {_map} THEN {_mean(_same)} ELSE val END AS val, {_map} AS repaired FROM pd"))
+def w7(spark, sf):
+    """Pixels of a map get the mean of their four same-colour neighbours; the map is a broadcast semi-join on position."""
+    cells = [(y, x) for y in range(8) for x in range(8) if (x * 7 + y * 3) % 11 == 0]
+    pixel_map = spark.createDataFrame(cells, "y long, x long")
+    return repair.repair_listed(T.frames(spark, sf), pixel_map)
+
+
+@query("w7_median_repair", with_dense(f"SELECT frame, y, x, CASE WHEN {_map} THEN list_sort([{', '.join(_n8)}])[4] ELSE val END AS val FROM pd"))
+def w7m(spark, sf):
+    return T.to_long(repair.same_color_median(T.frames(spark, sf), lambda y, x: (x * 7 + y * 3) % 11 == 0))
+
+
+_e = lambda e: f"(log2(CAST(greatest(1, {e} - 2048) AS DOUBLE)))"
+
+
+@query("w17_dual_exposure_interpolation", with_dense(f"SELECT frame, y, x, CASE WHEN y % 4 < 2 THEN val ELSE {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} END AS bright, CASE WHEN y % 4 < 2 THEN {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} ELSE val END AS dark FROM pd"))
+def w17(spark, sf):
+    return hdr.interpolate_rows(T.frames(spark, sf), black=2048)
+
+
+_br = f"(CASE WHEN y % 4 < 2 THEN val ELSE {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} END)"
+_dk = f"(CASE WHEN y % 4 < 2 THEN {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} ELSE val END)"
+_k = f"(round((1.0 - cos(3.141592653589793 * least(greatest({_e(_br)} - 10.0, 0.0), 3.0) / 3.0)) / 2.0, 9))"
+
+
+@query("w20_w21_exposure_blend", with_dense(f"SELECT frame, y, x, round({_k}, 6) + 0.0 AS k, {trunc(f'2048.0 + round(pow(2.0, {_e(_br)} * (1.0 - {_k}) + {_e(_dk)} * {_k}), 4)')} AS val FROM pd"))
+def w20(spark, sf):
+    """Rows interpolated for both exposures, then mixed in EV by a cosine curve of the bright one."""
+    return hdr.blend(hdr.interpolate_rows(T.frames(spark, sf), black=2048), black=2048, start=10.0, overlap=3.0)
+
+
+@query("w22_temporal_mean", with_px("SELECT frame, y, x, CAST(sum(val) OVER w AS BIGINT) // count(*) OVER w AS mean3, (val + coalesce(lag(val) OVER v, val)) // 2 AS blend FROM px WINDOW w AS (PARTITION BY y, x ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), v AS (PARTITION BY y, x ORDER BY frame)"))
+def w22(spark, sf):
+    """Mean of three frames and blend of two, per place. A place's series is the window's partition."""
+    v = Window.partitionBy("y", "x").orderBy("frame")
+    w = v.rowsBetween(-2, 0)
+    return T.px(spark, sf).select("frame", "y", "x", X.idiv(F.sum("val").over(w), F.count("val").over(w)).alias("mean3"), X.idiv(F.col("val") + F.coalesce(F.lag("val").over(v), F.col("val")), 2).alias("blend"))
+
+
+@query("w6_edge_aware_blur")
+def w6(spark, sf):
+    """Medians over runs that end at edges: the extent depends on the data, so one Arrow kernel per frame."""
+    return T.to_long(kernels.edge_aware_blur(T.frames(spark, sf), threshold=900, reach=25))
+
+
+@query("w9_chroma_smooth")
+def w9(spark, sf):
+    return T.to_long(kernels.chroma_smooth(T.frames(spark, sf), black=2048, white=15000))
+
+
+@query("w14_recursive_bilateral")
+def w14(spark, sf):
+    return T.to_long(kernels.recursive_bilateral(T.frames(spark, sf), sigma_space=0.0005, sigma_range=0.15, top=16383))
+
+
+@query("w16_edge_clamp")
+def w16(spark, sf):
+    return T.to_long(kernels.edge_clamp(T.frames(spark, sf), threshold=1500))
+
+
+@query("w19_alias_map")
+def w19(spark, sf):
+    return T.to_long(kernels.alias_map(T.frames(spark, sf)))
+
+
+@query("w23_resize")
+def w23(spark, sf):
+    return T.to_long(kernels.resize(T.frames(spark, sf), 5, 6))
+
+
+@query("a22_color_binning", with_px("SELECT frame, y // 4 AS y, x // 4 AS x, CAST((y % 2) * 2 + x % 2 AS BIGINT) AS plane, CAST(sum(val) AS BIGINT) // 4 AS binned, max(CASE WHEN y % 4 < 2 AND x % 4 < 2 THEN val END) AS skipped FROM px GROUP BY ALL"))
+def a22(spark, sf):
+    """Same-colour binning against line skipping."""
+    y, x = F.col("y"), F.col("x")
+    g = T.px(spark, sf).groupBy("frame", X.idiv(y, 4).alias("y"), X.idiv(x, 4).alias("x"), ((y % 2) * 2 + x % 2).alias("plane"))
+    return g.agg(X.idiv(F.sum("val"), 4).alias("binned"), F.max(F.when((y % 4 < 2) & (x % 4 < 2), F.col("val"))).alias("skipped")).select("frame", "y", "x", "plane", "binned", "skipped")
+
+
+@query("grade_pipeline", with_rgb("SELECT frame, y, x, " + ", ".join(clamp(f"{'((4 * r1 + 11 * g1 + b1) >> 4)'} + " + trunc(f"({c}1 - ((4 * r1 + 11 * g1 + b1) >> 4)) * CAST(1.2 AS DOUBLE)")) + f" AS {c}" for c in "rgb") + " FROM (SELECT frame, y, x, " + ", ".join(clamp(trunc(f"65535.0 * round(pow({c}0 / CAST(65535 AS DOUBLE), {1 / 2.2!r}), 6)")) + f" AS {c}1" for c in "rgb") + " FROM (SELECT frame, y, x, " + ", ".join(clamp(trunc(f"{c} * CAST({g!r} AS DOUBLE)")) + f" AS {c}0" for c, g in (("r", 1.9), ("g", 1.0), ("b", 1.4))) + " FROM rgb))"))
+def grade(spark, sf):
+    """The ordered stage builder: neutral settings add no step, the rest is one projection."""
+    from ..operators import grade as G
+
+    settings = G.Settings(gains=(1.9, 1.0, 1.4), gamma=2.2, saturation=1.2, vibrance=1.0, toning=0.0)
+    return G.grade(T.rgb(spark, sf), settings)

@@ -50,14 +50,16 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colour frames of 16-bit components, one pixel per RGGB quad, made within each frame's row."""
     f = frames(spark, sf_dir)
     half = SIDE // 2
-    at = lambda dy, dx: lambda q: F.get("data", (F.floor(q / half) * 2 + dy) * SIDE + (q % half) * 2 + dx)
-    quad = F.transform(
-        F.sequence(F.lit(0), F.lit(half * half - 1)),
-        lambda q: F.struct(
-            (at(0, 0)(q) * 4).alias("r"), (idiv(at(0, 1)(q) + at(1, 0)(q), 2) * 4).alias("g"), (at(1, 1)(q) * 4).alias("b")
-        ),
-    )
-    d = f.select("frame", F.posexplode(quad).alias("pos", "c"))
+
+    def quads(data):
+        def quad(q):
+            at = lambda dy, dx: F.get(data, (F.floor(q / half) * 2 + dy) * SIDE + (q % half) * 2 + dx)
+            return F.struct((at(0, 0) * 4).alias("r"), (idiv(at(0, 1) + at(1, 0), 2) * 4).alias("g"), (at(1, 1) * 4).alias("b"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(half * half - 1)), quad)
+
+    made = F.get(F.transform(F.array("data"), quads), F.lit(0))  # binds the frame once
+    d = f.select("frame", F.posexplode(made).alias("pos", "c"))
     pos = F.col("pos").cast("long")
     return d.select("frame", idiv(pos, half).alias("y"), F.pmod(pos, F.lit(half)).alias("x"), "c.*")
 
