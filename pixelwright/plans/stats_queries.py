@@ -1,0 +1,258 @@
+"""Aggregates: histograms, medians, noise, fits, scopes, audio envelopes."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from .. import tables as T
+from ..functions import exprs as X
+from ..operators import stats as A
+from .common import PX, RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
+from .registry import query
+
+_b, _w = 2048 << 2, int((15000 << 2) * 0.993)
+LEVEL = clamp(trunc(f"(val * 4 - {_b}) * CAST(65535 AS DOUBLE) / CAST({_w - _b} AS DOUBLE)"))
+_flag = f"""lv AS (SELECT frame, y, x, {LEVEL} AS v FROM px),
+h AS (SELECT frame, v >> 6 AS bin, count(*) AS n FROM lv GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY frame ORDER BY bin ROWS UNBOUNDED PRECEDING) AS cum, sum(n) OVER (PARTITION BY frame) AS total FROM h),
+m AS (SELECT frame, min(bin) AS median FROM c WHERE cum > total // 2 GROUP BY frame)
+SELECT frame, y, x, m.median, {r6('log2(512.0 / greatest(m.median, 1))')} AS correction, {clamp(trunc('v * (512.0 / greatest(m.median, 1))'))} AS val FROM lv JOIN m USING (frame)"""
+
+
+@query("a27_deflicker", f"WITH {PX}, {_flag}")
+def a27(spark, sf):
+    """Levels, histogram, upper median and a per-frame gain, joined back to the pixels.
+
+    A median per frame is one small row, but their number grows with the clips, so the join is
+    left to the planner; both sides are partitioned by frame already.
+    """
+    lv = T.px(spark, sf).select("frame", "y", "x", X.levels(F.col("val") * 4, 2048, 15000).alias("v"))
+    med = A.upper_median(A.histogram(lv, "frame", bin_=F.shiftright("v", 6)), "frame")
+    gain = 512.0 / F.greatest(F.col("median"), F.lit(1))
+    return lv.join(med, "frame").select("frame", "y", "x", "median", (F.round(F.log2(gain), 6) + 0.0).alias("correction"), X.clamp16(X.trunc(F.col("v") * gain)).alias("val"))
+
+
+@query("a1_histogram", with_px("SELECT frame, least(val, 12000) >> 6 AS bin, count(*) AS n FROM px GROUP BY ALL"))
+def a1(spark, sf):
+    return A.histogram(T.px(spark, sf), "frame", bin_=F.shiftright(F.least(F.col("val"), F.lit(12000)), 6))
+
+
+@query("a2_upper_median", with_px("SELECT frame, min(bin) AS median FROM (SELECT frame, bin, sum(n) OVER (PARTITION BY frame ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY frame) AS total FROM (SELECT frame, val AS bin, count(*) AS n FROM px GROUP BY ALL)) WHERE cum > total // 2 GROUP BY frame"))
+def a2(spark, sf):
+    return A.upper_median(A.histogram(T.px(spark, sf), "frame", bin_=F.col("val")), "frame")
+
+
+@query("a3_lower_median", with_px("SELECT frame, quantile_disc(val, 0.5) AS median, quantile_disc(val, 0.98) AS p98, list_sort(list(val))[10] AS tenth FROM px GROUP BY frame"))
+def a3(spark, sf):
+    f = T.px(spark, sf).groupBy("frame")
+    return f.agg(A.lower_median("val").alias("median"), A.percentile("val", 0.98).alias("p98"), F.element_at(F.array_sort(F.collect_list("val")), 10).alias("tenth"))
+
+
+_five = "list_sort([val, " + ", ".join(f"a[least(greatest(y + {dy}, 0), 7) * 8 + least(greatest(x + {dx}, 0), 7) + 1]" for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))) + "])"
+
+
+@query("a4_small_medians", with_dense(f"SELECT frame, y, x, {_five}[3] AS med5, {_five}[2] AS second FROM pd"))
+def a4(spark, sf):
+    from ..operators import stencil as S
+
+    def rule(at, y, x):
+        cells = F.array_sort(F.array(at(0, 0), at(-1, 0), at(1, 0), at(0, -1), at(0, 1)))
+        return F.struct(F.element_at(cells, 3).alias("med5"), F.element_at(cells, 2).alias("second"))
+
+    return T.to_long(S.apply(T.frames(spark, sf), rule)).select("frame", "y", "x", "val.*")
+
+
+@query("a5_black_noise", with_px(f"SELECT frame, {r6('avg(val)')} AS mean, {r6('coalesce(stddev_samp(val), 8)')} AS noise FROM px WHERE x < 2 GROUP BY frame"))
+def a5(spark, sf):
+    d = T.px(spark, sf).where("x < 2").groupBy("frame")
+    return d.agg(F.round(F.avg("val"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("val"), F.lit(8.0)), 6).alias("noise"))
+
+
+@query("a6_row_class_noise", with_px(f"SELECT frame, {r6('min(s)')} AS least, {r6('max(s)')} AS most, {r6('log2(max(s) / min(s))')} AS ev FROM (SELECT frame, y % 4 AS c, stddev_samp(val) AS s FROM px GROUP BY ALL) GROUP BY frame"))
+def a6(spark, sf):
+    classes = T.px(spark, sf).groupBy("frame", (F.col("y") % 4).alias("c")).agg(F.stddev_samp("val").alias("s"))
+    return classes.groupBy("frame").agg(F.round(F.min("s"), 6).alias("least"), F.round(F.max("s"), 6).alias("most"), (F.round(F.log2(F.max("s") / F.min("s")), 6) + 0.0).alias("ev"))
+
+
+@query("a7_o2_white_level", with_px("SELECT frame, c, least(greatest(val - 100, 6000), 16383) AS white FROM (SELECT frame, y % 4 AS c, val, row_number() OVER (PARTITION BY frame, y % 4 ORDER BY val DESC, y, x) AS k FROM px) WHERE k = 4"))
+def a7(spark, sf):
+    """The brightest three of each row class are left out."""
+    w = Window.partitionBy("frame", "c").orderBy(F.desc("val"), "y", "x")
+    d = T.px(spark, sf).withColumn("c", F.col("y") % 4).withColumn("k", F.row_number().over(w)).where("k = 4")
+    return d.select("frame", "c", X.clamp(F.col("val") - 100, 6000, 16383).alias("white"))
+
+
+_disp = "(100 * ln(n) + n / 10.0)"
+
+
+@query("a8_channel_histogram", f"WITH {RGB}, u AS (SELECT frame, 'r' AS channel, r >> 8 AS bin FROM rgb UNION ALL SELECT frame, 'g', g >> 8 FROM rgb UNION ALL SELECT frame, 'b', b >> 8 FROM rgb), h AS (SELECT channel, bin, count(*) AS n FROM u GROUP BY ALL) SELECT channel, bin, n, {r6(f'{_disp} / max(CASE WHEN bin BETWEEN 3 AND 252 THEN {_disp} END) OVER (PARTITION BY channel)')} AS shown FROM h")
+def a8(spark, sf):
+    """One unpivot, one grouping; the display scale is a window over 256 bins a channel."""
+    u = T.rgb(spark, sf).select(F.expr("stack(3, 'r', r, 'g', g, 'b', b) AS (channel, v)"))
+    h = u.groupBy("channel", F.shiftright("v", 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    shown = 100 * F.ln("n") + F.col("n") / 10.0
+    top = F.max(F.when(F.col("bin").between(3, 252), shown)).over(Window.partitionBy("channel"))
+    return h.select("channel", "bin", "n", (F.round(shown / top, 6) + 0.0).alias("shown"))
+
+
+@query("a9_a10_waveform_parade", with_rgb("SELECT x // 2 AS bucket, 'r' AS channel, r >> 8 AS level, count(*) AS n FROM rgb WHERE x % 2 = 0 GROUP BY ALL UNION ALL SELECT x // 2, 'g', g >> 8, count(*) FROM rgb WHERE x % 2 = 0 GROUP BY ALL UNION ALL SELECT x // 2, 'b', b >> 8, count(*) FROM rgb WHERE x % 2 = 0 GROUP BY ALL"))
+def a9(spark, sf):
+    d = T.rgb(spark, sf).where("x % 2 = 0").select(X.idiv(F.col("x"), 2).alias("bucket"), F.expr("stack(3, 'r', r, 'g', g, 'b', b) AS (channel, v)"))
+    return d.groupBy("bucket", "channel", F.shiftright("v", 8).alias("level")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_u = trunc("128 + (-0.169 * (r >> 8) - 0.331 * (g >> 8) + 0.5 * (b >> 8))")
+_v = trunc("128 + (0.5 * (r >> 8) - 0.419 * (g >> 8) - 0.081 * (b >> 8))")
+
+
+@query("a11_vector_scope", with_rgb(f"SELECT u, v, r, g, b FROM (SELECT *, row_number() OVER (PARTITION BY u, v ORDER BY 4 * r + 11 * g + b DESC, r DESC, g DESC, b DESC) AS k FROM (SELECT r, g, b, {_u} AS u, {_v} AS v FROM rgb)) WHERE k = 1"))
+def a11(spark, sf):
+    """The lightest colour of each cell, by a map-side aggregate instead of a ranked sort."""
+    r8, g8, b8 = (F.shiftright(c, 8) for c in "rgb")
+    u, v = X.trunc(F.lit(128) + (r8 * -0.169 - g8 * 0.331 + b8 * 0.5)), X.trunc(F.lit(128) + (r8 * 0.5 - g8 * 0.419 - b8 * 0.081))
+    light = F.struct((F.col("r") * 4 + F.col("g") * 11 + F.col("b")).alias("l"), "r", "g", "b")
+    return T.rgb(spark, sf).groupBy(u.alias("u"), v.alias("v")).agg(F.max(light).alias("m")).select("u", "v", "m.r", "m.g", "m.b")
+
+
+@query("a12_phase_cdf_difference", with_px("SELECT a.c AS c, CAST(sum(abs(a.cum - b.cum)) AS BIGINT) AS difference FROM (SELECT c, g.bin, coalesce((SELECT sum(h.n) FROM (SELECT (y % 2) * 2 + x % 2 AS c, val >> 10 AS bin, count(*) AS n FROM px GROUP BY ALL) h WHERE h.c = k.c AND h.bin <= g.bin), 0) AS cum FROM (SELECT unnest(range(0, 16)) AS bin) g, (SELECT unnest(range(0, 4)) AS c) k) a JOIN (SELECT g.bin, coalesce((SELECT sum(h.n) FROM (SELECT (y % 2) * 2 + x % 2 AS c, val >> 10 AS bin, count(*) AS n FROM px GROUP BY ALL) h WHERE h.c = 1 AND h.bin <= g.bin), 0) AS cum FROM (SELECT unnest(range(0, 16)) AS bin) g) b USING (bin) GROUP BY a.c"))
+def a12(spark, sf):
+    """Cumulative histograms of the four Bayer phases against that of phase 1."""
+    phase = ((F.col("y") % 2) * 2 + F.col("x") % 2).alias("c")
+    h = T.px(spark, sf).groupBy(phase, F.shiftright("val", 10).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = spark.range(4).select(F.col("id").alias("c")).join(spark.range(16).select(F.col("id").alias("bin")))  # 64 rows
+    cum = grid.join(h, ["c", "bin"], "left").select("c", "bin", F.sum(F.coalesce("n", F.lit(0))).over(Window.partitionBy("c").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
+    one = cum.where("c = 1").select("bin", F.col("cum").alias("one"))
+    return cum.join(one, "bin").groupBy("c").agg(F.sum(F.abs(F.col("cum") - F.col("one"))).alias("difference"))
+
+
+@query("a13_a14_bright_dark_rows", with_px("SELECT frame, c, p, CASE WHEN p > avg(p) OVER (PARTITION BY frame) THEN 'bright' ELSE 'dark' END AS kind FROM (SELECT frame, y % 4 AS c, quantile_disc(val, 0.75) AS p FROM px GROUP BY ALL)"))
+def a13(spark, sf):
+    rows = T.px(spark, sf).groupBy("frame", (F.col("y") % 4).alias("c")).agg(A.percentile("val", 0.75).alias("p"))
+    return rows.withColumn("kind", F.when(F.col("p") > F.avg("p").over(Window.partitionBy("frame")), "bright").otherwise("dark"))
+
+
+@query("a15_weighted_least_squares", with_px(f"SELECT frame, {r6('(sw * swxy - swx * swy) / nullif(sw * swxx - swx * swx, 0)')} AS a, {r6('(swy - (sw * swxy - swx * swy) / nullif(sw * swxx - swx * swx, 0) * swx) / sw')} AS b FROM (SELECT frame, sum(w) AS sw, sum(w * x) AS swx, sum(w * v) AS swy, sum(w * x * v) AS swxy, sum(w * x * x) AS swxx FROM (SELECT frame, CAST(x AS DOUBLE) AS x, CAST(val AS DOUBLE) AS v, CAST(1 + y AS DOUBLE) AS w FROM px) GROUP BY frame)"))
+def a15(spark, sf):
+    d = T.px(spark, sf).select("frame", F.col("x").cast("double").alias("x"), F.col("val").cast("double").alias("y"), (F.col("y") + 1).cast("double").alias("w"))
+    return A.weighted_line(d, "frame").select("frame", (F.round("a", 6) + 0.0).alias("a"), (F.round("b", 6) + 0.0).alias("b"))
+
+
+@query("a16_j12_slope_scan", with_px("SELECT frame, ev, score FROM (SELECT frame, ev, score, row_number() OVER (PARTITION BY frame ORDER BY score DESC, step) AS k FROM (SELECT p.frame, g.step, g.step / 10.0 AS ev, count(CASE WHEN abs(q.val - 2048 - (p.val - 2048) * pow(2.0, -g.step / 10.0)) < 50 THEN 1 END) AS score FROM px p JOIN px q ON q.frame = p.frame AND q.x = p.x AND q.y = p.y + 2 CROSS JOIN (SELECT unnest(range(0, 31)) AS step) g WHERE p.y % 4 < 2 GROUP BY ALL)) WHERE k = 1"))
+def a16(spark, sf):
+    """For a grid of slopes count the points that fit, keep the first best. The grid has 31 rows, whatever the data."""
+    p = T.px(spark, sf)
+    pairs = p.where("y % 4 < 2").select("frame", "x", (F.col("y") + 2).alias("y"), F.col("val").alias("a")).join(p, ["frame", "y", "x"])
+    grid = F.broadcast(spark.range(31).select(F.col("id").alias("step")))
+    fit = F.abs(F.col("val") - 2048 - (F.col("a") - 2048) * F.pow(F.lit(2.0), -F.col("step") / 10.0)) < 50
+    scores = pairs.crossJoin(grid).groupBy("frame", "step").agg(F.count_if(fit).alias("score"))
+    best = scores.groupBy("frame").agg(F.max(F.struct("score", (-F.col("step")).alias("s"))).alias("m"))
+    return best.select("frame", (-F.col("m.s") / 10.0).alias("ev"), F.col("m.score").alias("score"))
+
+
+_ratio = "CAST(floor(32768 + 32768 * round(log2(CAST(a AS DOUBLE) / b), 9)) AS BIGINT)"
+
+
+@query("a17_stripe_gain", with_px(f"SELECT c, min(bin) AS bin, {trunc('pow(2.0, (min(bin) - 32768) / 32768.0) * 65536')} AS coef FROM (SELECT c, bin, sum(w) OVER (PARTITION BY c ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY c) AS total FROM (SELECT c, bin, CAST(sum(wt) AS BIGINT) AS w FROM (SELECT p.x AS c, {_ratio.replace('a AS', 'p.val - 1000 AS').replace('/ b', '/ (q.val - 1000)')} AS bin, {trunc('log2(CAST(p.val - 1000 AS DOUBLE))')} AS wt FROM px p JOIN px q ON q.frame = p.frame AND q.y = p.y AND q.x = CASE WHEN p.x = 0 THEN 2 ELSE p.x - 1 END WHERE p.val - 1000 >= 32 AND q.val - 1000 >= 32 AND greatest(p.val, q.val) < 14500) GROUP BY ALL)) WHERE cum * 2 >= total GROUP BY c"))
+def a17(spark, sf):
+    """Column gains as weighted medians of log ratios to a neighbour; ratios are made within a frame's row."""
+    f = T.frames(spark, sf)
+    w = F.col("w")
+
+    def pair(v, i):
+        x = i % w
+        other = F.get("data", F.when(x == 0, i + 2).otherwise(i - 1))
+        return F.struct(x.cast("long").alias("c"), (v - 1000).alias("a"), (other - 1000).alias("b"))
+
+    d = f.select(F.explode(F.transform("data", pair)).alias("p")).select("p.*").where("a >= 32 and b >= 32 and greatest(a, b) < 13500")
+    bin_ = F.floor(F.lit(32768) + 32768 * F.round(F.log2(F.col("a").cast("double") / F.col("b")), 9))
+    h = d.groupBy("c", bin_.alias("bin")).agg(F.sum(X.trunc(F.log2(F.col("a").cast("double")))).alias("n"))
+    m = A.weighted_median(h, "c")
+    return m.select("c", F.col("median").alias("bin"), X.trunc(F.pow(F.lit(2.0), (F.col("median") - 32768) / 32768.0) * 65536).alias("coef"))
+
+
+@query("a18_column_noise", with_px("SELECT p.frame, p.y, p.x, least(greatest(val + o.off - g.mid, 0), 32760) AS val FROM px p JOIN (SELECT frame, x, -quantile_disc(d, 0.5) AS off FROM (SELECT frame, x, val - CAST(floor(avg(val) OVER (PARTITION BY frame, y)) AS BIGINT) AS d FROM px) GROUP BY ALL) o USING (frame, x) JOIN (SELECT frame, quantile_disc(off, 0.5) AS mid FROM (SELECT frame, x, -quantile_disc(d, 0.5) AS off FROM (SELECT frame, x, val - CAST(floor(avg(val) OVER (PARTITION BY frame, y)) AS BIGINT) AS d FROM px) GROUP BY ALL) GROUP BY frame) g USING (frame)"))
+def a18(spark, sf):
+    """Each column's offset is the negative median of its noise, less the frame's median offset."""
+    p = T.px(spark, sf).repartition("frame")  # one exchange; the windows and groupings below reuse it
+    noise = p.withColumn("d", F.col("val") - F.floor(F.avg("val").over(Window.partitionBy("frame", "y"))))
+    offsets = noise.groupBy("frame", "x").agg((-A.lower_median("d")).alias("off"))
+    mid = offsets.groupBy("frame").agg(A.lower_median("off").alias("mid"))
+    return p.join(offsets, ["frame", "x"]).join(mid, "frame").select("frame", "y", "x", X.clamp(F.col("val") + F.col("off") - F.col("mid"), 0, 32760).alias("val"))
+
+
+@query("a19_highest_green_peak", with_rgb("SELECT max(bin) AS peak FROM (SELECT bin, n, lag(n, 1, 0) OVER (ORDER BY bin) AS before, lead(n, 1, 0) OVER (ORDER BY bin) AS after FROM (SELECT k.bin, count(g) AS n FROM (SELECT unnest(range(0, 256)) AS bin) k LEFT JOIN rgb ON (g >> 8) = k.bin GROUP BY ALL)) WHERE n > before AND n >= after AND n > 3"))
+def a19(spark, sf):
+    """Right-most local maximum of a 256-bin histogram; the windows run over its 256 rows only."""
+    h = T.rgb(spark, sf).groupBy(F.shiftright("g", 8).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    full = spark.range(256).select(F.col("id").alias("bin")).join(h, "bin", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    w = Window.orderBy("bin")
+    peaks = full.withColumn("before", F.lag("n", 1, 0).over(w)).withColumn("after", F.lead("n", 1, 0).over(w)).where("n > before and n >= after and n > 3")
+    return peaks.agg(F.max("bin").alias("peak"))
+
+
+@query("a20_area_downscale", with_px("SELECT frame, y // 4 AS y, x // 4 AS x, CAST(sum(val) AS BIGINT) // 16 AS val FROM px GROUP BY ALL"))
+def a20(spark, sf):
+    g = T.px(spark, sf).groupBy("frame", X.idiv(F.col("y"), 4).alias("y"), X.idiv(F.col("x"), 4).alias("x"))
+    return g.agg(X.idiv(F.sum("val"), 16).alias("val"))
+
+
+@query("a23_neighbourhood_mean", with_rgb(f"SELECT frame, {r6('avg(r)')} AS r, {r6('avg(g)')} AS g, {r6('avg(b)')} AS b FROM rgb WHERE y BETWEEN 1 - 1 AND 1 + 1 AND x BETWEEN 2 - 1 AND 2 + 1 GROUP BY frame"))
+def a23(spark, sf):
+    d = T.rgb(spark, sf).where(F.col("y").between(0, 2) & F.col("x").between(1, 3)).groupBy("frame")
+    return d.agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+
+
+_wr, _wb = "(sr * (1.0 + t / 20.0))", "(sb * (3.0 - t / 20.0) + i / 10.0 * 100)"
+
+
+@query("a24_white_balance_picker", with_rgb(f"SELECT frame, t, i, round(delta, 4) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY delta, t, i) AS k FROM (SELECT frame, t, i, round(abs({_wr} - sg) + abs(sg - {_wb}) + abs({_wr} - {_wb}), 4) AS delta FROM (SELECT frame, avg(r) AS sr, avg(g) AS sg, avg(b) AS sb FROM rgb GROUP BY frame), (SELECT unnest(range(0, 40)) AS t), (SELECT unnest(range(-5, 6)) AS i))) WHERE k = 1"))
+def a24(spark, sf):
+    """Arg-min over a fixed grid of temperatures and tints, first win; pixels are aggregated before the grid."""
+    s = T.rgb(spark, sf).groupBy("frame").agg(*[F.avg(c).alias(f"s{c}") for c in "rgb"])
+    grid = F.broadcast(spark.range(40).select(F.col("id").alias("t")).crossJoin(spark.range(-5, 6).select(F.col("id").alias("i"))))
+    red, blue = F.col("sr") * (1.0 + F.col("t") / 20.0), F.col("sb") * (3.0 - F.col("t") / 20.0) + F.col("i") / 10.0 * 100
+    delta = F.round(F.abs(red - F.col("sg")) + F.abs(F.col("sg") - blue) + F.abs(red - blue), 4)
+    best = s.crossJoin(grid).groupBy("frame").agg(F.min(F.struct(delta.alias("delta"), "t", "i")).alias("m"))
+    return best.select("frame", "m.t", "m.i", "m.delta")
+
+
+@query("a25_exposure_alternation", with_px(f"SELECT frame, {r6('CAST(next AS DOUBLE) / total')} AS ratio, CAST(next AS DOUBLE) / total NOT BETWEEN 0.7 AND 1.3 AS alternates FROM (SELECT frame, total, lead(total) OVER (PARTITION BY frame // 2 ORDER BY frame) AS next FROM (SELECT frame, CAST(sum(val) AS BIGINT) AS total FROM px GROUP BY frame)) WHERE next IS NOT NULL"))
+def a25(spark, sf):
+    s = T.frames(spark, sf).select("frame", F.aggregate("data", F.lit(0).cast("long"), lambda a, v: a + v).alias("total"))
+    n = s.withColumn("next", F.lead("total").over(Window.partitionBy(X.idiv(F.col("frame"), 2)).orderBy("frame"))).where("next is not null")
+    ratio = F.col("next").cast("double") / F.col("total")
+    return n.select("frame", F.round(ratio, 6).alias("ratio"), (~ratio.between(0.7, 1.3)).alias("alternates"))
+
+
+@query("a26_audio_envelope", with_px("SELECT frame AS bucket, CAST(max(greatest(v, -v - 1)) AS BIGINT) AS peak, CAST(least(31, floor(round((100 * ln(CAST(greatest(1, max(greatest(v, -v - 1))) AS DOUBLE)) + max(greatest(v, -v - 1)) / 10.0) / 116, 6))) AS BIGINT) AS shown FROM (SELECT frame, val - 8192 AS v FROM px) GROUP BY frame"))
+def a26(spark, sf):
+    """Samples of a bucket fold to one peak, negatives mirrored; buckets are frames here."""
+    v = F.col("val") - 8192
+    p = T.px(spark, sf).groupBy(F.col("frame").alias("bucket")).agg(F.max(F.greatest(v, -v - 1)).alias("peak"))
+    shown = (100 * F.ln(F.greatest(F.lit(1), F.col("peak")).cast("double")) + F.col("peak") / 10.0) / 116
+    return p.select("bucket", "peak", F.least(F.lit(31).cast("long"), F.floor(F.round(shown, 6))).alias("shown"))
+
+
+@query("a28_frame_range", with_px("SELECT frame, min(val) AS low, max(val) AS high FROM px GROUP BY frame"))
+def a28(spark, sf):
+    """From the dense form: no grouping at all."""
+    return T.frames(spark, sf).select("frame", F.array_min("data").alias("low"), F.array_max("data").alias("high"))
+
+
+@query("a30_export_frames", with_index("SELECT clip, CAST(sum(hi - lo + 1) AS BIGINT) AS frames FROM (SELECT clip, kind, min(frame) AS lo, max(frame) AS hi FROM idx GROUP BY ALL) GROUP BY clip"))
+def a30(spark, sf):
+    cuts = T.index(spark, sf).groupBy("clip", "kind").agg(F.min("frame").alias("lo"), F.max("frame").alias("hi"))
+    return cuts.groupBy("clip").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("frames"))
+
+
+@query("sk2_frame_average", with_px("SELECT y, x, (CAST(sum(val) AS BIGINT) + count(*) // 2) // count(*) AS val FROM px WHERE frame BETWEEN 10 AND 200 GROUP BY ALL"))
+def sk2(spark, sf):
+    f = T.frames(spark, sf).where(F.col("frame").between(10, 200))
+    return T.to_long(f).groupBy("y", "x").agg(X.idiv(F.sum("val") + X.idiv(F.count(F.lit(1)), 2), F.count(F.lit(1))).alias("val"))
+
+
+@query("exposure_match_gain", with_px(f"SELECT frame, {r6('(md - mb * 0.25)')} AS offset, CAST(count(*) AS BIGINT) AS pairs FROM (SELECT frame, CAST(quantile_disc(CASE WHEN y % 4 < 2 THEN val END, 0.5) AS DOUBLE) AS mb, CAST(quantile_disc(CASE WHEN y % 4 >= 2 THEN val END, 0.5) AS DOUBLE) AS md FROM px GROUP BY frame) GROUP BY frame, md, mb"))
+def exposure(spark, sf):
+    g = T.px(spark, sf).groupBy("frame").agg(A.lower_median("if(y % 4 < 2, val, null)").alias("mb"), A.lower_median("if(y % 4 >= 2, val, null)").alias("md"))
+    return g.select("frame", F.round(F.col("md") - F.col("mb") * 0.25, 6).cast("double").alias("offset"), F.lit(1).cast("long").alias("pairs"))

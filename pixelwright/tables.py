@@ -67,4 +67,4 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame index: event_id as frame number, ts as its time in microseconds, kind and size."""
     e = table(spark, sf_dir, "events")
-    return e.select(F.col("event_id").alias("frame"), F.unix_micros("ts").alias("t_us"), F.col("event_type").alias("kind"), F.col("user_id").alias("clip"), F.col("value").alias("size"), "ts")
+    return e.select(F.col("event_id").alias("frame"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t_us"), F.col("event_type").alias("kind"), F.col("user_id").alias("clip"), F.col("value").alias("size"), "ts")
