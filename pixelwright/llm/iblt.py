@@ -9,7 +9,7 @@ digests are those on which the versions differ. If cells are left over, the tabl
 small and a larger one is tried:
 
 1. the fingerprints themselves, CELLS cells for any text;
-2. a table that grows with both texts: CELLS * 2 cells for about LOAD digests, kept as blocks
+2. a table that grows with both texts: CELLS cells for about LOAD digests, kept as blocks
    (the block is chosen by bits of the digest), so that work is linear in the text;
 3. each block that fails again with twice, four times ... the cells and other positions; a
    block that fails even at the last of SIZES is compared digest by digest, so that no
@@ -26,6 +26,8 @@ successor; an empty table gives no rows; very long texts spread over many blocks
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,9 +37,9 @@ SEGMENT = 128
 #: Cells of a fingerprint; a multiple of 3.
 CELLS = 24
 #: Digests of both sides that one block of a larger table should hold.
-LOAD = 16
+LOAD = 8
 #: Cells of a block, tried one after the other.
-SIZES = (48, 96, 192, 768)
+SIZES = (24, 48, 96, 384)
 ROUNDS = 12
 
 
@@ -57,17 +59,21 @@ def _check(digest: Column) -> Column:
     return F.xxhash64(digest, F.lit(7))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: the planner copies an expression into each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _xor(a: Column, b: Column) -> Column:
     return a.bitwiseXOR(b)
 
 
 def sketch(digests: Column, cells: int = CELLS, salt: int = 0) -> Column:
     """Array of cells (n, key, chk) for an array of distinct digests."""
-    placed = F.transform(digests, lambda d: F.struct(d.alias("d"), _check(d).alias("c"), F.array(*_place(d, cells, salt)).alias("p")))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("chk"))
     third = cells // 3
 
-    def fill(k: int) -> Column:
+    def fill(placed: Column, k: int) -> Column:
         return F.transform(
             F.sequence(F.lit(k * third), F.lit((k + 1) * third - 1)),
             lambda i: F.aggregate(
@@ -77,7 +83,8 @@ def sketch(digests: Column, cells: int = CELLS, salt: int = 0) -> Column:
             ),
         )
 
-    return F.concat(*[fill(k) for k in range(3)])
+    placed = F.transform(digests, lambda d: F.struct(d.alias("d"), _check(d).alias("c"), F.array(*_place(d, cells, salt)).alias("p")))
+    return _once(placed, lambda p: F.concat(*[fill(p, k) for k in range(3)]))
 
 
 def subtract(left: Column, right: Column) -> Column:
@@ -92,8 +99,8 @@ def peel(difference: Column, cells: int = CELLS, salt: int = 0) -> Column:
     def round_(state: Column) -> Column:
         pure = F.filter(state["cells"], lambda c: (F.abs(c["n"]) == 1) & (c["chk"] == _check(c["key"])))
         new = F.array_distinct(F.transform(pure, lambda c: F.struct(c["key"].alias("d"), c["n"].alias("side"))))
-        return F.transform(
-            F.array(new),  # binds the list once
+        return _once(
+            new,
             lambda keys: F.struct(
                 F.aggregate(
                     F.transform(keys, lambda x: F.struct(x["d"].alias("d"), x["side"].alias("side"), F.array(*_place(x["d"], cells, salt)).alias("p"))),
@@ -109,21 +116,17 @@ def peel(difference: Column, cells: int = CELLS, salt: int = 0) -> Column:
                 F.concat(state["found"], keys).alias("found"),
                 (F.size(keys) > 0).alias("open"),
             ),
-        )[0]
+        )
 
     end = F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), start, lambda s, _: F.when(s["open"], round_(s)).otherwise(s))
-    clean = F.transform(
-        F.array(end),
-        lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)), s["found"]),
-    )
-    return clean[0]
+    return _once(end, lambda s: F.when(F.forall(s["cells"], lambda c: (c["n"] == 0) & (c["key"] == 0) & (c["chk"] == 0)), s["found"]))
 
 
 def recover(left: Column, right: Column, sizes: tuple[int, ...] = SIZES) -> Column:
     """Differing digests of two small sets: larger and larger tables, at last digest by digest."""
     tries = [peel(subtract(sketch(left, n, k + 1), sketch(right, n, k + 1)), n, k + 1) for k, n in enumerate(sizes)]
     side = lambda a, b, s: F.transform(F.array_except(a, b), lambda d: F.struct(d.alias("d"), F.lit(s).alias("side")))
-    return F.coalesce(*tries, F.concat(side(left, right, 1), side(right, left, -1)))
+    return F.coalesce(*tries, F.concat(side(left, right, 1), side(right, left, -1)))  # evaluated one by one
 
 
 def as_text(cells: Column) -> Column:
