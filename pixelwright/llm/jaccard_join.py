@@ -4,13 +4,17 @@ A document is the set of 64-bit hashes of its word shingles. Two sets link when
 index is at least 0.8. The join is exact; no candidate, partner or bucket is capped.
 
 1. One scan gives each document its set's size and digest (equal sets are one class from here
-   on, however many copies there are) and counts shingles, packed as bytes, so that the common
-   ones are known. Up to COMMON_KEYS of the commonest (in at least COMMON classes) are put last
-   in the global order of shingles; this only steers the work, any order gives the same links.
-2. Linked sets share one of the first n - ceil(0.8 n) + 1 shingles in that order. These keys go
-   out packed as bytes, one row for each scan task and target. Classes that meet in a key form
-   a group under the key's least class, the leader; a class is in as many groups as it has
-   leaders. Any two linked classes meet in the group of their shared key's leader.
+   on, however many copies there are) and counts shingles, packed as bytes. The counts are kept
+   as two tables of bits of fixed size: shingles of several classes, and of at least COMMON. Two
+   shingles may fall on one bit, which only makes the order below worse.
+2. In the global order come the shingles of one class only, then the others by hash, the common
+   ones last. Linked sets share one of the first n - ceil(0.8 n) + 1 in any such order; of these
+   the shingles of one class can't be the shared one, so they need no key, and most documents,
+   having enough of them, need no key at all. The other keys go out packed as bytes, one row
+   for each scan task and target. Classes that meet in a key, and whose sizes lie in one stretch
+   without a gap wider than the threshold allows, form a group under the least of them, the
+   leader; a class is in as many groups as it has leaders. Any two linked classes meet in the
+   group of their shared key's leader.
 3. A group's sets are stored in a compressed prefix tree, in an order of its own with shared
    shingles first, so that near copies share long paths. Each set walks the tree: a node's
    overlap is computed once for all sets below it, and a subtree is left when the overlap and
@@ -44,11 +48,10 @@ from .components import components
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 80 * union, so 9 * intersection >= 4 * (sizes together).
 NUMERATOR, DENOMINATOR = 4, 5
-#: A shingle in at least so many classes counts as common; at most so many shingles are treated as such.
+#: Two fixed-size tables of bits say which shingles are shared by several classes, and which by at least COMMON.
+SHARED_BITS = 1 << 28
+COMMON_BITS = 1 << 24
 COMMON = 48
-COMMON_KEYS = 1 << 18
-#: Common shingles are looked for among the hashes below this share of all.
-COUNTED = 0.5
 #: Shingles of one chunk of a group.
 CHUNK = 1 << 21
 PIVOTS = 8
@@ -100,15 +103,29 @@ def digest(s: np.ndarray) -> int:
 
 
 def _target(s: np.ndarray, targets: int) -> np.ndarray:
-    return ((s >> np.uint64(32)) % np.uint64(targets)).astype(np.int64)
+    """Which of the targets (65535 at most) gets a shingle, by its upper half; ascending in the shingle."""
+    return (((s >> np.uint64(32)) * np.uint64(targets)) >> np.uint64(32)).astype(np.uint16)
+
+
+def _part(bits: int, targets: int) -> int:
+    """Bits of a table for each target, whole bytes."""
+    return bits // targets // 8 * 8
+
+
+def _bit(s: np.ndarray, targets: int, bits: int) -> np.ndarray:
+    """Place of a shingle in a table of bits: its target's part, then its lower half."""
+    part = _part(bits, targets)
+    return _target(s, targets).astype(np.int64) * part + ((s & np.uint64(0xFFFFFFFF)) * np.uint64(part) >> np.uint64(32)).astype(np.int64)
+
+
+def _holds(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
 
 
 _SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("target", pa.int32()), ("packed", pa.binary())])
 
 
 def _summary(targets: int):
-    limit = np.uint64(int(COUNTED * (1 << 63)) * 2 - 1)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -135,9 +152,8 @@ def _summary(targets: int):
                     if len(seen) > 1 << 18:
                         seen.clear()
                     seen.add(d)
-                    part = s[s <= limit]
-                    held.append(part)
-                    size += len(part)
+                    held.append(s)
+                    size += len(s)
                     if size > BUFFER:
                         yield counted()
                         held.clear()
@@ -150,14 +166,21 @@ def _summary(targets: int):
     return run
 
 
-def _common(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of one target with their counts, if common; the input is sorted by target."""
-    names = ["key", "count"]
-    for target, parts in _runs(groups):
-        keys, counts = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in parts]), return_counts=True)
-        many = counts >= COMMON
-        found = (np.int64(target) << 32) | keys[many].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(counts[many], pa.int64())], names=names)
+def _tables(targets: int, shared_bits: int, common_bits: int, common_from: int):
+    """Each target's parts of the two tables of bits; the input is sorted by target."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for target, parts in _runs(batches):
+            keys, counts = np.unique(np.concatenate([np.frombuffer(p, np.uint32) for p in parts]), return_counts=True)
+            made = []
+            for bits, least in ((shared_bits, 2), (common_bits, common_from)):
+                part = _part(bits, targets)
+                flags = np.zeros(part, bool)
+                flags[(keys[counts >= least].astype(np.uint64) * np.uint64(part) >> np.uint64(32)).astype(np.int64)] = True
+                made.append(np.packbits(flags, bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([target], pa.int32()), *(pa.array([m], pa.binary()) for m in made)], names=["target", "shared", "common"])
+
+    return run
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
@@ -185,8 +208,9 @@ def prefix_length(n: int) -> int:
 _POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("d", "<i8")])
 
 
-def _postings(targets: int, common: np.ndarray):
+def _postings(targets: int, shared_bits: int, common_bits: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared, common = tables.value
         held: list[tuple[np.ndarray, int, int]] = []
         size = 0
         seen: set[int] = set()
@@ -215,17 +239,15 @@ def _postings(targets: int, common: np.ndarray):
                 if len(seen) > 1 << 18:
                     seen.clear()
                 seen.add(d)
-                p = prefix_length(len(s))
-                if len(common):
-                    key = (_target(s, targets) << 32) | (s & np.uint64(0xFFFFFFFF)).astype(np.int64)
-                    late = common[np.minimum(np.searchsorted(common, key), len(common) - 1)] == key
-                    first = s[~late][:p]
-                    if len(first) < p:
-                        first = np.concatenate([first, s[late][: p - len(first)]])
-                else:
-                    first = s[:p]
+                # alone in its class, a shingle links nothing: such ones come first and need no posting
+                some = s[_holds(shared, _bit(s, targets, shared_bits))]
+                wanted = prefix_length(len(s)) - (len(s) - len(some))
+                if wanted <= 0:
+                    continue
+                late = _holds(common, _bit(some, targets, common_bits))
+                first = np.concatenate([some[~late], some[late]])[:wanted]
                 held.append((first, len(s), d))
-                size += p
+                size += len(first)
                 if size > BUFFER:
                     yield packed()
                     held.clear()
@@ -241,16 +263,20 @@ def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["leader", "member", "n"]
     for _, parts in _runs(batches):
         rows = np.concatenate([np.frombuffer(p, _POSTING) for p in parts])
-        rows = rows[np.lexsort((rows["d"], rows["key"]))]
+        rows = rows[np.lexsort((rows["d"], rows["n"], rows["key"]))]
         keep = np.ones(len(rows), bool)
         keep[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["d"][1:] != rows["d"][:-1])
         rows = rows[keep]
-        starts = np.flatnonzero(np.diff(rows["key"].astype(np.int64), prepend=-1))
+        # by size a key falls into stretches: sets further apart than the threshold allows can't link
+        n = rows["n"].astype(np.int64)
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (NUMERATOR * n[1:] > DENOMINATOR * n[:-1])
+        starts = np.flatnonzero(fresh)
         sizes = np.diff(starts, append=len(rows))
-        leaders = np.repeat(rows["d"][starts], sizes)
+        leaders = np.repeat(np.minimum.reduceat(rows["d"], starts), sizes)
         met = np.repeat(sizes, sizes) > 1
         pairs = np.empty(int(met.sum()), np.dtype([("l", "<i8"), ("m", "<i8"), ("n", "<i8")]))
-        pairs["l"], pairs["m"], pairs["n"] = leaders[met], rows["d"][met], rows["n"][met]
+        pairs["l"], pairs["m"], pairs["n"] = leaders[met], rows["d"][met], n[met]
         pairs = np.unique(pairs)
         yield pa.RecordBatch.from_arrays([pa.array(pairs[c].copy(), pa.int64()) for c in ("l", "m", "n")], names=names)
 
@@ -428,25 +454,33 @@ def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, whole: bool) -
     return rows.mapInArrow(_join_groups, "leader long, a long, b long")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Per row: doc_id, n_shingles, component_id."""
+def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
+    """The whole tables of bits: the same few bytes for any input."""
+    sizes = [_part(b, targets) // 8 for b in bits]
+    tables = [np.zeros(size * targets, np.uint8) for size in sizes]
+    for row in parts.toLocalIterator():
+        for k, size in enumerate(sizes):
+            tables[k][row[0] * size : (row[0] + 1) * size] = np.frombuffer(row[1 + k], np.uint8)
+    return tables
+
+
+def similar_components(docs: DataFrame, chunk: int = CHUNK, common_from: int = COMMON, shared_bits: int = SHARED_BITS, common_bits: int = COMMON_BITS) -> DataFrame:
+    """docs: doc_id, text. Per row: doc_id, n_shingles, component_id. The other parameters steer the work, not the result."""
     spark = docs.sparkSession
-    targets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    targets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 12)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     scanned = materialize(docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(_summary(targets), "doc_id long, n long, d long, target int, packed binary"), "sets")
     summary = scanned.where("target is null").select("doc_id", "n", "d")
     counted = scanned.where("target is not null").select("target", "packed").repartition("target").sortWithinPartitions("target")
-    common = counted.mapInArrow(_common, "key long, count long").orderBy(F.desc("count"), "key").limit(COMMON_KEYS).collect()
-    common_keys = np.sort(np.array([r[0] for r in common], np.int64))
+    tables = spark.sparkContext.broadcast(_gather(counted.mapInArrow(_tables(targets, shared_bits, common_bits, common_from), "target int, shared binary, common binary"), targets, shared_bits, common_bits))
 
-    shared = spark.sparkContext.broadcast(common_keys)
-    packed = docs.select(utf8("text").alias("_bytes")).mapInArrow(lambda b: _postings(targets, shared.value)(b), "target int, packed binary")
+    packed = docs.select(utf8("text").alias("_bytes")).mapInArrow(_postings(targets, shared_bits, common_bits, tables), "target int, packed binary")
     met = packed.repartition("target").sortWithinPartitions("target").mapInArrow(_memberships, "leader long, member long, n long")
     groups = materialize(met.distinct(), "groups")
     classes = summary.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"))
 
-    sizes = groups.groupBy("leader").agg((F.sum("n") / CHUNK).cast("int").alias("more"))
+    sizes = groups.groupBy("leader").agg((F.sum("n") / chunk).cast("int").alias("more"))
     dealt = groups.join(sizes, "leader").withColumn("h", F.xxhash64("member"))
     small = dealt.where("more = 0").select("leader", F.lit(0).alias("chunk"), "member", F.lit(True).alias("walker"))
     edges = _links(small, docs, classes, whole=True).select("a", "b")
