@@ -168,6 +168,10 @@ def media_column(df: DataFrame, payload: str, media: str = "media", codes: str =
     return df.mapInArrow(add, f"{fields}, `{media}` binary, `{codes}` array<bigint>")
 
 
+def documents_digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Per row: sizes and digests of the payload, its stored form and its fingerprint."""
+    return docs.select(key, utf8(text).alias("payload")).mapInArrow(_digests, SCHEMA)
+
+
 def op2(spark, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    return docs.select("doc_id", utf8("text").alias("payload")).mapInArrow(_digests, SCHEMA)
+    return documents_digests(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
