@@ -24,7 +24,8 @@ from .html_blocks import Block, blocks
 from .labelled_pages import labelled_pages
 
 TRAIN_PAGES = 900
-STEPS = 150
+STEPS = 200
+RIDGE = 2e-4
 #: Attribute words that get a feature of their own; others share one.
 NAME_WORDS = (
     "ad ads advert advertisement alert article author banner body bottom breadcrumb byline caption comment comments consent content"
@@ -156,14 +157,14 @@ def fit(pages: list[tuple[str, list[int]]], steps: int = STEPS) -> Field:
             between[:, t] = forward[:, t, :, None] + onward
             backward[:, t] = np.where(mask[:, t + 1, None], np.logaddexp.reduce(onward, axis=2), 0)
         main = np.exp(forward[:, :, 1] + backward[:, :, 1] - total[:, None]) * mask
-        gradient = ((y * mask - main).reshape(-1).astype(np.float32) @ flat).astype(np.float64) / n - 1e-3 * weights
+        gradient = ((y * mask - main).reshape(-1).astype(np.float32) @ flat).astype(np.float64) / n - RIDGE * weights
         both = np.exp(between - total[:, None, None, None]) * pair[:, :, None, None]
         move_gradient = np.zeros_like(moves)
         for k in (0, 1):
             here = (kind[:, 1:] == k) & pair
             move_gradient[k] = -both[here].sum(axis=0)
             np.add.at(move_gradient[k], (y[:, :-1][here], y[:, 1:][here]), 1)
-        move_gradient = move_gradient / n - 1e-3 * moves
+        move_gradient = move_gradient / n - RIDGE * moves
         for value, g, (m, v) in zip((weights, moves), (gradient, move_gradient), state):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)

@@ -217,10 +217,14 @@ def compared(df: DataFrame) -> DataFrame:
     )
 
 
-def op7(spark, sf_dir: str) -> DataFrame:
-    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
-    chain = with_next(docs, "doc_id", "text")
+def fingerprints(chain: DataFrame) -> DataFrame:
+    """chain: rows of with_next(). The edited text swaps the last quarter for the next text's start."""
     n = F.char_length("text")
-    tail = (n / 4).cast("int")
+    tail = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - tail), F.substring(F.col("next_text"), F.lit(1), tail))
     return compared(chain.select("*", edited.alias("edited"))).withColumnRenamed("key", "doc_id")
+
+
+def op7(spark, sf_dir: str) -> DataFrame:
+    docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
+    return fingerprints(with_next(docs, "doc_id", "text"))

@@ -71,8 +71,24 @@ class PageMaker:
             self.put(f'<{tag} class="{name}">{body}</{tag}>', 0)
 
     def notice(self) -> None:
-        name = self.r.choice(["cookie", "cookie-notice", "consent", "gdpr", "notice", "alert", "popup", "modal"])
-        self.put(f'<div class="{name}"><p>{self.prose(1, 3)}</p><button>{self.word()}</button></div>', 0, 0)
+        name = self.r.choice(["cookie", "cookie-notice", "consent", "gdpr", "notice", "alert", "popup", "modal", "cookie banner", "legal"])
+        tag, inner = self.r.choice(["div", "div", "section", "aside"]), self.r.randint(1, 3)
+        body = "".join(f"<p>{self.prose(1, 3)}</p>" for _ in range(inner)) if self.r.random() < 0.7 else self.prose(1, 3)
+        button = self.r.random() < 0.5
+        count = body.count("<p>") or 1
+        self.put(f'<{tag} {self.r.choice(["class", "class", "id"])}="{name}">{body}{f"<button>{self.word()}</button>" if button else ""}</{tag}>', *[0] * (count + button))
+
+    def promo(self) -> None:
+        """Newsletter boxes, related stories, author boxes, tags, breadcrumbs."""
+        name = self.r.choice(["newsletter", "subscribe", "related", "promo", "byline", "tags", "breadcrumb", "meta", "widget", "toolbar", "pagination"])
+        kind = self.r.randrange(3)
+        if kind == 0:
+            self.put(f'<div class="{name}"><h3>{self.sentence(1, 5)}</h3><p>{self.prose(1, 2)}</p></div>', 0, 0)
+        elif kind == 1:
+            n = self.r.randint(1, 4)
+            self.put(f'<div class="{name}">' + "".join(f"<p>{self.link(self.sentence(2, 7))}</p>" for _ in range(n)) + "</div>", *[0] * n)
+        else:
+            self.put(f'<div class="{name}">{self.sentence(1, 8)}</div>', 0)
 
     def form(self) -> None:
         self.put(f'<form action="/s"><label>{self.word()}</label> <input name=q><p>{self.sentence(2, 9)}</p><button>{self.word()}</button></form>', 0, 0, 0)
@@ -83,14 +99,15 @@ class PageMaker:
         self.put(f"{open_}<h3>{self.sentence(1, 4)}</h3>" + "".join(f"<p>{self.prose(1, 3)}</p>" for _ in range(n)) + ("<ul>" + "".join(f"<li>{self.link(self.sentence(3, 8))}</li>" for _ in range(m)) + "</ul>" if m else "") + close, 0, *[0] * (n + m))
 
     def comments(self) -> None:
-        open_, close = self.r.choice([('<section id="comments">', "</section>"), ('<div class="comments">', "</div>"), ('<ol class="comment-list">', "</ol>"), ('<div class="replies discussion">', "</div>")])
+        open_, close = self.r.choice([('<section id="comments">', "</section>"), ('<div class="comments">', "</div>"), ('<ol class="comment-list">', "</ol>"), ('<div class="replies discussion">', "</div>"), ("<div id=disqus_thread class=comments-area>", "</div>")])
         n = self.r.randint(1, 5)
         out, labels = open_, []
         if self.r.random() < 0.6:
             out, labels = out + f"<h2>{self.word()}</h2>", [0]
         for _ in range(n):
-            out += f'<div class="comment"><span class="author">{self.word()}</span><p>{self.prose(1, 4)}</p></div>'
-            labels += [0, 0]
+            author = self.r.random() < 0.6
+            out += f'<div class="{self.r.choice(["comment", "comment", "reply", "comment-body"])}">' + (f'<span class="author">{self.word()}</span>' if author else "") + f"<p>{self.prose(1, 4)}</p></div>"
+            labels += [0] * (1 + author)
         self.put(out + close, *labels)
 
     def share(self) -> None:
@@ -112,7 +129,7 @@ class PageMaker:
     def paragraph(self) -> None:
         kind = self.r.random()
         if kind < 0.62:
-            text = self.prose()
+            text = self.prose() if self.r.random() < 0.94 else self.prose(15, 45)
             if self.r.random() < 0.2:
                 text += " " + self.link(self.sentence(1, 4)) + " " + self.sentence()
             self.put(f"<p>{text}</p>", 1)
@@ -137,7 +154,7 @@ class PageMaker:
         self.parts.append(open_)
         if self.r.random() < 0.8:
             self.put(f"<h1>{self.sentence(2, 9)}</h1>", 1)
-        for _ in range(self.r.randint(1, 14)):
+        for _ in range(self.r.choice([1, 2, self.r.randint(1, 14), self.r.randint(1, 14)])):
             self.paragraph()
             if self.r.random() < 0.06:
                 self.r.choice([self.advert, self.share, self.form])()
@@ -148,12 +165,13 @@ class PageMaker:
     def page(self) -> tuple[str, list[int]]:
         r = self.r
         self.parts.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{self.sentence()}</title><script>var a='</p>';</script></head><body>")
-        for make, share in ((self.notice, 0.2), (self.header, 0.4), (lambda: self.links(r.randint(2, 8)), 0.8), (self.advert, 0.45), (self.form, 0.15), (self.sidebar, 0.15)):
-            if r.random() < share:
+        bare = r.random() < 0.2  # nothing before the main text
+        for make, share in ((self.notice, 0.4), (self.header, 0.45), (lambda: self.links(r.randint(2, 8)), 0.8), (self.advert, 0.45), (self.form, 0.15), (self.sidebar, 0.15), (self.promo, 0.25)):
+            if not bare and r.random() < share:
                 make()
-        if r.random() < 0.97:
+        if bare or r.random() < 0.97:
             self.main()
-        for make, share in ((self.comments, 0.35), (self.sidebar, 0.3), (self.advert, 0.25), (self.share, 0.2), (self.form, 0.15), (lambda: self.links(r.randint(2, 6)), 0.25), (self.footer, 0.8), (self.notice, 0.1)):
+        for make, share in ((self.comments, 0.35), (self.sidebar, 0.3), (self.advert, 0.25), (self.share, 0.2), (self.form, 0.15), (lambda: self.links(r.randint(2, 6)), 0.25), (self.promo, 0.35), (self.footer, 0.8), (self.notice, 0.25)):
             if r.random() < share:
                 make()
         self.parts.append("</body></html>")
