@@ -16,8 +16,7 @@ from .registry import query
 def j1(spark, sf):
     """The dark frame is the half-up average of the frames of label 0."""
     f = T.frames(spark, sf)
-    dark_ids = T.table(spark, sf, "embeddings").where("label = 0").select(F.col("vec_id").alias("frame"))
-    dark = T.to_long(f.join(dark_ids, "frame", "left_semi")).groupBy("y", "x").agg(X.idiv(F.sum("val") + X.idiv(F.count(F.lit(1)), 2), F.count(F.lit(1))).alias("val"))
+    dark = T.to_long(T.frames(spark, sf, "label").where("label = 0")).groupBy("y", "x").agg(X.idiv(F.sum("val") + X.idiv(F.count(F.lit(1)), 2), F.count(F.lit(1))).alias("val"))
     return J.dark_subtract(T.to_long(f), dark, 8192, 16383).select("frame", "y", "x", "val")
 
 
@@ -85,14 +84,13 @@ def j9b(spark, sf):
     return J.as_of(views, buys, "clip", "ts", "frame", "size", "last_purchase").select("frame", "clip", "last_purchase")
 
 
-@query("j10_layer_frame_join", "SELECT c_custkey AS pos, o_orderkey AS frame FROM customer JOIN (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders WHERE o_orderkey <= 100) o ON n = least(c_custkey, (SELECT count(*) FROM orders WHERE o_orderkey <= 100))")
+@query("j10_layer_frame_join", "SELECT c_custkey AS pos, n_nationkey AS frame FROM customer JOIN (SELECT n_nationkey, row_number() OVER (ORDER BY n_nationkey) AS n FROM nation) o ON n = least(c_custkey + 1, (SELECT count(*) FROM nation))")
 def j10(spark, sf):
-    """Positions joined to a short clip's frames; past its end the last frame repeats."""
-    o = T.table(spark, sf, "orders").where("o_orderkey <= 100").select(F.col("o_orderkey").alias("frame"))
-    numbered = o.withColumn("n", F.row_number().over(Window.orderBy("frame"))).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy()))
-    last = numbered.agg(F.max("total").alias("total"))
-    pos = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos")).crossJoin(F.broadcast(last)).withColumn("n", F.least("pos", "total"))
-    return pos.join(F.broadcast(numbered.select("n", "frame")), "n").select("pos", "frame")
+    """Positions joined to a short clip's frames (the 25 rows of a dimension); past its end the last frame repeats."""
+    numbered = T.table(spark, sf, "nation").select(F.col("n_nationkey").alias("frame"), F.row_number().over(Window.orderBy("n_nationkey")).alias("n"))
+    last = numbered.agg(F.max("n").alias("total"))
+    pos = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("pos")).crossJoin(F.broadcast(last)).withColumn("n", F.least(F.col("pos") + 1, F.col("total")))
+    return pos.join(F.broadcast(numbered), "n").select("pos", "frame")
 
 
 @query("j11_neighbour_self_join", with_px("SELECT p.frame, p.y, p.x, p.val - (u.val + d.val) // 2 AS val FROM px p JOIN px u ON u.frame = p.frame AND u.x = p.x AND u.y = p.y - 2 JOIN px d ON d.frame = p.frame AND d.x = p.x AND d.y = p.y + 2"))
@@ -120,11 +118,12 @@ def e3(spark, sf):
     return T.table(spark, sf, "orders").select(F.col("o_custkey").alias("k")).intersect(T.table(spark, sf, "customer").where("c_acctbal > 0").select("c_custkey"))
 
 
-@query("e4_e6_session_edit", "(SELECT c_custkey AS clip FROM customer WHERE c_custkey <= 500 UNION ALL SELECT s_suppkey + 100000 FROM supplier) EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 0")
+@query("e4_e6_session_edit", "(SELECT c_custkey AS clip FROM customer UNION ALL SELECT s_suppkey + 10000000 FROM supplier) EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
 def e4(spark, sf):
     """Append clips, delete the selected ones."""
-    every = T.table(spark, sf, "customer").where("c_custkey <= 500").select(F.col("c_custkey").alias("clip")).unionAll(T.table(spark, sf, "supplier").select((F.col("s_suppkey") + 100000).alias("clip")))
-    return every.exceptAll(every.limit(0)).distinct().join(T.table(spark, sf, "orders").where("o_orderkey % 2 = 0").select(F.col("o_custkey").alias("clip")), "clip", "left_anti")
+    every = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("clip")).unionAll(T.table(spark, sf, "supplier").select((F.col("s_suppkey") + 10_000_000).alias("clip")))
+    gone = T.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("clip"))
+    return every.distinct().join(gone, "clip", "left_anti")
 
 
 @query("e5_plane_union", with_px("SELECT frame, 2 * (y // 2) + dy AS y, 2 * (x // 2) + dx AS x, val FROM (SELECT frame, y, x, val, y % 2 AS dy, x % 2 AS dx FROM px)"))
@@ -150,7 +149,7 @@ def e7(spark, sf):
     )
 
 
-_layers = "SELECT frame // 4 AS clip, y, x, frame % 4 AS layer, val / 16383.0 AS v, CASE WHEN frame % 4 = 0 THEN 1.0 ELSE least(least(x, 7 - x) / 3.0, 1.0) * least(least(y, 7 - y) / 3.0, 1.0) END AS alpha, frame % 4 = 2 AS difference FROM px WHERE frame < 400"
+_layers = "SELECT frame // 4 AS clip, y, x, frame % 4 AS layer, val / 16383.0 AS v, CASE WHEN frame % 4 = 0 THEN 1.0 ELSE least(least(x, 7 - x) / 3.0, 1.0) * least(least(y, 7 - y) / 3.0, 1.0) END AS alpha, frame % 4 = 2 AS difference FROM px"
 
 
 @query("e8_layer_compositing", with_px(f", l AS ({_layers}), s AS (SELECT clip, y, x, max(CASE WHEN layer = 0 THEN v END) AS v0, max(CASE WHEN layer = 1 THEN v END) AS v1, max(CASE WHEN layer = 2 THEN v END) AS v2, max(CASE WHEN layer = 3 THEN v END) AS v3, max(CASE WHEN layer = 1 THEN alpha END) AS a FROM l GROUP BY ALL) SELECT clip, y, x, {r6('v3 * a + abs((v1 * a + v0 * (1 - a)) - v2) * (1 - a)')} AS v FROM s").replace(") , l AS", "), l AS"))
@@ -159,7 +158,7 @@ def e8(spark, sf):
     y, x = F.col("y"), F.col("x")
     feather = F.least(F.least(x, 7 - x) / 3.0, F.lit(1.0)) * F.least(F.least(y, 7 - y) / 3.0, F.lit(1.0))
     layer = F.col("frame") % 4
-    d = T.to_long(T.frames(spark, sf).where("frame < 400")).select(X.idiv(F.col("frame"), 4).alias("clip"), "y", "x", layer.alias("layer"), (F.col("val") / 16383.0).alias("v"), F.when(layer == 0, 1.0).otherwise(feather).alias("alpha"), (layer == 2).alias("difference"))
+    d = T.px(spark, sf).select(X.idiv(F.col("frame"), 4).alias("clip"), "y", "x", layer.alias("layer"), (F.col("val") / 16383.0).alias("v"), F.when(layer == 0, 1.0).otherwise(feather).alias("alpha"), (layer == 2).alias("difference"))
     return J.composite(d, "clip", "y", "x").select("clip", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
 
 
@@ -228,10 +227,10 @@ def p21(spark, sf):
     return d.select("frame", "y", "x", *[F.col(f"v_{c}").alias(c) for c in "rgb"])
 
 
-@query("sc16_pixel_map_edit", "SELECT y, x FROM (SELECT (p_partkey * 7) % 60 AS y, (p_partkey * 11) % 90 AS x FROM part WHERE p_partkey <= 400) GROUP BY ALL HAVING (y, x) NOT IN (SELECT (s_suppkey * 7) % 60, (s_suppkey * 11) % 90 FROM supplier)")
+@query("sc16_pixel_map_edit", "SELECT y, x FROM (SELECT (p_partkey * 7) % 600 AS y, (p_partkey * 11) % 900 AS x FROM part) GROUP BY ALL HAVING (y, x) NOT IN (SELECT (s_suppkey * 7) % 600, (s_suppkey * 11) % 900 FROM supplier)")
 def sc16(spark, sf):
     """Add pixels to a map, remove others."""
-    p = T.table(spark, sf, "part").where("p_partkey <= 400")
-    m = p.select(((F.col("p_partkey") * 7) % 60).alias("y"), ((F.col("p_partkey") * 11) % 90).alias("x")).distinct()
-    gone = T.table(spark, sf, "supplier").select(((F.col("s_suppkey") * 7) % 60).alias("y"), ((F.col("s_suppkey") * 11) % 90).alias("x"))
+    p = T.table(spark, sf, "part")
+    m = p.select(((F.col("p_partkey") * 7) % 600).alias("y"), ((F.col("p_partkey") * 11) % 900).alias("x")).distinct()
+    gone = T.table(spark, sf, "supplier").select(((F.col("s_suppkey") * 7) % 600).alias("y"), ((F.col("s_suppkey") * 11) % 900).alias("x"))
     return m.join(gone, ["y", "x"], "left_anti")

@@ -142,12 +142,24 @@ def w20(spark, sf):
     return hdr.blend(hdr.interpolate_rows(T.frames(spark, sf), black=2048), black=2048, start=10.0, overlap=3.0)
 
 
-@query("w22_temporal_mean", with_px("SELECT frame, y, x, CAST(sum(val) OVER w AS BIGINT) // count(*) OVER w AS mean3, (val + coalesce(lag(val) OVER v, val)) // 2 AS blend FROM px WINDOW w AS (PARTITION BY y, x ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), v AS (PARTITION BY y, x ORDER BY frame)"))
+@query("w22_temporal_mean", with_px("SELECT frame, clip, y, x, CAST(sum(val) OVER w AS BIGINT) // count(*) OVER w AS mean3, (val + coalesce(lag(val) OVER v, val)) // 2 AS blend FROM (SELECT px.*, label AS clip FROM px JOIN embeddings ON vec_id = frame) WINDOW w AS (PARTITION BY clip, y, x ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), v AS (PARTITION BY clip, y, x ORDER BY frame)"))
 def w22(spark, sf):
-    """Mean of three frames and blend of two, per place. A place's series is the window's partition."""
-    v = Window.partitionBy("y", "x").orderBy("frame")
-    w = v.rowsBetween(-2, 0)
-    return T.px(spark, sf).select("frame", "y", "x", X.idiv(F.sum("val").over(w), F.count("val").over(w)).alias("mean3"), X.idiv(F.col("val") + F.coalesce(F.lag("val").over(v), F.col("val")), 2).alias("blend"))
+    """Mean of three frames and blend of two of a clip.
+
+    The window runs over dense frames, one row each, so a clip is sorted once and not once per
+    pixel; neighbours meet element by element.
+    """
+    v = Window.partitionBy("clip").orderBy("frame")
+    near = T.frames(spark, sf, "label").withColumnRenamed("label", "clip").select("frame", "clip", "h", "w", "data", F.lag("data", 1).over(v).alias("b"), F.lag("data", 2).over(v).alias("c"))
+    three = F.zip_with("data", F.coalesce("b", "data"), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    made = F.zip_with(
+        three, F.coalesce("c", F.transform("data", lambda _: F.lit(0).cast("long"))),
+        lambda p, c: F.struct(
+            F.when(F.col("b").isNull(), p["a"]).when(F.col("c").isNull(), X.idiv(p["a"] + p["b"], 2)).otherwise(X.idiv(p["a"] + p["b"] + c, 3)).alias("mean3"),
+            X.idiv(p["a"] + p["b"], 2).alias("blend"),
+        ),
+    )
+    return T.to_long(near.withColumn("data", made), "clip").select("frame", "clip", "y", "x", "val.*")
 
 
 @query("w6_edge_aware_blur")

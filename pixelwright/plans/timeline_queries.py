@@ -73,7 +73,7 @@ def t2(spark, sf):
 @query("t4_first_frame_state", with_px("SELECT p.frame, p.y, p.x, p.val - s.val AS val FROM px p JOIN (SELECT e.vec_id AS frame, min(f.vec_id) AS first FROM embeddings e JOIN embeddings f ON f.label = e.label GROUP BY 1) c USING (frame) JOIN px s ON s.frame = c.first AND s.y = p.y AND s.x = p.x"))
 def t4(spark, sf):
     """Coefficients of a clip's first frame, used for all its frames. The first frame is an aggregate per clip."""
-    f = T.frames(spark, sf).join(T.table(spark, sf, "embeddings").select(F.col("vec_id").alias("frame"), "label"), "frame")
+    f = T.frames(spark, sf, "label")
     first = f.groupBy("label").agg(F.min_by("data", "frame").alias("first"))
     both = f.join(first, "label").withColumn("data", F.zip_with("data", "first", lambda a, b: a - b))
     return T.to_long(both)

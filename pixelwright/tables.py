@@ -19,10 +19,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dense 8x8 frames of 14-bit samples."""
+def frames(spark: SparkSession, sf_dir: str, *keep: str) -> DataFrame:
+    """Dense 8x8 frames of 14-bit samples, with other columns of their table if asked."""
     data = F.transform("embedding", lambda v: F.floor((v.cast("double") + 1) * 8191.5))
-    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), data.alias("data"))
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), F.lit(SIDE).alias("h"), F.lit(SIDE).alias("w"), data.alias("data"), *keep)
 
 
 def to_long(dense: DataFrame, *keep: str) -> DataFrame:
