@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions import exprs as X
 from ..operators import stats as A
+from ..operators import stencil as S
 from .common import PX, RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
 from .registry import query
 
@@ -22,15 +23,17 @@ SELECT frame, y, x, m.median, {r6('log2(512.0 / greatest(m.median, 1))')} AS cor
 
 @query("a27_deflicker", f"WITH {PX}, {_flag}")
 def a27(spark, sf):
-    """Levels, histogram, upper median and a per-frame gain, joined back to the pixels.
+    """Levels, upper median of the 10-bit values and a gain per frame, all within the frame's row: no shuffle."""
+    lv = F.transform("data", lambda v: X.levels(v * 4, 2048, 15000))
 
-    A median per frame is one small row, but their number grows with the clips, so the join is
-    left to the planner; both sides are partitioned by frame already.
-    """
-    lv = T.px(spark, sf).select("frame", "y", "x", X.levels(F.col("val") * 4, 2048, 15000).alias("v"))
-    med = A.upper_median(A.histogram(lv, "frame", bin_=F.shiftright("v", 6)), "frame")
-    gain = 512.0 / F.greatest(F.col("median"), F.lit(1))
-    return lv.join(med, "frame").select("frame", "y", "x", "median", (F.round(F.log2(gain), 6) + 0.0).alias("correction"), X.clamp16(X.trunc(F.col("v") * gain)).alias("val"))
+    def rule(v):
+        median = F.get(F.array_sort(F.transform(v, lambda x: F.shiftright(x, 6))), F.floor(F.size(v) / 2))
+        gain = 512.0 / F.greatest(median, F.lit(1))
+        made = F.transform(v, lambda x: X.clamp16(X.trunc(x * gain)))
+        return F.struct(median.alias("median"), (F.round(F.log2(gain), 6) + 0.0).alias("correction"), made.alias("data"))
+
+    f = T.frames(spark, sf).select("frame", "h", "w", S.once(lv, rule).alias("m"))
+    return T.to_long(f.select("frame", "h", "w", "m.*"), "median", "correction").select("frame", "y", "x", "median", "correction", "val")
 
 
 @query("a1_histogram", with_px("SELECT frame, least(val, 12000) >> 6 AS bin, count(*) AS n FROM px GROUP BY ALL"))
@@ -45,8 +48,10 @@ def a2(spark, sf):
 
 @query("a3_lower_median", with_px("SELECT frame, quantile_disc(val, 0.5) AS median, quantile_disc(val, 0.98) AS p98, list_sort(list(val))[10] AS tenth FROM px GROUP BY frame"))
 def a3(spark, sf):
-    f = T.px(spark, sf).groupBy("frame")
-    return f.agg(A.lower_median("val").alias("median"), A.percentile("val", 0.98).alias("p98"), F.element_at(F.array_sort(F.collect_list("val")), 10).alias("tenth"))
+    """Order statistics of the dense row: k-th smallest by sorting within the frame."""
+    f = T.frames(spark, sf).select("frame", F.array_sort("data").alias("s"), F.size("data").alias("n"))
+    at = lambda share: F.get("s", F.ceil(F.col("n") * share).cast("int") - 1)
+    return f.select("frame", at(0.5).alias("median"), at(0.98).alias("p98"), F.get("s", F.lit(9)).alias("tenth"))
 
 
 _five = "list_sort([val, " + ", ".join(f"a[least(greatest(y + {dy}, 0), 7) * 8 + least(greatest(x + {dx}, 0), 7) + 1]" for dy, dx in ((-1, 0), (1, 0), (0, -1), (0, 1))) + "])"
@@ -54,8 +59,6 @@ _five = "list_sort([val, " + ", ".join(f"a[least(greatest(y + {dy}, 0), 7) * 8 +
 
 @query("a4_small_medians", with_dense(f"SELECT frame, y, x, {_five}[3] AS med5, {_five}[2] AS second FROM pd"))
 def a4(spark, sf):
-    from ..operators import stencil as S
-
     def rule(at, y, x):
         cells = F.array_sort(F.array(at(0, 0), at(-1, 0), at(1, 0), at(0, -1), at(0, 1)))
         return F.struct(F.element_at(cells, 3).alias("med5"), F.element_at(cells, 2).alias("second"))
@@ -227,9 +230,9 @@ def a25(spark, sf):
 
 @query("a26_audio_envelope", with_px("SELECT frame AS bucket, CAST(max(greatest(v, -v - 1)) AS BIGINT) AS peak, CAST(least(31, floor(round((100 * ln(CAST(greatest(1, max(greatest(v, -v - 1))) AS DOUBLE)) + max(greatest(v, -v - 1)) / 10.0) / 116, 6))) AS BIGINT) AS shown FROM (SELECT frame, val - 8192 AS v FROM px) GROUP BY frame"))
 def a26(spark, sf):
-    """Samples of a bucket fold to one peak, negatives mirrored; buckets are frames here."""
-    v = F.col("val") - 8192
-    p = T.px(spark, sf).groupBy(F.col("frame").alias("bucket")).agg(F.max(F.greatest(v, -v - 1)).alias("peak"))
+    """Samples of a bucket fold to one peak, negatives mirrored; buckets are frames here, so rows stay where they are."""
+    peak = F.array_max(F.transform("data", lambda s: F.greatest(s - 8192, 8191 - s)))
+    p = T.frames(spark, sf).select(F.col("frame").alias("bucket"), peak.alias("peak"))
     shown = (100 * F.ln(F.greatest(F.lit(1), F.col("peak")).cast("double")) + F.col("peak") / 10.0) / 116
     return p.select("bucket", "peak", F.least(F.lit(31).cast("long"), F.floor(F.round(shown, 6))).alias("shown"))
 

@@ -36,6 +36,6 @@ def test_filter_reaches_the_scan(spark):
     assert "PushedFilters: [IsNotNull(vec_id)" in plan
 
 
-def test_stencils_do_not_shuffle(spark):
-    for name in ("w1_box_blur", "w3_sobel", "w10_bilinear_demosaic", "p12_tone_curves"):
+def test_frame_operators_do_not_shuffle(spark):
+    for name in ("w1_box_blur", "w3_sobel", "w10_bilinear_demosaic", "p12_tone_curves", "a27_deflicker", "a3_lower_median"):
         assert "Exchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
