@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, iblt, jaccard_join, langid, licenses, media, packing, quality, token_counts
+from . import bpe, html_text, iblt, jaccard_join, langid, licenses, media, oracles, packing, quality, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -27,4 +27,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_license_scan": licenses.ORACLE,
+        "op9_jaccard_join": oracles.JACCARD_JOIN,
     }

@@ -81,6 +81,13 @@ def test_all_documents(spark):
     assert got == brute(docs)
 
 
+def test_oracle(spark):
+    from pixelwright.llm.oracles import JACCARD_JOIN
+    from tests.oracle import check, connect
+
+    check(spark, connect(SF), J.op9, JACCARD_JOIN, SF)
+
+
 def test_awkward_rows(spark):
     docs = [(r["doc_id"], r["text"]) for r in documents(spark).collect()]
     got = J.similar_components(documents(spark)).collect()
