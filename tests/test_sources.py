@@ -129,3 +129,22 @@ def test_dark_frame_must_fit(spark):
     clip = spark.createDataFrame([(1, 4, 4, [0] * 16)], "frame long, h int, w int, data array<bigint>")
     dark = spark.createDataFrame([(0, 4, 4, [1] * 16), (0, 2, 8, [1] * 16)], "frame long, h int, w int, data array<bigint>")
     assert X.load_dark_frame(dark, clip).count() == 1
+
+
+def test_trailer_container(spark, tmp_path):
+    from pixelwright.sources import trailer_container as M
+
+    meta = '{"iso": %d, "width": 4, "height": 2, "asShotNeutral": [0.5, 1.0, 0.6]}'
+    frames = [(k * 41_666_667, meta % (100 + k), bytes([k]) * 8) for k in (2, 0, 1, 3)]
+    camera = '{"whiteLevel": 1023, "colorMatrix1": [2,0,0,0,2,0,0,0,2], "extraData": {"audioChannels": 2, "audioSampleRate": 48000}}'
+    (tmp_path / "a.mcraw").write_bytes(M.build(camera, frames, [(5000, b"xyz"), (9000, b"uvw")]))
+    (tmp_path / "bad.mcraw").write_bytes(b"MOTION \x03" + b"junk" * 20)
+    (tmp_path / "short.mcraw").write_bytes(b"MO")
+    rows = M.read(spark, str(tmp_path))
+    got = M.frames(rows).orderBy("number").collect()
+    assert [(r["ts"], r["iso"], bytes(r["payload"])[0]) for r in got] == [(k * 41_666_667 // 1000, 100 + k, k) for k in range(4)]
+    assert [(r["ts"], bytes(r["payload"])) for r in rows.where("kind = 'audio'").orderBy("number").collect()] == [(5, b"xyz"), (9, b"uvw")]
+    c = M.cameras(rows).first()
+    assert c["colorMatrix2"][0] == 2.0 and c["extraData"]["audioSampleRate"] == 48000
+    assert M.frame_rate(rows).first()["rate"] == 24
+    assert rows.where("kind = 'error'").count() == 2
