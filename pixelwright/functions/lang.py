@@ -64,6 +64,13 @@ def _ncr(n: Column, k: Column) -> Column:
     return F.round(_factorial(n) / (_factorial(k) * _factorial(n - k)))
 
 
+def register(name: str, arity: int, column, sql: str, python) -> None:
+    """Bind a user function: a Column builder, SQL text with {0}, {1} ... and a Python function."""
+    if not re.fullmatch(r"[a-z][a-z0-9_]*", name) or name in CONSTANTS or name == "x" or not 1 <= arity <= 7:
+        raise ValueError(f"cannot bind {name}/{arity}")
+    FUNCTIONS[name] = (arity, column, sql, python)
+
+
 class ExpressionError(ValueError):
     """A text that is not in the language; position is the offending character's."""
 

@@ -131,6 +131,37 @@ def bilinear_demosaic(df: DataFrame, color: str) -> DataFrame:
     return plane.withColumn("data", once(F.col("data"), lambda data: F.transform(data, lambda _, i: border(data, i))))
 
 
+#: Gradient-corrected linear interpolation (Malvar, He and Cutler, 2004), weights in sixteenths
+#: by offset. cross: green at red or blue; row: the colour whose samples lie in this row, at green;
+#: diagonal: red at blue and the reverse. A column filter is the transposed row filter.
+CORRECTED = {
+    "cross": {(0, 0): 8, (-1, 0): 4, (1, 0): 4, (0, -1): 4, (0, 1): 4, (-2, 0): -2, (2, 0): -2, (0, -2): -2, (0, 2): -2},
+    "row": {(0, 0): 10, (0, -1): 8, (0, 1): 8, (-1, -1): -2, (-1, 1): -2, (1, -1): -2, (1, 1): -2, (0, -2): -2, (0, 2): -2, (-2, 0): 1, (2, 0): 1},
+    "diagonal": {(0, 0): 12, (-1, -1): 4, (-1, 1): 4, (1, -1): 4, (1, 1): 4, (-2, 0): -3, (2, 0): -3, (0, -2): -3, (0, 2): -3},
+}
+CORRECTED["column"] = {(x, y): k for (y, x), k in CORRECTED["row"].items()}
+
+
+def corrected_demosaic(df: DataFrame, top: int) -> DataFrame:
+    """All three colours of an RGGB frame: bilinear means corrected by the gradient of the colour that is known."""
+
+    def rule(at: At, y: Column, x: Column) -> Column:
+        def filtered(name: str) -> Column:
+            total = F.lit(0)
+            for (dy, dx), k in CORRECTED[name].items():
+                total = total + at(dy, dx) * k
+            return F.greatest(F.lit(0), F.least(F.lit(top), F.floor(total / 16)))
+
+        even_y, even_x = y % 2 == 0, x % 2 == 0
+        own = at(0, 0)
+        red = F.when(even_y & even_x, own).when(even_y, filtered("row")).when(even_x, filtered("column")).otherwise(filtered("diagonal"))
+        blue = F.when(~even_y & ~even_x, own).when(~even_y, filtered("row")).when(~even_x, filtered("column")).otherwise(filtered("diagonal"))
+        green = F.when(even_y == even_x, filtered("cross")).otherwise(own)
+        return F.struct(red.cast("long").alias("r"), green.cast("long").alias("g"), blue.cast("long").alias("b"))
+
+    return apply(df, rule)
+
+
 def rotate_180(df: DataFrame) -> DataFrame:
     return df.withColumn("data", F.reverse("data"))
 

@@ -82,6 +82,19 @@ def w10(spark, sf):
     return T.to_long(planes.withColumn("data", F.arrays_zip("r", "g", "b"))).select("frame", "y", "x", "val.*")
 
 
+def _fir(name: str) -> str:
+    total = " + ".join(f"{at(dy, dx)} * ({k})" for (dy, dx), k in S.CORRECTED[name].items())
+    return f"greatest(0, least(16383, CAST(floor(({total}) / CAST(16 AS DOUBLE)) AS BIGINT)))"
+
+
+_ee, _eo, _oe, _oo = (f"y % 2 = {a} AND x % 2 = {b}" for a in (0, 1) for b in (0, 1))
+
+
+@query("w12_corrected_demosaic", with_dense(f"SELECT frame, y, x, CASE WHEN {_ee} THEN val WHEN {_eo} THEN {_fir('row')} WHEN {_oe} THEN {_fir('column')} ELSE {_fir('diagonal')} END AS r, CASE WHEN y % 2 = x % 2 THEN {_fir('cross')} ELSE val END AS g, CASE WHEN {_oo} THEN val WHEN {_oe} THEN {_fir('row')} WHEN {_eo} THEN {_fir('column')} ELSE {_fir('diagonal')} END AS b FROM pd"))
+def w12(spark, sf):
+    return T.to_long(S.corrected_demosaic(T.frames(spark, sf), 16383)).select("frame", "y", "x", "val.*")
+
+
 @query("w11_nearest_demosaic", with_px("SELECT p.frame, p.y, p.x, q.r, q.g, q.b FROM px p JOIN (SELECT frame, y // 2 AS qy, x // 2 AS qx, max(CASE WHEN y % 2 = 0 AND x % 2 = 0 THEN val END) AS r, max(CASE WHEN y % 2 = 0 AND x % 2 = 1 THEN val END) AS g, max(CASE WHEN y % 2 = 1 AND x % 2 = 1 THEN val END) AS b FROM px GROUP BY ALL) q ON q.frame = p.frame AND q.qy = p.y // 2 AND q.qx = p.x // 2"))
 def w11(spark, sf):
     f = T.frames(spark, sf)

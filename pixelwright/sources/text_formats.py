@@ -111,6 +111,11 @@ def camera_metadata(json: Column) -> Column:
     return F.from_json(json, CAMERA_JSON)
 
 
+def map_listing(json: Column) -> Column:
+    """name, size and digest of each file of a remote listing (a JSON array), as an array of structs."""
+    return F.from_json(json, "array<struct<name: string, size: bigint, sha: string, download_url: string>>")
+
+
 def stale(content: Column, listed_sha1: Column) -> Column:
     """Whether a file's content (binary) differs from a listing's digest of ``blob <size>\\0<content>``."""
     head = F.concat(F.encode(F.concat(F.lit("blob "), F.octet_length(content).cast("string")), "utf-8"), F.unhex(F.lit("00")))

@@ -44,3 +44,14 @@ def test_column_agrees_with_python(spark):
     for p, row in zip(points, got):
         for t, v in zip(texts, row):
             assert v == pytest.approx(lang.evaluate(lang.parse(t), p), abs=1e-9)
+
+
+def test_user_function(spark):
+    lang.register("smooth", 3, lambda a, b, v: (v - a) / (b - a), "(({2} - {0}) / ({1} - {0}))", lambda a, b, v: (v - a) / (b - a))
+    try:
+        assert lang.evaluate(lang.parse("smooth(1, 3, x)"), 2.0) == 0.5
+        assert spark.range(1).select(lang.compile_column("smooth(1, 3, x)", F.lit(2.5))).first()[0] == 0.75
+        with pytest.raises(ValueError):
+            lang.register("X", 1, None, "", None)
+    finally:
+        del lang.FUNCTIONS["smooth"]

@@ -110,6 +110,8 @@ def test_small_formats(spark, tmp_path):
     assert sorted(map(tuple, X.properties(spark, str(f)).collect())) == [("a", "1"), ("b", "x = y")]
     m = spark.createDataFrame([('{"iso": 200, "asShotNeutral": [0.5, 1, 0.6]}',), ("junk",)], "j string").select(X.camera_metadata(F.col("j")).alias("m")).collect()
     assert m[0]["m"]["iso"] == 200 and m[0]["m"]["asShotNeutral"][2] == 0.6 and m[0]["m"]["width"] is None
+    listing = spark.createDataFrame([('[{"name": "a.fpm", "size": 3, "sha": "ff"}]',)], "j string").select(X.map_listing(F.col("j")).alias("l")).first()["l"]
+    assert listing[0]["name"] == "a.fpm" and listing[0]["sha"] == "ff"
     content = b"hello"
     listed = hashlib.sha1(b"blob 5\0hello").hexdigest()
     d = spark.createDataFrame([(bytearray(content), listed), (bytearray(b"other"), listed)], "c binary, s string")
