@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelwright.llm import jaccard_join, langid, packing, quality
-from pixelwright.llm.common import drop_files, materialize, tokenizer_path
+from pixelwright.llm.common import drop_files, lean, materialize, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,6 +30,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in training sequences."""
+    lean(spark)
     return packing.pack(docs.select("doc_id", "text"), "doc_id", "text", tokenizer_path(packing.VOCABULARY))
 
 

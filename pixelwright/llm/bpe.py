@@ -31,7 +31,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import pick, table, tokenizer_path, utf8
+from .common import lean, pick, table, tokenizer_path, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts of more characters are halved.
@@ -250,5 +250,6 @@ def decode_column(df: DataFrame, key: str, ids: str, vocabulary: str) -> DataFra
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return round_trip(docs, "doc_id", "text", tokenizer_path(VOCABULARY))

@@ -34,6 +34,17 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Rows of texts that go to a Python worker at once; the planner's default of 10,000 is for narrow rows.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Smaller Arrow batches for the stages that hand whole texts to Python, unless the session sets its own."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or (local tests) a temporary one.
 

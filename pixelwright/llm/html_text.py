@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, table
+from .common import lean, pick, table
 from .html_blocks import Block, blocks
 from .labelled_pages import labelled_pages
 
@@ -201,5 +201,6 @@ def main_text(df: DataFrame, key: str, url: str, page: str, field: Field | None
 
 
 def op5(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     pages = pick(table(spark, sf_dir, "pages"), page_id="page_id", url="url", html="html")
     return main_text(pages, "page_id", "url", "html")

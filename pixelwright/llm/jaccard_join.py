@@ -42,21 +42,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_files, materialize, pick, table, utf8
+from .common import drop_files, lean, materialize, pick, table, utf8
 from .components import components
 
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 80 * union, so 9 * intersection >= 4 * (sizes together).
 NUMERATOR, DENOMINATOR = 4, 5
 #: Two fixed-size tables of bits say which shingles are shared by several classes, and which by at least COMMON.
-SHARED_BITS = 1 << 28
+SHARED_BITS = 1 << 27
 COMMON_BITS = 1 << 24
 COMMON = 48
 #: Shingles of one chunk of a group.
 CHUNK = 1 << 21
 PIVOTS = 8
 #: Shingles that a task holds before it hands them on.
-BUFFER = 1 << 20
+BUFFER = 1 << 19
 
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -65,7 +65,7 @@ class _WordHashes(dict):
     """word -> 64-bit hash; emptied when large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 19:
+        if len(self) > 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
         return value
@@ -149,7 +149,7 @@ def _summary(targets: int):
                 sizes.append(len(s))
                 digests.append(d)
                 if len(s) and d not in seen:  # copies in one task count once
-                    if len(seen) > 1 << 18:
+                    if len(seen) > 1 << 16:
                         seen.clear()
                     seen.add(d)
                     held.append(s)
@@ -236,7 +236,7 @@ def _postings(targets: int, shared_bits: int, common_bits: int, tables):
                 d = digest(s)
                 if d in seen:
                     continue
-                if len(seen) > 1 << 18:
+                if len(seen) > 1 << 16:
                     seen.clear()
                 seen.add(d)
                 # alone in its class, a shingle links nothing: such ones come first and need no posting
@@ -524,11 +524,13 @@ def _large_links(large: DataFrame, docs: DataFrame, classes: DataFrame) -> DataF
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return similar_components(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least id stays, once; all columns kept."""
+    lean(spark)
     found = similar_components(pick(docs, doc_id="doc_id", text="text"))
     kept = found.where("doc_id = component_id").select("doc_id").distinct()
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)

@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, table, utf8
+from .common import crc_mod, lean, pick, table, utf8
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams; n-gram lengths in bytes.
@@ -179,6 +179,7 @@ def held_out(key: str = "doc_id"):
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     model = train(docs.where(~held_out()), "doc_id", "text", "lang")
     found = predict(docs, "doc_id", "text", model)
@@ -190,6 +191,7 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model learns from the corpus's own documents table, by the same split as op10.
     """
+    lean(spark)
     corpus = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text", lang="lang")
     model = train(corpus.where(~held_out()), "doc_id", "text", "lang")
     return filtered(docs, model)

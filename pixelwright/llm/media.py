@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import pick, table, utf8
+from .common import lean, pick, table, utf8
 
 BLOCK = 64
 RATE = 8000
@@ -174,4 +174,5 @@ def documents_digests(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     return documents_digests(pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text"))

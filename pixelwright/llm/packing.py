@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .bpe import VOCABULARY, ByteBpe, encoder
-from .common import pick, table, tokenizer_path, utf8
+from .common import lean, pick, table, tokenizer_path, utf8
 
 SEQUENCE = 2048
 END_ID = 1
@@ -193,5 +193,6 @@ def pack(df: DataFrame, key: str, text: str, vocabulary: str, length: int = SEQU
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return pack(docs, "doc_id", "text", tokenizer_path(VOCABULARY))

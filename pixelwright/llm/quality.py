@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, pick, table, utf8
+from .common import crc_mod, lean, pick, table, utf8
 
 FIT_POSITIVE = 8000
 FIT_UNLABELLED = 16000
@@ -186,6 +186,7 @@ def _corpus_model(spark, sf_dir: str) -> Model | None:
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     found = score(docs, "doc_id", "text", _corpus_model(spark, sf_dir))
     return found.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -193,6 +194,7 @@ def op3(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop documents scored below THRESHOLD; the model is op3's."""
+    lean(spark)
     return filtered(docs, _corpus_model(spark, sf_dir))
 
 

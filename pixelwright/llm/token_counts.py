@@ -29,7 +29,7 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from .common import pick, table, tokenizer_path, utf8
+from .common import lean, pick, table, tokenizer_path, utf8
 
 VOCABULARY = "piece_bpe_32k.model"
 MARKER = "▁"
@@ -129,5 +129,6 @@ def token_counts(df: DataFrame, key: str, text: str, vocabulary: str) -> DataFra
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
+    lean(spark)
     docs = pick(table(spark, sf_dir, "documents"), doc_id="doc_id", text="text")
     return token_counts(docs, "doc_id", "text", tokenizer_path(VOCABULARY))
