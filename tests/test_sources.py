@@ -150,3 +150,43 @@ def test_trailer_container(spark, tmp_path):
     assert c["colorMatrix2"][0] == 2.0 and c["extraData"]["audioSampleRate"] == 48000
     assert M.frame_rate(rows).first()["rate"] == 24
     assert rows.where("kind = 'error'").count() == 2
+
+
+def test_packed_bits():
+    import numpy as np
+
+    from pixelwright.sources import samples as S
+
+    rng = np.random.default_rng(1)
+    for bits in (10, 12, 14, 16):
+        v = rng.integers(0, 1 << bits, 37)
+        assert (S.unpack(S.pack(v, bits), bits, 37) == v).all()
+        assert S.pack(v, bits, big_endian=True) == np.frombuffer(S.pack(v, bits), "<u2").astype(">u2").tobytes()
+    assert S.pack(np.array([1]), 14) == struct.pack("<H", 1 << 2)  # the first sample sits in a word's high bits
+
+
+def test_frames_and_export(spark, tmp_path):
+    import numpy as np
+
+    from pixelwright.sources import samples as S
+
+    rng = np.random.default_rng(2)
+    shots = [rng.integers(0, 1 << 12, 24) for _ in range(4)]
+    body = C.block("RAWI", 1, S.raw_block(4, 6, 12, 100, 4000)) + C.block("EXPO", 2, b"e") + C.block("NULL", 3, b"")
+    body += b"".join(frame(1000 * (k + 1), S.pack(s, 12), k) for k, s in enumerate(shots))
+    body += b"".join(C.block("AUDF", 1000 * k + 500, struct.pack("<II", 0, 0) + bytes([k])) for k in range(5))
+    (tmp_path / "y.MLV").write_bytes(body)
+    found = C.blocks(spark, str(tmp_path))
+    info = S.raw_info(found).first()
+    assert (info["height"], info["width"], info["bits"], info["black"], info["white"]) == (4, 6, 12, 100, 4000)
+    dense = S.frames(found)
+    got = {r["frame"]: r["data"] for r in dense.collect()}
+    assert all(got[k] == shots[k].tolist() for k in range(4))
+    assert sorted((r["type"], r["ts"]) for r in S.cut(found, 2, 3).collect()) == [("AUDF", 2500), ("EXPO", 2), ("RAWI", 1), ("VIDF", 2000), ("VIDF", 3000)]
+    mean = S.averaged(dense).first()
+    assert mean["data"] == [(int(sum(s[i] for s in shots)) + 2) // 4 for i in range(24)]
+    again = S.as_blocks(S.averaged(dense), 12).first()
+    assert S.unpack(bytes(again["payload"])[S.VIDEO_LEAD.size :], 12, 24).tolist() == mean["data"]
+    for curve in ([2 * k for k in range(4096)], [2 * k for k in range(5000)]):
+        assert S.linearise(dense, curve).where("frame = 0").first()["data"] == [2 * v for v in shots[0].tolist()]
+    assert max(S.linearise(dense, [0, 7]).first()["data"]) == 7
