@@ -34,6 +34,19 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+def hash_sample(df: DataFrame, key: str, limit: int, total: int) -> DataFrame:
+    """The ``limit`` rows with the smallest hashes of their keys, of about ``total`` rows.
+
+    A threshold on the hash leaves about twice as many rows before anything is sorted, so no
+    task hands on ``limit`` rows of its own, however many tasks there are.
+    """
+    share = min(1.0, 2.0 * limit / max(1, total))
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key)))
+    if share < 1:
+        hashed = hashed.where(F.col("_h") <= F.lit(int(-(2**63) + share * 2**64)))
+    return hashed.orderBy("_h", key).limit(limit).drop("_h")
+
+
 #: Rows of texts that go to a Python worker at once; the planner's default of 10,000 is for narrow rows.
 BATCH_ROWS = 1000
 

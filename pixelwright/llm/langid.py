@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, pick, table, utf8
+from .common import crc_mod, hash_sample, lean, pick, table, utf8
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams; n-gram lengths in bytes.
@@ -37,7 +37,7 @@ BUCKETS = 1 << BUCKET_BITS
 LENGTHS = (1, 2, 3, 4)
 #: At most so many labelled rows are used to fit the classifiers.
 FIT_ROWS = 2400
-STEPS = 300
+STEPS = 120
 #: A text is ambiguous if its score is below this.
 AMBIGUOUS = 0.4
 #: Bytes of a text handled at once, so that memory stays bounded for very long texts.
@@ -123,14 +123,13 @@ def fit(vectors: np.ndarray, labels: list[str]) -> Model:
 def train(labelled: DataFrame, key: str, text: str, language: str, rows: int = FIT_ROWS) -> Model | None:
     """Fit on a bounded sample of ``labelled``; rows without text or language don't count."""
     known = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(language).alias("_lang")).where("_text is not null and _lang is not null")
-    present = sorted(r[0] for r in known.select("_lang").distinct().limit(1000).collect())
+    present = {r[0]: r[1] for r in known.groupBy("_lang").count().limit(1000).collect()}
     if not present:
         return None
     each = max(1, rows // len(present))
-    hashed = known.select("_key", "_lang", F.xxhash64("_key").alias("_h"))
     wanted = None
-    for name in present:  # a top-k per language: no sort of a whole language in one task
-        part = hashed.where(F.col("_lang") == name).orderBy("_h", "_key").limit(each)
+    for name in sorted(present):
+        part = hash_sample(known.where(F.col("_lang") == name).select("_key", "_lang"), "_key", each, present[name])
         wanted = part if wanted is None else wanted.unionByName(part)
     ids = sorted({(r[0], r[1]) for r in wanted.select("_key", "_lang").collect()}, key=str)
     chosen = labelled.sparkSession.createDataFrame([(k,) for k, _ in ids], known.select("_key").schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, lean, pick, table, utf8
+from .common import crc_mod, hash_sample, lean, pick, table, utf8
 
 FIT_POSITIVE = 8000
 FIT_UNLABELLED = 16000
@@ -132,10 +132,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -
     if not total[0]:
         return None
     prior = min(MOST_PRIOR, max(LEAST_PRIOR, total[1]))
-    order = [F.xxhash64("_key"), "_key"]
-    positive = {r[0] for r in known.where("_label = 1").select("_key").orderBy(*order).limit(FIT_POSITIVE).collect()}
+    positive = {r[0] for r in hash_sample(known.where("_label = 1").select("_key"), "_key", FIT_POSITIVE, round(total[0] * total[1])).collect()}
     every = docs.select(F.col(key).alias("_key"), utf8(text).alias("_bytes"))
-    unlabelled = {r[0] for r in every.select("_key").orderBy(*order).limit(FIT_UNLABELLED).collect()}
+    keys = every.select("_key")
+    unlabelled = {r[0] for r in hash_sample(keys, "_key", FIT_UNLABELLED, keys.count()).collect()}
     if not positive or not unlabelled:
         return None
     chosen = docs.sparkSession.createDataFrame(
