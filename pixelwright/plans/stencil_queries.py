@@ -221,3 +221,20 @@ def grade(spark, sf):
 
     settings = G.Settings(gains=(1.9, 1.0, 1.4), gamma=2.2, saturation=1.2, vibrance=1.0, toning=0.0)
     return G.grade(T.rgb(spark, sf), settings)
+
+
+@query("sc9_sk6_lossless_jpeg", with_px("SELECT frame, y, x, val FROM px"))
+def sc9(spark, sf):
+    """Every frame through the lossless codec and back."""
+    from ..sources import lossless_jpeg as J
+
+    return T.to_long(J.decode_frames(J.encode_frames(T.frames(spark, sf), 14, selection=6)))
+
+
+@query("sc8_sk5_payload_round_trip", with_px("SELECT frame, y, x, val FROM px"))
+def sc8(spark, sf):
+    """Every frame packed into 14-bit payloads and unpacked again."""
+    from ..sources import samples
+
+    packed = samples.as_blocks(T.frames(spark, sf), 14)
+    return T.to_long(samples.unpack_blocks(packed, 8, 8, 14))

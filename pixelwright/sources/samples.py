@@ -124,3 +124,17 @@ def as_blocks(dense: DataFrame, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(["VIDF"]), pa.array([frame], pa.int64()), pa.array([body], pa.binary())], names=["type", "ts", "payload"])
 
     return dense.select("frame", "data").mapInArrow(run, "type string, ts long, payload binary")
+
+
+def unpack_blocks(video: DataFrame, h: int, w: int, bits: int) -> DataFrame:
+    """Dense frames of video blocks of a known shape; a block's ts is its frame number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            data = [video_samples(p, bits, h * w) for p in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([h] * n, pa.int32()), pa.array([w] * n, pa.int32()), pa.array(data, pa.list_(pa.int64()))], names=["frame", "h", "w", "data"]
+            )
+
+    return video.selectExpr("ts as frame", "payload").mapInArrow(run, "frame long, h int, w int, data array<bigint>")
