@@ -6,7 +6,9 @@ be present: the first step always projects the wanted columns under private name
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -71,7 +73,9 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that every executor can reach")
     global _LOCAL
     if _LOCAL is None:
-        _LOCAL = "file://" + tempfile.mkdtemp(prefix="pixelwright-")
+        folder = tempfile.mkdtemp(prefix="pixelwright-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _LOCAL = "file://" + folder
     return _LOCAL
 
 

@@ -20,11 +20,11 @@ index is at least 0.8. The join is exact; no candidate, partner or bucket is cap
    overlap is computed once for all sets below it, and a subtree is left when the overlap and
    the remaining lengths can no longer reach the threshold, or all its sets are already known
    to be in the walker's component. Groups give forests of links, not all pairs.
-4. A group of more than CHUNK shingles is dealt out by hash to chunks; each chunk is joined in
-   itself and with a few pivots of the group. Then every class outside the group's largest
-   component meets every chunk: what remains unlinked after the first step is compared with
-   everything, so this is exact, too, and a huge group of near copies costs little more than
-   its size.
+4. A group of more than CHUNK shingles or CHUNK_ROWS classes is dealt out by hash to chunks; each
+   chunk is joined in itself and with a few pivots of the group. Then every class outside the
+   group's largest component meets every chunk: what remains unlinked after the first step is
+   compared with everything, so this is exact, too, and a huge group of near copies costs little
+   more than its size.
 5. Components of all links come from alternating stars; a component's id is its least doc_id.
 
 Cases: null text, or text without words, is the empty set and linked with nothing; fewer words
@@ -52,8 +52,9 @@ NUMERATOR, DENOMINATOR = 4, 5
 SHARED_BITS = 1 << 27
 COMMON_BITS = 1 << 24
 COMMON = 48
-#: Shingles of one chunk of a group.
+#: Shingles, and classes, of one chunk of a group.
 CHUNK = 1 << 21
+CHUNK_ROWS = 512
 PIVOTS = 8
 #: Shingles that a task holds before it hands them on.
 BUFFER = 1 << 19
@@ -109,7 +110,7 @@ def _target(s: np.ndarray, targets: int) -> np.ndarray:
 
 def _part(bits: int, targets: int) -> int:
     """Bits of a table for each target, whole bytes."""
-    return bits // targets // 8 * 8
+    return max(8, bits // targets // 8 * 8)
 
 
 def _bit(s: np.ndarray, targets: int, bits: int) -> np.ndarray:
@@ -410,7 +411,7 @@ def forest(sets: list[np.ndarray], walkers: np.ndarray | None = None) -> list[tu
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of runs of (leader, chunk). Columns: leader, chunk, member, walker, text."""
+    """Links of runs of (leader, chunk). Columns: leader, chunk, whole, member, walker, text."""
     for at, members in _group_runs(batches):
         links = set()
         if len(members) > 1:
@@ -421,7 +422,7 @@ def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links = {(names[a], names[b]) for a, b in found}
         if links:
             a, b = zip(*sorted(links))
-            yield pa.RecordBatch.from_arrays([pa.array([at[0]] * len(a), pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leader", "a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[int, tuple[np.ndarray, bool]]]]:
@@ -445,13 +446,18 @@ def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict
         yield at, members
 
 
-def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, whole: bool) -> DataFrame:
-    """Links within (leader, chunk); dealt: leader, chunk, member, walker."""
+def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, all_documents: bool) -> DataFrame:
+    """Links a, b within (leader, chunk, whole); dealt: leader, chunk, whole, member, walker.
+
+    With ``all_documents`` the deal grows with the corpus, and the texts meet it by a sort-merge
+    join at every size. Otherwise it is written first, so that the planner knows its size.
+    """
     named = dealt.join(classes.select(F.col("d").alias("member"), "rep"), "member")
+    named = named.hint("merge") if all_documents else materialize(named, "dealt")
     rows = docs.select(F.col("doc_id").alias("rep"), utf8("text").alias("_bytes")).join(named, "rep")
-    rows = rows.select("leader", "chunk", F.lit(whole).alias("whole"), "member", "walker", "_bytes")
+    rows = rows.select("leader", "chunk", "whole", "member", "walker", "_bytes")
     rows = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
-    return rows.mapInArrow(_join_groups, "leader long, a long, b long")
+    return materialize(rows.mapInArrow(_join_groups, "a long, b long"), "links")
 
 
 def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
@@ -464,7 +470,7 @@ def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
     return tables
 
 
-def similar_components(docs: DataFrame, chunk: int = CHUNK, common_from: int = COMMON, shared_bits: int = SHARED_BITS, common_bits: int = COMMON_BITS) -> DataFrame:
+def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CHUNK_ROWS, common_from: int = COMMON, shared_bits: int = SHARED_BITS, common_bits: int = COMMON_BITS) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, n_shingles, component_id. The other parameters steer the work, not the result."""
     spark = docs.sparkSession
     targets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 12)
@@ -475,23 +481,25 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, common_from: int = C
     counted = scanned.where("target is not null").select("target", "packed").repartition("target").sortWithinPartitions("target")
     tables = spark.sparkContext.broadcast(_gather(counted.mapInArrow(_tables(targets, shared_bits, common_bits, common_from), "target int, shared binary, common binary"), targets, shared_bits, common_bits))
 
+    summary = materialize(summary, "summary")
+    drop_files(scanned)  # the packed shingles are as large as the texts
+
     packed = docs.select(utf8("text").alias("_bytes")).mapInArrow(_postings(targets, shared_bits, common_bits, tables), "target int, packed binary")
     met = packed.repartition("target").sortWithinPartitions("target").mapInArrow(_memberships, "leader long, member long, n long")
     groups = materialize(met.distinct(), "groups")
     classes = summary.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"))
 
-    sizes = groups.groupBy("leader").agg((F.sum("n") / chunk).cast("int").alias("more"))
-    dealt = groups.join(sizes, "leader").withColumn("h", F.xxhash64("member"))
-    small = dealt.where("more = 0").select("leader", F.lit(0).alias("chunk"), "member", F.lit(True).alias("walker"))
-    edges = _links(small, docs, classes, whole=True).select("a", "b")
-    large = materialize(dealt.where("more > 0").select("leader", "member", "more", "h"), "large")
-    if large.limit(1).count():
-        edges = edges.unionByName(_large_links(large, docs, classes))
-    edges = materialize(edges, "links")
-    drop_files(groups)
-    drop_files(large)
-
+    more = F.greatest(F.sum("n") / chunk, F.count(F.lit(1)) / chunk_rows).cast("int")
+    dealt = groups.join(groups.groupBy("leader").agg(more.alias("more")), "leader").withColumn("h", F.xxhash64("member"))
+    edges = _links(_first_deal(dealt), docs, classes, all_documents=True)
     labels = components(edges)
+    again = materialize(_second_deal(dealt.where("more > 0"), labels), "again")
+    if again.limit(1).count():
+        edges = edges.unionByName(_links(again, docs, classes, all_documents=False))
+        labels = components(edges)
+    for done in (groups, again, edges):
+        drop_files(done)
+
     rooted = classes.join(labels, classes["d"] == labels["node"], "left").select("d", "rep", F.coalesce("root", "d").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_class = rooted.join(least, "root").select("d", "component_id")
@@ -501,26 +509,27 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, common_from: int = C
     )
 
 
-def _large_links(large: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Links of groups in several chunks; large: leader, member, more, h."""
-    chunks = F.col("more") + 1
-    own = large.select("leader", F.pmod("h", chunks).cast("int").alias("chunk"), "member", F.lit(True).alias("walker"))
-    ranked = large.groupBy("leader").agg(F.max("more").alias("more"), F.slice(F.sort_array(F.collect_set(F.when(F.col("h") < -(1 << 63) + (1 << 56), F.struct("h", "member")))), 1, PIVOTS).alias("p"))
-    lead = ranked.select("leader", "more", F.explode(F.array_union(F.array("leader"), F.col("p.member"))).alias("member"))
-    pivots = lead.select("leader", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk"), "member", F.lit(True).alias("walker"))
-    first = materialize(_links(own.unionByName(pivots).distinct(), docs, classes, whole=True), "links")
-    # each group's own components after the first step
-    pairs = first.select("a", "b")
-    labels = components(pairs)
+def _first_deal(dealt: DataFrame) -> DataFrame:
+    """Groups in chunks by hash, each with the group's pivots: its leader and the least of its hashes."""
+    own = dealt.select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member")
+    large = dealt.where("more > 0")
+    low = large.where(F.col("h") < F.lit(-(1 << 63)) + F.lit((1 << 64) // 64).cast("decimal(38,0)") / (F.col("more") + 1))
+    least = low.groupBy("leader").agg(F.max("more").alias("more"), F.slice(F.sort_array(F.collect_set(F.struct("h", "member"))), 1, PIVOTS).alias("p"))
+    pivots = least.select("leader", "more", F.explode("p.member").alias("member")).unionByName(large.where("member = leader").select("leader", "more", "member"))
+    copies = pivots.select("leader", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk"), "member")
+    return own.unionByName(copies).distinct().select("leader", "chunk", F.lit(True).alias("whole"), "member", F.lit(True).alias("walker"))
+
+
+def _second_deal(large: DataFrame, labels: DataFrame) -> DataFrame:
+    """For groups in several chunks: every class outside the group's largest component so far walks in every chunk."""
     marked = large.join(labels, large["member"] == labels["node"], "left").select("leader", "member", "more", "h", F.coalesce("root", "member").alias("root"))
     marked = materialize(marked, "marked")
     largest = marked.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     outside = marked.join(largest, "leader").where("root <> main").select("leader", "more", "member")
-    probes = outside.select("leader", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk"), "member", F.lit(True).alias("walker"))
-    touched = outside.select("leader").distinct()
-    stay = marked.join(touched, "leader", "left_semi").select("leader", F.pmod("h", chunks).cast("int").alias("chunk"), "member", F.lit(False).alias("walker"))
-    every = stay.unionByName(probes).groupBy("leader", "chunk", "member").agg(F.max("walker").alias("walker"))
-    return pairs.unionByName(_links(every, docs, classes, whole=False).select("a", "b"))
+    walkers = outside.select("leader", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk"), "member", F.lit(True).alias("walker"))
+    stay = marked.join(outside.select("leader").distinct(), "leader", "left_semi").select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member", F.lit(False).alias("walker"))
+    every = stay.unionByName(walkers).groupBy("leader", "chunk", "member").agg(F.max("walker").alias("walker"))
+    return every.select("leader", "chunk", F.lit(False).alias("whole"), "member", "walker")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

@@ -88,3 +88,14 @@ def test_risk_never_rewards_negative_parts():
     good, bad = rng.normal(1, 0.4, (300, quality.SIZE)), rng.normal(-1, 0.4, (100, quality.SIZE))
     model = quality.fit(good[:150], np.concatenate([good[150:], bad]), 0.6, steps=300)
     assert (model.score(good) >= 0.7).mean() > 0.95 and (model.score(bad) < 0.7).mean() > 0.95
+
+
+def test_hash_sample_is_the_smallest_hashes(spark):
+    from pyspark.sql import functions as F
+
+    from pixelwright.llm.common import hash_sample
+
+    df = spark.range(20_000).select(F.col("id").alias("k"))
+    want = [r["k"] for r in df.orderBy(F.xxhash64("k"), "k").limit(300).collect()]
+    assert [r["k"] for r in hash_sample(df, "k", 300, 20_000).collect()] == want
+    assert hash_sample(df.limit(5), "k", 300, 5).count() == 5 and hash_sample(df.where("false"), "k", 3, 0).count() == 0

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from pixelwright.llm import jaccard_join as J
-from pixelwright.llm.common import pick, table
+from pixelwright.llm.common import table
 from pixelwright.llm.components import components
 from tests.conftest import SF
 from tests.llm.helpers import documents, empty
@@ -61,7 +61,7 @@ def family(r, base, copies):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"chunk": 300, "common_from": 3, "shared_bits": 1 << 12, "common_bits": 1 << 10}])
+@pytest.mark.parametrize("options", [{}, {"chunk": 300, "common_from": 3, "shared_bits": 1 << 12, "common_bits": 1 << 10}, {"chunk_rows": 7}])
 def test_planted_families(spark, options):
     r = random.Random(8)
     texts = []

@@ -9,7 +9,7 @@ import pytest
 from tokenizers import Tokenizer, models, normalizers
 
 from pixelwright.llm import bpe, packing, token_counts
-from pixelwright.llm.common import pick, table, tokenizer_path
+from pixelwright.llm.common import table, tokenizer_path
 from tests.conftest import SF
 from tests.llm.helpers import documents, empty
 
