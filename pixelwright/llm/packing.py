@@ -36,8 +36,8 @@ from .common import lean, pick, table, tokenizer_path, utf8
 SEQUENCE = 2048
 END_ID = 1
 SENTENCE_CUT = 1.0
-INSIDE_CUT = 8.0
-INSIDE_STEP = 32
+INSIDE_CUT = 4.0
+INSIDE_STEP = 16
 #: Tokens planned at once; the last sequences of a block are planned again with the next one.
 BLOCK = 1 << 19
 #: Bits of a sequence id below the partition's number.
