@@ -19,6 +19,7 @@ Cases: null = empty text, no ids, sha256 of nothing; invalid UTF-8 decodes with
 
 from __future__ import annotations
 
+import codecs
 import functools
 import hashlib
 import json
@@ -38,6 +39,8 @@ VOCABULARY = "byte_bpe_50k.json"
 LEAF = 1 << 15
 #: Pre-tokens of more characters are encoded as halves, too.
 RUN = 1 << 9
+#: Ids digested at once.
+STEP = 1 << 18
 #: The split pattern of this vocabulary (a fixed value, as in its file).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _SURE = regex.compile(r"(?<=[^\s\x1c-\x1f\x85])(?=[ \t\n\r])")
@@ -195,8 +198,16 @@ class ByteBpe:
     def decode(self, ids: np.ndarray) -> str:
         return self.decode_bytes(ids).decode("utf-8", "replace")
 
-    def ids_text(self, ids: np.ndarray) -> str:
-        return ",".join(map(self.text_of.__getitem__, ids.tolist()))
+    def digests(self, ids: np.ndarray) -> tuple[str, str]:
+        """sha256 of the decimal ids joined by commas, and of the decoded text, in steps of bounded size."""
+        listed, decoded = hashlib.sha256(), hashlib.sha256()
+        decoder = codecs.getincrementaldecoder("utf-8")("replace")
+        for start in range(0, len(ids), STEP):
+            part = ids[start : start + STEP].tolist()
+            listed.update((("," if start else "") + ",".join(map(self.text_of.__getitem__, part))).encode())
+            decoded.update(decoder.decode(b"".join(map(self.bytes_of.__getitem__, part))).encode())
+        decoded.update(decoder.decode(b"", final=True).encode())
+        return listed.hexdigest(), decoded.hexdigest()
 
 
 @functools.lru_cache(4)
@@ -217,9 +228,10 @@ def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int =
             out: list[list] = [[], [], []]
             for value in batch.column(1):
                 ids = bpe.encode(value.as_py().decode("utf-8", "replace"))
+                listed, decoded = bpe.digests(ids)
                 out[0].append(len(ids))
-                out[1].append(hashlib.sha256(bpe.ids_text(ids).encode()).hexdigest())
-                out[2].append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
+                out[1].append(listed)
+                out[2].append(decoded)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(out, _ARROW.types[1:]))], schema=_ARROW)
 
     return df.select(key, utf8(text).alias("_bytes")).mapInArrow(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,6 +38,22 @@ def crc_mod(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 
 
+#: Bytes of a text that are cut into words at once, so that lists of words stay small for texts of any length.
+PART = 1 << 22
+_BLANK = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def text_parts(data: bytes, size: int | None = None) -> Iterator[bytes]:
+    """The text in parts that end before an ASCII blank, so that no word is cut."""
+    start, size = 0, size or PART
+    while len(data) - start > size:
+        m = _BLANK.search(data, start + size)
+        end = m.start() if m else len(data)
+        yield data[start:end]
+        start = end
+    yield data[start:] if start else data
+
+
 def hash_sample(df: DataFrame, key: str, limit: int, total: int) -> DataFrame:
     """The ``limit`` rows with the smallest hashes of their keys, of about ``total`` rows.
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_files, lean, materialize, pick, table, utf8
+from .common import drop_files, lean, materialize, pick, table, text_parts, utf8
 from .components import components
 
 WORDS = 5
@@ -83,11 +83,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def shingles(data: bytes) -> np.ndarray:
     """The sorted distinct shingle hashes of a text's UTF-8 bytes."""
-    words = data.lower().split()  # on bytes: A-Z only, and splits at 0x20 and 0x09 to 0x0D
-    n = len(words)
+    found = []
+    for part in text_parts(data):
+        words = part.lower().split()  # on bytes: A-Z only, and splits at 0x20 and 0x09 to 0x0D
+        found.append(np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words)))
+    w = found[0] if len(found) == 1 else np.concatenate(found)
+    n = len(w)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
     k = min(n, WORDS)
     h = np.full(n - k + 1, 0 if n >= WORDS else n * 0x51ED270B, np.uint64)
     for i in range(k):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_sample, lean, pick, table, utf8
+from .common import crc_mod, hash_sample, lean, pick, table, text_parts, utf8
 
 FIT_POSITIVE = 8000
 FIT_UNLABELLED = 16000
@@ -52,6 +52,24 @@ CLASSES = 9
 SIZE = CLASSES * CLASSES + 6
 
 
+def words_of(data: bytes) -> tuple[int, int, int]:
+    """Words, words equal to the one before, and distinct words (by hash where the text has several parts)."""
+    n = repeated = 0
+    last, seen = None, []
+    for part in text_parts(data):
+        words = part.lower().split()
+        if not words:
+            continue
+        n += len(words)
+        repeated += sum(map(bytes.__eq__, words, words[1:])) + (words[0] == last)
+        last = words[-1]
+        seen.append(set(words))
+    if len(seen) <= 1:
+        return n, repeated, len(seen[0]) if seen else 0
+    hashes = [np.fromiter(map(hash, s), np.int64, len(s)) for s in seen]
+    return n, repeated, len(np.unique(np.concatenate(hashes)))
+
+
 def features(data: bytes) -> np.ndarray:
     """SIZE numbers about a whole text."""
     out = np.zeros(SIZE, np.float32)
@@ -62,11 +80,8 @@ def features(data: bytes) -> np.ndarray:
         c = _CLASS[np.frombuffer(data[max(0, start - 1) : start + CHUNK], np.uint8)].astype(np.intp)
         moves += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
     out[: CLASSES * CLASSES] = np.sqrt(moves / max(1, moves.sum()))
-    words = data.lower().split()
-    n = len(words)
+    n, repeated, distinct = words_of(data)
     if n:
-        repeated = sum(map(bytes.__eq__, words, words[1:]))
-        distinct = len(set(words))
         lines = data.split(b"\n")
         out[CLASSES * CLASSES :] = (
             np.sqrt(repeated / n),

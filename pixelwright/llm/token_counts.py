@@ -34,7 +34,10 @@ from .common import lean, pick, table, tokenizer_path, utf8
 VOCABULARY = "piece_bpe_32k.model"
 MARKER = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE = 1 << 19
+CACHE = 1 << 18
+#: Characters that are cut into words at once.
+PART = 1 << 21
+_RUN_START = re.compile(f"(?<=[^ {MARKER}]) ")
 _WORD = re.compile(f"{MARKER}*[^{MARKER}]+|{MARKER}+")
 
 
@@ -65,9 +68,17 @@ class UnigramCounter:
         """Pieces of a text after the vocabulary's space rule: marker first, spaces as markers."""
         if not text:
             return 0
-        marked = MARKER + text.replace(" ", MARKER)
         if not self.splits:
-            return self._best(marked)
+            return self._best(MARKER + text.replace(" ", MARKER))
+        total, start = 0, 0
+        while start < len(text):
+            m = _RUN_START.search(text, start + PART)
+            end = m.start() if m else len(text)
+            total += self._words(("" if start else MARKER) + text[start:end].replace(" ", MARKER))
+            start = end
+        return total
+
+    def _words(self, marked: str) -> int:
         total, cache = 0, self.cache
         for word in _WORD.findall(marked):
             n = cache.get(word)
