@@ -51,7 +51,8 @@ def text_parts(data: bytes, size: int | None = None) -> Iterator[bytes]:
         end = m.start() if m else len(data)
         yield data[start:end]
         start = end
-    yield data[start:] if start else data
+    if not start or start < len(data):
+        yield data[start:]
 
 
 def hash_sample(df: DataFrame, key: str, limit: int, total: int) -> DataFrame:
