@@ -11,7 +11,7 @@ def documents(spark, rows=None):
             (2, None), (3, ""), (4, "   \n\t "), (5, LONG), (6, "Ünïcödé — 中文字符 😀 test"), (7, "a"), (7, "a"), (8, "x" * 5000),
             (9, "<|endoftext|> inside"), (10, "The quick brown fox jumps over the lazy dog. It was late.\nNobody saw it."),
         ]
-    return spark.createDataFrame([(i, t, i % 3, "n", 5) for i, t in rows], "doc_id long, text string, key int, lang string, n long")
+    return spark.createDataFrame([(i, t, (i or 0) % 3, "n", 5) for i, t in rows], "doc_id long, text string, key int, lang string, n long")
 
 
 def empty(spark):
