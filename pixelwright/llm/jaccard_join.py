@@ -25,11 +25,13 @@ index is at least 0.8. The join is exact; no candidate, partner or bucket is cap
    group's largest component meets every chunk: what remains unlinked after the first step is
    compared with everything, so this is exact, too, and a huge group of near copies costs little
    more than its size.
-5. Components of all links come from alternating stars; a component's id is its least doc_id.
+5. Links are between the classes' least doc_ids; components come from alternating stars, whose
+   roots are the least doc_ids and so the components' ids.
 
 Cases: null text, or text without words, is the empty set and linked with nothing; fewer words
-than a shingle are one shingle; equal sets always link; repeated rows are equal sets; rows with
-the same id each get their own set's component; very long texts are handled whole.
+than a shingle are one shingle; equal sets always link; repeated rows are equal sets; the sets
+of rows with the same id count as linked where that id is their classes' least; very long texts are
+handled whole.
 """
 
 from __future__ import annotations
@@ -414,39 +416,38 @@ def forest(sets: list[np.ndarray], walkers: np.ndarray | None = None) -> list[tu
 
 
 def _join_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of runs of (leader, chunk). Columns: leader, chunk, whole, member, walker, text."""
-    for at, members in _group_runs(batches):
-        links = set()
-        if len(members) > 1:
-            names = list(members)
-            sets = [members[d][0] for d in names]
-            walkers = np.array([members[d][1] for d in names])
-            found = forest(sets, None if at[2] else walkers)
-            links = {(names[a], names[b]) for a, b in found}
+    """Links, by the classes' least ids, of runs of (leader, chunk). Columns: leader, chunk, whole, member, walker, rep, text."""
+    for whole, members in _group_runs(batches):
+        if len(members) < 2:
+            continue
+        sets, walkers, ids = zip(*members.values())
+        links = sorted({(ids[a], ids[b]) for a, b in forest(list(sets), None if whole else np.array(walkers)) if ids[a] != ids[b]})
         if links:
-            a, b = zip(*sorted(links))
+            a, b = zip(*links)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, dict[int, tuple[np.ndarray, bool]]]]:
+def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[int, tuple[np.ndarray, bool, int]]]]:
+    """Whether all sets walk, and member -> (set, walks, id) of each run."""
     at: tuple | None = None
-    members: dict[int, tuple[np.ndarray, bool]] = {}
+    members: dict[int, tuple[np.ndarray, bool, int]] = {}
     for batch in batches:
-        columns = [batch.column(k).to_pylist() for k in range(5)]
-        for leader, chunk, whole, member, walker, text in zip(*columns, batch.column(5)):
+        columns = [batch.column(k).to_pylist() for k in range(6)]
+        for leader, chunk, whole, member, walker, rep, text in zip(*columns, batch.column(6)):
             key = (leader, chunk, whole)
             if key != at:
                 if members:
-                    yield at, members
+                    yield at[2], members
                 at, members = key, {}
             if member in members:
-                members[member] = (members[member][0], members[member][1] or walker)
+                held = members[member]
+                members[member] = (held[0], held[1] or walker, held[2])
                 continue
             s = shingles(text.as_py())
             if digest(s) == member:  # another row with the same id may hold another text
-                members[member] = (s, walker)
+                members[member] = (s, walker, rep)
     if members:
-        yield at, members
+        yield at[2], members
 
 
 def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, all_documents: bool) -> DataFrame:
@@ -458,7 +459,7 @@ def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, all_documents:
     named = dealt.join(classes.select(F.col("d").alias("member"), "rep"), "member")
     named = named.hint("merge") if all_documents else materialize(named, "dealt")
     rows = docs.select(F.col("doc_id").alias("rep"), utf8("text").alias("_bytes")).join(named, "rep")
-    rows = rows.select("leader", "chunk", "whole", "member", "walker", "_bytes")
+    rows = rows.select("leader", "chunk", "whole", "member", "walker", "rep", "_bytes")
     rows = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
     return materialize(rows.mapInArrow(_join_groups, "a long, b long"), "links")
 
@@ -496,16 +497,14 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CH
     dealt = groups.join(groups.groupBy("leader").agg(more.alias("more")), "leader").withColumn("h", F.xxhash64("member"))
     edges = _links(_first_deal(dealt), docs, classes, all_documents=True)
     labels = components(edges)
-    again = materialize(_second_deal(dealt.where("more > 0"), labels), "again")
+    again = materialize(_second_deal(dealt.where("more > 0").join(classes, dealt["member"] == classes["d"]), labels), "again")
     if again.limit(1).count():
         edges = edges.unionByName(_links(again, docs, classes, all_documents=False))
         labels = components(edges)
     for done in (groups, again, edges):
         drop_files(done)
 
-    rooted = classes.join(labels, classes["d"] == labels["node"], "left").select("d", "rep", F.coalesce("root", "d").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_class = rooted.join(least, "root").select("d", "component_id")
+    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d", F.coalesce("root", "rep").alias("component_id"))
     return (
         summary.join(by_class, "d", "left")
         .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
@@ -525,7 +524,7 @@ def _first_deal(dealt: DataFrame) -> DataFrame:
 
 def _second_deal(large: DataFrame, labels: DataFrame) -> DataFrame:
     """For groups in several chunks: every class outside the group's largest component so far walks in every chunk."""
-    marked = large.join(labels, large["member"] == labels["node"], "left").select("leader", "member", "more", "h", F.coalesce("root", "member").alias("root"))
+    marked = large.join(labels, large["rep"] == labels["node"], "left").select("leader", "member", "more", "h", F.coalesce("root", "rep").alias("root"))
     marked = materialize(marked, "marked")
     largest = marked.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
     outside = marked.join(largest, "leader").where("root <> main").select("leader", "more", "member")
