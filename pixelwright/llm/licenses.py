@@ -17,9 +17,11 @@ reported (0 = the whole document, lines from 1); an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,13 +62,19 @@ def bigrams(text: str) -> Counter[str]:
     return Counter(f"{a} {b}" for a, b in zip(w, w[1:]))
 
 
+def bounds(size: int, threshold: float) -> tuple[int, int]:
+    """The least and the most bigrams of a unit that can match a template of this size; whole numbers, as floats round 6 * 0.8 / 1.2 above 4."""
+    t = Fraction(str(threshold))
+    return math.ceil(size * t / (2 - t)), math.floor(size * (2 - t) / t)
+
+
 def anchors(templates: Iterable[tuple[str, str]], threshold: float) -> list[str]:
     """For each template enough bigrams that any match has one of them; long words first, as they are rare."""
     out: set[str] = set()
     for _, text in templates:
         counts = bigrams(text)
         size = sum(counts.values())
-        spare = size - -int(-size * threshold / (2 - threshold) // 1)  # a match may lack so many
+        spare = size - bounds(size, threshold)[0]  # a match may lack so many
         gathered = 0
         for gram in sorted(counts, key=lambda g: (-len(g), g)):
             if gathered > spare:
@@ -100,11 +108,11 @@ def scan(df: DataFrame, key: str, text: str, templates: Iterable[tuple[str, str]
     """Per row of ``df`` and matching template: key, license, dice, unit, n_units."""
     spark = df.sparkSession
     templates = tuple(templates)
-    grams = [(name, sum(c.values()), g, n) for name, t in templates for c in [bigrams(t)] for g, n in c.items()]
-    table_ = F.broadcast(spark.createDataFrame(grams, "license string, t_size int, gram string, t_count int"))
-    sizes = sorted({(name, sum(bigrams(t).values())) for name, t in templates})
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = min(s for _, s in sizes) * low, max(s for _, s in sizes) * high
+    counts = [(name, bigrams(t)) for name, t in templates]
+    fitting = {size: bounds(size, threshold) for size in sorted({sum(c.values()) for _, c in counts})}
+    grams = [(name, size, *fitting[size], g, n) for name, c in counts for size in [sum(c.values())] for g, n in c.items()]
+    table_ = F.broadcast(spark.createDataFrame(grams, "license string, t_size int, low int, high int, gram string, t_count int"))
+    least, most = min(low for low, _ in fitting.values()), max(high for _, high in fitting.values())
 
     found = df.select(F.col(key).alias("_key"), normalised(F.col(text)).alias("_norm"))
     flat = F.concat(F.lit(" "), F.translate("_norm", "\n", " "), F.lit(" "))
@@ -121,12 +129,12 @@ def scan(df: DataFrame, key: str, text: str, templates: Iterable[tuple[str, str]
         .where((F.col("u_size") >= least) & (F.col("u_size") <= most) & (F.col("u_size") > 0))
     )
     fits = F.lit(False)
-    for size in sorted({s for _, s in sizes}):
-        fits = fits | F.col("u_size").between(size * low, size * high)
+    for low, high in fitting.values():
+        fits = fits | F.col("u_size").between(low, high)
     units = units.where(fits).withColumn("_w", F.split("_text", " "))
     pairs = F.zip_with(F.expr("slice(_w, 1, size(_w) - 1)"), F.expr("slice(_w, 2, size(_w) - 1)"), lambda a, b: F.concat(a, F.lit(" "), b))
     counted = units.select("_key", "_row", "unit", "u_size", F.explode(pairs).alias("gram")).join(table_, "gram")
-    counted = counted.where(F.col("u_size").between(F.col("t_size") * low, F.col("t_size") * high))
+    counted = counted.where(F.col("u_size").between(F.col("low"), F.col("high")))
     shared = (
         counted.groupBy("_key", "_row", "unit", "license", "u_size", "t_size", "gram", "t_count")
         .agg(F.count(F.lit(1)).alias("u_count"))

@@ -64,3 +64,18 @@ def test_awkward_rows(spark):
 
 def test_no_python_in_the_plan(spark):
     assert not re.search("Python|Pandas|Arrow", L.op4(spark, SF)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_matches_at_the_threshold(spark):
+    """Four of six bigrams and no others: Dice is exactly 0.8."""
+    docs = [(1, "Some prose before.\nCC BY-SA 4.0\nSome prose after."), (2, "Some prose before.\nCC BY-NC 4.0\nSome prose after.")]
+    assert found(documents(spark, docs)) == brute(docs) == [(1, "CC-BY-SA-4.0-notice", 0.8, 2, 1), (2, "CC-BY-NC-4.0-notice", 0.8, 2, 1)]
+
+
+def test_pieces_of_templates_hold_an_anchor():
+    for name, body in L.TEMPLATES:
+        w = L.words(body)
+        anchors = set(L.anchors([(name, body)], L.THRESHOLD))
+        for n in range(2, len(w) + 1):
+            if 10 * 2 * (n - 1) >= 8 * (n - 1 + len(w) - 1):
+                assert all(anchors & set(L.bigrams(" ".join(w[k : k + n]))) for k in range(len(w) - n + 1)), (name, n)
