@@ -2,7 +2,8 @@
 
 ``store_wav`` wraps a binary column into WAV files, ``read_wav`` gets the samples back with
 the standard wave reader, ``landmarks`` turns samples into spectral-peak pair fingerprints:
-an array of (time code, first bin, second bin, distance) entries.
+an array of (time code, first bin, second bin, distance) entries. Only whole frames are read, so
+samples meet it with zeros added up to the last frame's end (``whole_frames``); stored files don't.
 
 Cases: null payload = empty; an empty payload is one block of 64 zero bytes; silence has no
 peaks, so its array is empty; ties between equal magnitudes go to the lower bin; equal payloads
@@ -60,6 +61,11 @@ def read_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def whole_frames(samples: bytes) -> bytes:
+    """The samples, for analysis, with zero bytes up to FRAME and a multiple of HOP, so that a last frame covers the end."""
+    return samples + bytes(max(FRAME - len(samples), (FRAME - len(samples)) % HOP))
+
+
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Per frame and band the strongest bin, and whether it stands out of its band's mean."""
     x = np.frombuffer(samples, np.uint8)
@@ -128,7 +134,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             payload = payload.as_py()
             media = store_wav(pad(payload))
             back = read_wav(media)
-            codes = time_codes(landmarks(back))
+            codes = time_codes(landmarks(whole_frames(back)))
             rows.append((
                 key, len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-BLOCK:]),
                 len(media), hashlib.sha256(media).hexdigest(), feature(codes), len(codes),
@@ -158,7 +164,7 @@ def media_column(df: DataFrame, payload: str, media: str = "media", codes: str =
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 files = [store_wav(pad(p or b"")) for p in part.column(part.schema.get_field_index(payload)).to_pylist()]
-                marks = [time_codes(landmarks(read_wav(f))) for f in files]
+                marks = [time_codes(landmarks(whole_frames(read_wav(f)))) for f in files]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(files, pa.binary()), pa.array(marks, pa.list_(pa.int64()))],
                     names=[*part.schema.names, media, codes],

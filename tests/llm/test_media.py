@@ -77,3 +77,26 @@ def test_all_documents(spark):
     n = table(spark, SF, "documents").count()
     out = media.op2(spark, SF)
     assert out.count() == n and out.where("feature = ''").count() < n / 10
+
+
+@pytest.mark.parametrize("n,want", [(64, 512), (512, 512), (576, 768), (704, 768), (768, 768), (832, 1024)])
+def test_frames_cover_the_end(n, want):
+    assert media.whole_frames(b"x" * n) == b"x" * n + bytes(want - n)
+
+
+@pytest.mark.parametrize("n", [576, 640, 704, 5056])
+def test_the_last_bytes_count(spark, n):
+    """Payloads that differ only after the last frame without padding."""
+    t = np.arange(n)
+    one = (128 + 60 * np.sin(t * 0.3) + 40 * np.sin(t * 1.1)).astype(np.uint8).tobytes()
+    end = (n - media.FRAME) // media.HOP * media.HOP + media.FRAME
+    other = one[:end] + (128 + 100 * np.sin(t[end:] * 2.0)).astype(np.uint8).tobytes()
+    df = spark.createDataFrame([(1, bytearray(one)), (2, bytearray(other))], "doc_id long, payload binary")
+    got = {r["doc_id"]: r["landmarks"] for r in media.media_column(df, "payload").collect()}
+    assert got[1] != got[2] and sorted(got[2]) == sorted(media.time_codes(np.array(brute_landmarks(media.whole_frames(other)))).tolist())
+
+
+def test_the_last_bytes_of_a_text_count(spark):
+    text = "".join(chr(97 + k * k % 23) for k in range(512))
+    got = media.documents_digests(documents(spark, [(1, text + "a" * 192), (2, text + "ab~Z" * 48)])).collect()
+    assert len({r["feature"] for r in got}) == 2
