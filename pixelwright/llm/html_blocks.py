@@ -3,7 +3,10 @@
 A block is the text between block-level tags, with its character references decoded and its
 white space turned into single spaces. Each block knows its ancestor tags, the words of their
 class, id and role attributes, how much of it is link text, and its parent element's number.
-Comments and the contents of script, style, template, noscript and head never give blocks.
+Comments and the contents of script, style, template, noscript, head, iframe, object, svg and canvas
+never give blocks. Only script, style and comments run to the page's end if they are not closed; a head
+without its end tag ends at the first tag or text that can't be in it, any other start tag without its
+end tag is passed over and what follows is read. A self-closed svg is empty; formulas are inline text.
 """
 
 from __future__ import annotations
@@ -16,18 +19,34 @@ from dataclasses import dataclass, field
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rb rp rt ruby s samp"
-    " small span strike strong sub sup time tt u var wbr".split()
+    " small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder"
+    " mover munderover mmultiscripts mprescripts none mtable mtr mtd maction semantics annotation annotation-xml".split()
 )
 CLOSES_ITSELF = {"li": "ul ol menu", "dt": "dl", "dd": "dl", "tr": "table", "td": "tr table", "th": "tr table", "option": "select"}
-UNSEEN = "script style template noscript head iframe object svg math canvas".split()
+RAW = "script style"
+UNSEEN = frozenset("template noscript iframe object svg canvas".split())
 
+_ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+_RAW = rf"<({RAW.replace(' ', '|')})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(" + "|".join(UNSEEN) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
+    rf"|{_RAW}"
     r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>",
+    rf"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_ATTRIBUTES}|[^>]*)>",
     re.S | re.I,
 )
+_UNSEEN = re.compile(rf"<(/?)({'|'.join(sorted(UNSEEN))})(?=[\s/>])({_ATTRIBUTES}|[^>]*)>", re.I)
+_IN_HEAD = re.compile(
+    r"\s+|<!--.*?(?:-->|\Z)"
+    rf"|{_RAW}"
+    rf"|<(title|noscript|template)(?=[\s/>]){_ATTRIBUTES}>.*?</\2\s*>"
+    rf"|<title(?=[\s/>]){_ATTRIBUTES}>[^<]*"
+    rf"|<(?:meta|link|base|basefont|bgsound)(?=[\s/>]){_ATTRIBUTES}>"
+    r"|<[!?][^>]*>",
+    re.S | re.I,
+)
+_HEAD_ENDS = re.compile(r"</head\s*>|<body(?=[\s/>])", re.I)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PART = re.compile(r"[a-z]+")
 
@@ -50,6 +69,29 @@ def _name_words(attributes: str) -> frozenset[str]:
     return frozenset(_PART.findall(found.lower())) if found else frozenset()
 
 
+def _closed(page: str) -> dict[int, int]:
+    """Start of each unseen element that is closed -> its end. Elements of a name nest."""
+    out: dict[int, int] = {}
+    opened: dict[str, list[int]] = {}
+    for m in _UNSEEN.finditer(page):
+        begun = opened.setdefault(m[2].lower(), [])
+        if not m[1]:
+            if m[2].lower() != "svg" or not m[3].rstrip().endswith("/"):
+                begun.append(m.start())
+        elif begun:
+            out[begun.pop()] = m.end()
+    return out
+
+
+def _after_head(page: str, at: int) -> tuple[int, bool]:
+    """Where a head whose start tag ends at ``at`` is over, and whether by its end tag."""
+    end = at
+    while m := _IN_HEAD.match(page, end):
+        end = m.end()
+    stop = _HEAD_ENDS.search(page, end)
+    return (stop.end(), True) if stop and stop[0].startswith("</") else (end, False)
+
+
 def blocks(page: str | None) -> list[Block]:
     """The non-empty leaf blocks of a page in order."""
     out: list[Block] = []
@@ -86,13 +128,24 @@ def blocks(page: str | None) -> list[Block]:
             if in_link:
                 links.append(piece)
 
-    for m in _TOKEN.finditer(page):
+    closed: dict[int, int] | None = None
+    whole_heads = True
+    while m := _TOKEN.search(page, at):
         add(page[at : m.start()])
         at = m.end()
         tag = m[3]
         if tag is None:
             continue
         tag = tag.lower()
+        if tag in UNSEEN and not m[2]:
+            if closed is None:
+                closed = _closed(page)
+            at = max(at, closed.get(m.start(), at))
+            continue
+        if tag == "head" and not m[2]:
+            if whole_heads:  # after a head without end tag, further start tags are passed over
+                at, whole_heads = _after_head(page, at)
+            continue
         if tag not in INLINE:
             flush()
         elif tag == "br":

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from pixelwright.llm import html_text
@@ -77,3 +79,26 @@ def test_all_pages(spark):
     for r in out:
         inside = html[r["page_id"]].partition("<article>")[2].partition("</article>")[0]
         assert r["text"] == "\n".join(b.text for b in blocks(inside))
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ("<html><head><title>t</title><meta charset=utf-8><style>p{}</style><body><p>a</p>", ["a"]), ("<head><title>t</title><script>'<body>'</script><p>a</p>", ["a"]),
+        ("<head><title>t</title>text", ["text"]), ("<HEAD><title>a < b</title><x></x></HEAD ><p>a", ["a"]), ("<head><noscript><p>a</p>", ["a"]),
+        ("<p>one <svg width=1 /> two</p><p>three</p>", ["one two", "three"]), ("<p>one <svg><text>x</text></svg>two", ["one two"]),
+        ("<svg><svg><text>x</text></svg><text>y</text></svg><p>a", ["a"]), ("<p>one</p><svg><path d=x /><p>two</p><svg><text>x</text></svg><p>three", ["one", "two", "three"]),
+        ("<p>Let <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></math> be</p>", ["Let x=12 be"]), ("<p>a <math/> b", ["a b"]),
+        *[(f"<p>a</p><{t}><p>b</p>", ["a", "b"]) for t in ("noscript", "iframe", "object", "canvas", "template", "svg")],
+        *[(f"<p>a</p><{t}><p>b</p></{t}><p>c", ["a", "c"]) for t in ("noscript", "iframe", "object", "canvas", "template", "svg")],
+        *[(f"<p>a</p><{t}><p>b</p>", ["a"]) for t in ("script", "style")], ("<svg-icon name=x></svg-icon><p>a", ["a"]), ("<header>a</header>b", ["a", "b"]),
+    ],
+)
+def test_unseen_elements_end(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_many_open_elements_take_little_time():
+    page = "<svg><head><iframe>x " * 20_000
+    start = time.perf_counter()
+    assert " ".join(b.text for b in blocks(page)).split() == ["x"] * 20_000 and time.perf_counter() - start < 10
