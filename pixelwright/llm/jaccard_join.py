@@ -540,8 +540,18 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the least id stays, once; all columns kept."""
+    """Pipeline stage: of each component the row with the least id stays, once; all columns kept.
+
+    Rows are joined by a hash of id and text, so rows of one id with different texts are told apart.
+    Rows without an id come after the others of their component. Texts without shingles are linked to
+    nothing: equal rows with an id stay once, and every such row without an id stays.
+    """
     lean(spark)
-    found = similar_components(pick(docs, doc_id="doc_id", text="text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    keyed = docs.withColumn("_row_key", F.xxhash64("doc_id", "text"))
+    found = similar_components(keyed.select(F.col("_row_key").alias("doc_id"), "text")).distinct()
+    ids = keyed.select("_row_key", F.col("doc_id").cast("long").alias("_id")).distinct()
+    least = F.min(F.struct(F.col("_id").isNull().alias("late"), "_id", "_row_key")).alias("m")
+    kept = ids.join(found.withColumnRenamed("doc_id", "_row_key"), "_row_key").groupBy("component_id").agg(least, F.max("n_shingles").alias("n"))
+    kept = kept.select("m._row_key", (F.col("m.late") & (F.col("n") == 0)).alias("_each"))
+    once = F.when(F.col("_each"), F.monotonically_increasing_id()).otherwise(F.lit(-1))
+    return keyed.join(kept, "_row_key").withColumn("_once", once).dropDuplicates(["_row_key", "_once"]).select(*docs.columns)

@@ -33,3 +33,16 @@ def test_packing_and_licenses(spark):
 def test_stage_of_the_join(spark):
     kept = jaccard_join.stage(spark, documents(spark, ROWS), SF).collect()
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == [3, 8]
+
+
+def test_stage_keeps_rows_that_are_no_duplicates(spark):
+    """Null ids and ids of several texts: one row of each component stays, and every text that nothing links."""
+    long, other, third = ("alpha beta gamma delta epsilon zeta eta theta iota kappa", "one two three four five six seven eight nine ten", "red green blue white black brown grey pink gold teal")
+    rows = [
+        (None, long), (None, long), (None, None), (None, None), (None, ""), (5, other), (5, third), (6, other), (7, long + " extra"), (7, "a"), (7, "a"), (7, "b"), (9, third), (None, third), (None, "x y"),
+    ]
+    linked = {(r["doc_id"], r["component_id"]) for r in jaccard_join.similar_components(documents(spark, [(1, long), (2, long + " extra"), (3, other), (4, third)])).collect()}
+    assert linked == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    kept = [(r["doc_id"], r["text"]) for r in jaccard_join.stage(spark, documents(spark, rows), SF).collect()]
+    want = [(None, None), (None, None), (None, ""), (5, other), (5, third), (7, long + " extra"), (7, "a"), (7, "b"), (None, "x y")]
+    assert sorted(kept, key=repr) == sorted(want, key=repr)
