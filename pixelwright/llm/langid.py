@@ -3,17 +3,19 @@
 Each language has a codeword; one binary linear classifier per bit, on hashed byte n-grams of
 lower-cased text, predicts whether the text's language has that bit. Decoding is loss-weighted:
 a language's loss is the sum over bits of log(1 + exp(-bit * margin)), and the codeword of least
-loss is chosen. ``score`` is its share exp(-loss) among all codewords; a text whose runner-up
-comes close is flagged ``ambiguous``.
+loss is chosen. ``score`` is its share exp(-loss) among all codewords; a text whose runner-up's
+share is at least AMBIGUOUS of the winner's is flagged ``ambiguous``, however many languages there are.
 
 The classifiers are fitted by gradient descent on at most FIT_ROWS labelled texts (those with
-the smallest hashes of their ids, at most FIT_ROWS / languages of each language). Only the
-hashed n-gram counts of these rows reach the driver. Prediction reads every whole text.
+the smallest hashes of their ids, at most FIT_ROWS / languages of each of at most FIT_LANGUAGES
+languages, the most frequent). Only the hashed n-gram counts of these rows reach the driver, and
+one scan finds them for all languages. Prediction reads every whole text.
 
 Cases: null text or a text without a letter is ``und`` with score 0 and is flagged; with no
 labelled row every text is ``und``; one learned language is predicted for every text with
-letters; ties between codewords go to the language first in alphabetical order; equal texts
-get equal results.
+letters and never flagged; ties between codewords go to the language first in alphabetical order
+and are flagged; of labelled rows with one id and language the least text is learned from; equal
+texts get equal results.
 """
 
 from __future__ import annotations
@@ -25,21 +27,22 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import crc_mod, hash_sample, lean, pick, table, utf8
+from .common import crc_mod, lean, pick, table, utf8
 
 UNKNOWN = "und"
 #: Hash buckets of n-grams; n-gram lengths in bytes.
-BUCKET_BITS = 13
+BUCKET_BITS = 14
 BUCKETS = 1 << BUCKET_BITS
 LENGTHS = (1, 2, 3, 4)
-#: At most so many labelled rows are used to fit the classifiers.
+#: At most so many labelled rows, and languages, are used to fit the classifiers.
 FIT_ROWS = 2400
-STEPS = 120
-#: A text is ambiguous if its score is below this.
-AMBIGUOUS = 0.4
+FIT_LANGUAGES = 1000
+STEPS = 300
+#: A text is ambiguous if the runner-up has so much of the best language's share.
+AMBIGUOUS = 0.8
 #: Bytes of a text handled at once, so that memory stays bounded for very long texts.
 CHUNK = 1 << 18
 _LETTER = regex.compile(r"\p{L}")
@@ -97,11 +100,13 @@ class Model:
     def margins(self, data: bytes) -> np.ndarray:
         return self.weights @ counts(data) + self.bias
 
-    def decode(self, margins: np.ndarray) -> tuple[str, float]:
+    def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
+        """The language, its share, and whether the runner-up comes close."""
         loss = np.logaddexp(0, -self.code * margins).sum(axis=1)
         share = np.exp(loss.min() - loss)
         best = int(loss.argmin())
-        return self.languages[best], float(share[best] / share.sum())
+        runner_up = np.delete(share, best).max(initial=0.0)
+        return self.languages[best], float(share[best] / share.sum()), bool(runner_up >= AMBIGUOUS)
 
 
 def fit(vectors: np.ndarray, labels: list[str]) -> Model:
@@ -120,29 +125,44 @@ def fit(vectors: np.ndarray, labels: list[str]) -> Model:
     return Model(languages, code, weights, bias)
 
 
+def _pack(v: np.ndarray) -> bytes:
+    """The non-zero entries of a vector: their places, then their values in half precision."""
+    at = np.flatnonzero(v)
+    return at.astype(np.uint16).tobytes() + v[at].astype(np.float16).tobytes()
+
+
+def _unpack(packed: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(packed), BUCKETS), np.float32)
+    for row, data in zip(out, packed):
+        at, values = np.frombuffer(data, np.uint16).reshape(2, -1)
+        row[at] = values.view(np.float16)
+    return out
+
+
 def train(labelled: DataFrame, key: str, text: str, language: str, rows: int = FIT_ROWS) -> Model | None:
     """Fit on a bounded sample of ``labelled``; rows without text or language don't count."""
     known = labelled.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.col(language).alias("_lang")).where("_text is not null and _lang is not null")
-    present = {r[0]: r[1] for r in known.groupBy("_lang").count().limit(1000).collect()}
+    present = known.groupBy("_lang").agg(F.approx_count_distinct("_key"), F.count(F.lit(1)).alias("count")).orderBy(F.desc("count"), "_lang").limit(min(rows, FIT_LANGUAGES)).collect()
     if not present:
         return None
-    each = max(1, rows // len(present))
-    wanted = None
-    for name in sorted(present):
-        part = hash_sample(known.where(F.col("_lang") == name).select("_key", "_lang"), "_key", each, present[name])
-        wanted = part if wanted is None else wanted.unionByName(part)
-    ids = sorted({(r[0], r[1]) for r in wanted.select("_key", "_lang").collect()}, key=str)
-    chosen = labelled.sparkSession.createDataFrame([(k,) for k, _ in ids], known.select("_key").schema)
+    each = rows // len(present)
+    spark = labelled.sparkSession
+    # a threshold on the hash leaves about twice the wanted ids of each language, and some more, before anything is ranked
+    bounds = spark.createDataFrame([(r[0], min(2**63 - 1, int((2.0 * each + 20) / max(1, r[1]) * 2**64) - 2**63)) for r in present], "_lang string, _most long")
+    near = known.select("_lang", "_key", F.xxhash64("_key").alias("_h")).join(F.broadcast(bounds), "_lang").where("_h <= _most").select("_lang", "_h", "_key").distinct()
+    ranked = near.withColumn("_rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_h", "_key")))
+    ids = ranked.where(F.col("_rank") <= each).select("_lang", "_key").collect()
+    chosen = spark.createDataFrame([tuple(r) for r in ids], known.select("_lang", "_key").schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors = [counts(v.as_py()).astype(np.float16).tobytes() for v in batch.column(1)]
+            vectors = [_pack(counts(v.as_py())) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(vectors, pa.binary())], names=["lang", "v"])
 
-    kept = known.join(F.broadcast(chosen), "_key").select("_lang", utf8("_text").alias("_bytes"))
-    got = kept.mapInArrow(run, "lang string, v binary").limit(2 * rows).collect()
+    kept = known.join(F.broadcast(chosen), ["_lang", "_key"]).groupBy("_lang", "_key").agg(F.min(utf8("_text")).alias("_bytes"))
+    got = kept.select("_lang", "_bytes").mapInArrow(run, "lang string, v binary").collect()
     got.sort(key=lambda r: (r[0], bytes(r[1])))
-    return fit(np.stack([np.frombuffer(r[1], np.float16).astype(np.float32) for r in got]), [r[0] for r in got])
+    return fit(_unpack([bytes(r[1]) for r in got]), [r[0] for r in got])
 
 
 SCHEMA = "lang_pred string, score double, ambiguous boolean"
@@ -159,12 +179,11 @@ def predict(df: DataFrame, key: str, text: str, model: Model | None) -> DataFram
             out: list[list] = [[], [], []]
             for value in batch.column(1):
                 data = value.as_py()
-                lang, score = UNKNOWN, 0.0
+                found = UNKNOWN, 0.0, True
                 if model is not None and _LETTER.search(data.decode("utf-8", "replace")):
-                    lang, score = model.decode(model.margins(data))
-                out[0].append(lang)
-                out[1].append(score)
-                out[2].append(score < AMBIGUOUS)
+                    found = model.decode(model.margins(data))
+                for column, item in zip(out, found):
+                    column.append(item)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(out[0], pa.string()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.bool_())],
                 names=[key, "lang_pred", "score", "ambiguous"],
@@ -210,7 +229,7 @@ def filtered(docs: DataFrame, model: Model | None) -> DataFrame:
             for value in batch.column(at):
                 text = value.as_py() or ""
                 clear = model is not None and _LETTER.search(text) is not None
-                keep.append(clear and model.decode(model.margins(text.encode()))[1] >= AMBIGUOUS)
+                keep.append(clear and not model.decode(model.margins(text.encode()))[2])
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, fields)

@@ -2,8 +2,8 @@
 
 ``store_wav`` wraps a binary column into WAV files, ``read_wav`` gets the samples back with
 the standard wave reader, ``landmarks`` turns samples into spectral-peak pair fingerprints:
-an array of (time code, first bin, second bin, distance) entries. Only whole frames are read, so
-samples meet it with zeros added up to the last frame's end (``whole_frames``); stored files don't.
+an array of (time code, first bin, second bin, distance) entries. Only whole frames are read, and a
+frame's ends count little, so samples meet it with zeros around them (``whole_frames``); stored files don't.
 
 Cases: null payload = empty; an empty payload is one block of 64 zero bytes; silence has no
 peaks, so its array is empty; ties between equal magnitudes go to the lower bin; equal payloads
@@ -29,9 +29,11 @@ RATE = 8000
 FRAME = 512
 HOP = 256
 #: Frequency bands (bin ranges) that give one peak each per frame.
-BANDS = ((4, 24), (24, 80), (80, 257))
-#: Each peak is paired with the next band's peak in its own frame and in so many following frames.
-FAN_OUT = 1
+BANDS = ((4, 16), (16, 48), (48, 112), (112, 257))
+#: A peak's target zone: the later bands of its own frame and all bands of so many following frames.
+ZONE = 3
+#: Each peak is paired with so many peaks of its zone, the nearest in time first, then the lowest band.
+FAN_OUT = 5
 #: A peak stands out if its power is over so many times its band's mean.
 STANDS_OUT = 2.0
 #: Frames transformed at once, so that memory stays bounded for very long payloads.
@@ -62,8 +64,8 @@ def read_wav(media: bytes) -> bytes:
 
 
 def whole_frames(samples: bytes) -> bytes:
-    """The samples, for analysis, with zero bytes up to FRAME and a multiple of HOP, so that a last frame covers the end."""
-    return samples + bytes(max(FRAME - len(samples), (FRAME - len(samples)) % HOP))
+    """The samples, for analysis, between HOP zero bytes and at least as many, up to a whole frame: each sample is near some frame's middle, where the window is not zero."""
+    return bytes(HOP) + samples + bytes(HOP + -len(samples) % HOP)
 
 
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -92,19 +94,17 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def landmarks(samples: bytes) -> np.ndarray:
-    """Peak pairs as rows (frame, band bin, partner bin, frame distance), in time order."""
+    """Peak pairs as rows (frame, anchor's bin, partner's bin, frame distance), in time order."""
     top, good = peaks(samples)
-    frame, band = np.nonzero(good)
-    out = []
-    for distance in range(FAN_OUT + 1):
-        keep = (frame + distance < len(top)) & ((band < len(BANDS) - 1) | (distance > 0))
-        f, b = frame[keep], band[keep]
-        partner = (b + 1) % len(BANDS)
-        both = good[f + distance, partner]
-        f, b, partner = f[both], b[both], partner[both]
-        out.append(np.stack([f, top[f, b], top[f + distance, partner], np.full(len(f), distance)], axis=1))
+    frame, band = np.nonzero(good)  # by frame, then band: the nearest peaks of a zone come next
+    bins = top[frame, band]
+    out = [np.empty((0, 4), np.int64)]
+    for k in range(1, FAN_OUT + 1):
+        distance = frame[k:] - frame[:-k]
+        near = distance <= ZONE
+        out.append(np.stack([frame[:-k][near], bins[:-k][near], bins[k:][near], distance[near]], axis=1))
     pairs = np.concatenate(out)
-    return pairs[np.lexsort((pairs[:, 3], pairs[:, 1], pairs[:, 0]))]
+    return pairs[np.lexsort((pairs[:, 2], pairs[:, 3], pairs[:, 1], pairs[:, 0]))]
 
 
 def time_codes(pairs: np.ndarray) -> np.ndarray:

@@ -33,15 +33,11 @@ def brute_landmarks(samples):
             k = int(power[lo:hi].argmax())
             row.append(lo + k if power[lo + k] > media.STANDS_OUT * power[lo:hi].mean() + 1e-6 else None)
         peaks.append(row)
+    found = [(f, b, p) for f, row in enumerate(peaks) for b, p in enumerate(row) if p is not None]
     out = []
-    for f, row in enumerate(peaks):
-        for b, p in enumerate(row):
-            for d in range(media.FAN_OUT + 1):
-                if p is None or f + d >= len(peaks) or (d == 0 and b == len(media.BANDS) - 1):
-                    continue
-                q = peaks[f + d][(b + 1) % len(media.BANDS)]
-                if q is not None:
-                    out.append((f, p, q, d))
+    for f, b, p in found:
+        zone = [(g, q) for g, c, q in found if (g, c) > (f, b) and g - f <= media.ZONE]
+        out += [(f, p, q, g - f) for g, q in zone[: media.FAN_OUT]]
     return sorted(out)
 
 
@@ -79,14 +75,15 @@ def test_all_documents(spark):
     assert out.count() == n and out.where("feature = ''").count() < n / 10
 
 
-@pytest.mark.parametrize("n,want", [(64, 512), (512, 512), (576, 768), (704, 768), (768, 768), (832, 1024)])
-def test_frames_cover_the_end(n, want):
-    assert media.whole_frames(b"x" * n) == b"x" * n + bytes(want - n)
+@pytest.mark.parametrize("n,want", [(64, 768), (256, 768), (512, 1024), (576, 1280), (704, 1280), (768, 1280), (832, 1536)])
+def test_frames_cover_both_ends(n, want):
+    got = media.whole_frames(b"x" * n)
+    assert got == bytes(media.HOP) + b"x" * n + bytes(want - n - media.HOP) and (len(got) - media.FRAME) % media.HOP == 0
 
 
 @pytest.mark.parametrize("n", [576, 640, 704, 5056])
 def test_the_last_bytes_count(spark, n):
-    """Payloads that differ only after the last frame without padding."""
+    """Payloads that differ only in their tails."""
     t = np.arange(n)
     one = (128 + 60 * np.sin(t * 0.3) + 40 * np.sin(t * 1.1)).astype(np.uint8).tobytes()
     end = (n - media.FRAME) // media.HOP * media.HOP + media.FRAME
@@ -100,3 +97,18 @@ def test_the_last_bytes_of_a_text_count(spark):
     text = "".join(chr(97 + k * k % 23) for k in range(512))
     got = media.documents_digests(documents(spark, [(1, text + "a" * 192), (2, text + "ab~Z" * 48)])).collect()
     assert len({r["feature"] for r in got}) == 2
+
+
+def test_target_zone():
+    t = np.arange(8192)
+    data = (128 + sum(25 * np.sin(2 * np.pi * k * t / media.FRAME) for k in (8, 30, 80, 180))).astype(np.uint8).tobytes()
+    pairs = media.landmarks(data)
+    assert set(pairs[:, 3].tolist()) == {0, 1, 2} and np.bincount(pairs[:, 0]).max() == 4 * media.FAN_OUT
+    assert len(set(media.time_codes(pairs).tolist())) == len(pairs) and media.landmarks(bytes(4096)).shape == (0, 4)
+
+
+def test_one_changed_last_byte_can_change_the_feature(spark):
+    for n in (2047, 2048, 2240):
+        text = "".join(chr(97 + k * k % 23) for k in range(n - 1))
+        got = media.documents_digests(documents(spark, [(1, text + "a"), *((k, text + chr(k)) for k in range(33, 127))])).collect()
+        assert len({r["feature"] for r in got}) > 1
