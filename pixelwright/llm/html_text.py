@@ -20,49 +20,41 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import lean, pick, table
-from .html_blocks import Block, blocks
+from .html_blocks import KNOWN_NAMES, KNOWN_TAGS, OTHER, Block, blocks
 from .labelled_pages import labelled_pages
 
 TRAIN_PAGES = 900
 STEPS = 200
 RIDGE = 2e-4
-#: Attribute words that get a feature of their own; others share one.
-NAME_WORDS = (
-    "ad ads advert advertisement alert article author banner body bottom breadcrumb byline caption comment comments consent content"
-    " cookie copyright discussion entry footer form gdpr header legal list login logo main menu meta modal nav navigation newsletter"
-    " notice page pagination popup post promo related replies reply search share sidebar social sponsored sponsor story subscribe tag"
-    " tags text toolbar top widget"
-).split()
-TAGS = (
-    "a article aside b blockquote body button dd div dl dt em fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup"
-    " i label legend li main menu nav ol p pre section select small span strong table tbody td textarea th tr ul"
-).split()
 _INDEX = {name: k for k, name in enumerate(
-    [f"has:{t}" for t in TAGS] + [f"in:{t}" for t in TAGS] + [f"name:{w}" for w in NAME_WORDS] + ["name:other"]
+    [f"has:{t}" for t in KNOWN_TAGS] + [f"in:{t}" for t in KNOWN_TAGS] + [f"name:{w}" for w in KNOWN_NAMES] + ["name:other"]
     + [f"words:{k}" for k in range(9)] + [f"links:{k}" for k in range(5)] + [f"place:{k}" for k in range(6)]
-    + ["ends", "copyright", "first", "last", "digits", "bias", "alone"]
+    + ["ends", "copyright", "first", "last", "digits", "bias", "alone", "own header", "named within"]
 )}
 
 
-def features(page: list[Block]) -> list[list[int]]:
+def features(page: list[Block]) -> Iterator[list[int]]:
     """Active feature numbers per block."""
     known = _INDEX
-    out = []
     n = len(page)
     cached: dict[tuple, list[int]] = {}
     for k, block in enumerate(page):
-        key = (block.tags, block.names)
+        key = (block.tags, block.inner, block.names, block.depth <= 2)
         base = cached.get(key)
         if base is None:
-            base = [known[f] for f in {f"has:{t}" for t in block.tags} if f in known]
-            inner = next((t for t in reversed(block.tags) if t not in ("b", "i", "em", "strong", "span", "small")), "body")
-            if f"in:{inner}" in known:
-                base.append(known[f"in:{inner}"])
-            named = [known[f"name:{w}"] for w in block.names if f"name:{w}" in known]
+            base = [known[f"has:{t}"] for t in sorted(block.tags)]
+            if f"in:{block.inner}" in known:
+                base.append(known[f"in:{block.inner}"])
+            named = [known[f"name:{w}"] for w in sorted(block.names) if w != OTHER]
             base += named or ([known["name:other"]] if block.names else [])
             base.append(known["bias"])
-            if len(block.tags) <= 2:
+            if block.depth <= 2:
                 base.append(known["alone"])
+            if block.tags & {"article", "main"}:
+                if "header" in block.tags:
+                    base.append(known["own header"])
+                if named:
+                    base.append(known["named within"])
             cached[key] = base
         text = block.text
         size = len(text)
@@ -80,8 +72,7 @@ def features(page: list[Block]) -> list[list[int]]:
             f.append(known["last"])
         if size < 40 and any(c.isdigit() for c in text):
             f.append(known["digits"])
-        out.append(f)
-    return out
+        yield f
 
 
 class Field:
@@ -95,7 +86,7 @@ class Field:
         """The best labels by Viterbi."""
         if not page:
             return []
-        w, back = self._w, []
+        w, back = self._w, bytearray()  # for each later block the best label before each of its labels, two bits
         no, yes, parent = 0.0, 0.0, None
         for k, (block, active) in enumerate(zip(page, features(page))):
             emit = 0.0
@@ -106,13 +97,13 @@ class Field:
             else:
                 (nn, ny), (yn, yy) = self._m[block.parent == parent]
                 from_no, from_yes = (no + nn >= yes + yn), (no + ny >= yes + yy)
-                back.append((0 if from_no else 1, 0 if from_yes else 1))
+                back.append((0 if from_no else 1) + (0 if from_yes else 2))
                 no, yes = (no + nn if from_no else yes + yn), emit + (no + ny if from_yes else yes + yy)
             parent = block.parent
         label = int(yes > no)
         labels = [label]
         for step in reversed(back):
-            label = step[label]
+            label = step >> label & 1
             labels.append(label)
         return labels[::-1]
 

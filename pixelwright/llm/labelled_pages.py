@@ -152,12 +152,18 @@ class PageMaker:
     def main(self) -> None:
         open_, close = self.r.choice(MAIN_WRAPPERS + MAIN_WRAPPERS[:4])
         self.parts.append(open_)
-        if self.r.random() < 0.8:
+        kind = self.r.random()
+        if kind < 0.62:
             self.put(f"<h1>{self.sentence(2, 9)}</h1>", 1)
+        elif kind < 0.72:
+            self.put(f"<h2>{self.sentence(2, 9).rstrip('.')}</h2>", 1)
+        elif kind < 0.82 and open_.startswith(("<article", "<main")):
+            byline = self.r.random() < 0.3
+            self.put(f"<header><h1>{self.sentence(2, 9)}</h1>" + (f'<div class="byline">{self.sentence(2, 4)}</div>' if byline else "") + "</header>", 1, *[0] * byline)
         for _ in range(self.r.choice([1, 2, self.r.randint(1, 14), self.r.randint(1, 14)])):
             self.paragraph()
-            if self.r.random() < 0.06:
-                self.r.choice([self.advert, self.share, self.form])()
+            if self.r.random() < 0.08:
+                self.r.choice([self.advert, self.advert, self.share, self.form])()
         if self.r.random() < 0.15:
             self.r.choice([self.share, self.comments, self.form])()
         self.parts.append(close)

@@ -102,3 +102,37 @@ def test_many_open_elements_take_little_time():
     page = "<svg><head><iframe>x " * 20_000
     start = time.perf_counter()
     assert " ".join(b.text for b in blocks(page)).split() == ["x"] * 20_000 and time.perf_counter() - start < 10
+
+
+M = 1_000_000
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * M, '<a b="' * M, "<" * 10 * M, "<div>x" * (M // 2), "<b>x" * M, '<b c=">"' * M, '<b c=">"' * M + ">", "<a b='" * M + ">", "<script" * M, "<script></script" + " " * 10 * M,
+        "<svg>" * M, "<head><title>" * (M // 2), "<p>&#" + "9" * 10 * M + ";", "&" * 10 * M, "<a class" + " " * 10 * M + ">", "<p " + "= " * 5 * M, "<!" * 5 * M, "<li>x" * (M // 2),
+        "".join(f'<div class="n{k}">x' for k in range(M // 5)),
+    ],
+    ids=lambda page: page[:12],
+)
+def test_hostile_pages_take_linear_time(page):
+    """Up to 10 MB each; a stretch that is read again for each tag would take hours."""
+    start = time.perf_counter()
+    assert sum(len(b.text) for b in blocks(page)) <= len(page) and time.perf_counter() - start < 60
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<p title="a > b">x</p>', ["x"]), ("<p title='a > b'>x</p>", ["x"]), ("<p don't>x</p><p isn't>y</p>", ["x", "y"]), ('<p title="a>x</p><p>y</p>', ["x", "y"]),
+        ('<p title = "a>b" id=c>x', ["x"]), ("<p>&#00000000065;&#x41;</p>", ["AA"]), ("<p>&#99999999999;</p>", ["�"]), ("<p a=b/>x", ["x"]),
+    ],
+)
+def test_quotes_and_numbers(page, want):
+    assert [b.text for b in blocks(page)] == want
+
+
+def test_hostile_page_through_the_operator(spark):
+    df = spark.createDataFrame([(1, "u", "<div>x " * 100_000), (2, "u", "<a b='" * 200_000 + ">")], "page_id long, url string, html string")
+    assert {r["page_id"] for r in html_text.main_text(df, "page_id", "url", "html").collect()} == {1, 2}
