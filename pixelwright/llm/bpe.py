@@ -1,7 +1,8 @@
 """BPE encoding and decoding by tree concatenation.
 
-A long text is halved until its parts are leaves, leaves are encoded on their own (in
-parallel threads if asked; the encoder releases the interpreter lock), and neighbours are
+A text of more than LEAF characters, or with a long run that the pre-tokenizer doesn't split, is
+halved until its parts are leaves, the leaves are encoded on their own (from PARALLEL characters
+on in THREADS parallel threads; the encoder releases the interpreter lock), and neighbours are
 joined by re-encoding a window around the join that grows until both sides agree exactly:
 
 * Cutting before white space that follows something else never changes the pre-tokenizer's
@@ -36,9 +37,12 @@ from .common import lean, pick, table, tokenizer_path, utf8
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Texts of more characters are halved.
-LEAF = 1 << 15
+LEAF = 1 << 12
 #: Pre-tokens of more characters are encoded as halves, too.
 RUN = 1 << 9
+#: Parts of a long text that are encoded at the same time; in shorter texts, handing over costs more than it saves.
+THREADS = 2
+PARALLEL = 1 << 15
 #: Ids digested at once.
 STEP = 1 << 18
 #: The split pattern of this vocabulary (a fixed value, as in its file).
@@ -62,7 +66,7 @@ def _has_long_run(text: str) -> bool:
 class ByteBpe:
     """A byte-level BPE vocabulary file with its encoder and decoder."""
 
-    def __init__(self, path: str, leaf: int = LEAF, threads: int = 1):
+    def __init__(self, path: str, leaf: int = LEAF, threads: int = THREADS):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         alphabet = byte_alphabet()
@@ -70,6 +74,7 @@ class ByteBpe:
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.special = special
         self.leaf, self.threads = leaf, threads
+        self._pool: ThreadPoolExecutor | None = None
         self.core = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.size = 1 + max([*ranks.values(), *special.values()])
         self.bytes_of = [b""] * self.size
@@ -95,7 +100,7 @@ class ByteBpe:
         return np.concatenate(parts) if parts else _NO_IDS
 
     def _plain(self, text: str) -> np.ndarray:
-        if len(text) <= min(self.leaf, 8 * RUN) or (len(text) <= self.leaf and not _has_long_run(text)):
+        if len(text) <= self.leaf and (len(text) <= RUN or not _has_long_run(text)):
             return self._leaf(text)
         return self._tree(text)
 
@@ -106,9 +111,11 @@ class ByteBpe:
         cuts = [0]
         self._cut(text, 0, len(text), cuts)
         leaves = [text[a:b] for a, b in zip(cuts, cuts[1:])]
-        if self.threads > 1:
-            with ThreadPoolExecutor(self.threads) as pool:
-                ids = list(pool.map(self._leaf, leaves))
+        if self.threads > 1 and len(leaves) > 1 and len(text) >= PARALLEL:
+            self._pool = self._pool or ThreadPoolExecutor(self.threads)
+            share = -(-len(leaves) // self.threads)  # one stretch of the text for each thread
+            parts = self._pool.map(lambda k: [self._leaf(x) for x in leaves[k : k + share]], range(0, len(leaves), share))
+            ids = [x for part in parts for x in part]
         else:
             ids = [self._leaf(x) for x in leaves]
         nodes = list(zip(leaves, ids))
@@ -211,7 +218,7 @@ class ByteBpe:
 
 
 @functools.lru_cache(4)
-def encoder(path: str, leaf: int = LEAF, threads: int = 1) -> ByteBpe:
+def encoder(path: str, leaf: int = LEAF, threads: int = THREADS) -> ByteBpe:
     """One encoder per worker process and file."""
     return ByteBpe(path, leaf, threads)
 
@@ -219,11 +226,11 @@ def encoder(path: str, leaf: int = LEAF, threads: int = 1) -> ByteBpe:
 _ARROW = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int = LEAF) -> DataFrame:
+def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int = LEAF, threads: int = THREADS) -> DataFrame:
     """Per row: key, n_tokens, digests of the ids and of the decoded text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary, leaf)
+        bpe = encoder(vocabulary, leaf, threads)
         for batch in batches:
             out: list[list] = [[], [], []]
             for value in batch.column(1):
@@ -237,11 +244,11 @@ def round_trip(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int =
     return df.select(key, utf8(text).alias("_bytes")).mapInArrow(run, f"{key} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encode_column(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int = LEAF) -> DataFrame:
+def encode_column(df: DataFrame, key: str, text: str, vocabulary: str, leaf: int = LEAF, threads: int = THREADS) -> DataFrame:
     """Per row: key and ids (array of int)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary, leaf)
+        bpe = encoder(vocabulary, leaf, threads)
         for batch in batches:
             ids = [bpe.encode(v.as_py().decode("utf-8", "replace")).astype(np.int32) for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(ids, pa.list_(pa.int32()))], names=[key, "ids"])

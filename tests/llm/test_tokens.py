@@ -33,6 +33,7 @@ def awkward(r):
 @pytest.mark.parametrize("leaf,run,threads", [(6, 4, 1), (16, 8, 2), (bpe.LEAF, bpe.RUN, 1)])
 def test_tree_equals_library(library, monkeypatch, leaf, run, threads):
     monkeypatch.setattr(bpe, "RUN", run)
+    monkeypatch.setattr(bpe, "PARALLEL", 1 if leaf < bpe.LEAF else bpe.PARALLEL)
     mine = bpe.ByteBpe(PATH, leaf, threads)
     r = random.Random(leaf)
     for _ in range(1500):
@@ -165,3 +166,12 @@ def test_plan_is_optimal():
         total = sum(pay[b] + 12 - (b - a) for a, b in zip([0, *windows], windows))
         assert total == pytest.approx(best[n]) and all(b - a <= 12 for a, b in zip([0, *windows], windows))
     assert packing.powers(3, 3 + 777) == [515, 771, 779, 780]
+
+
+def test_halves_meet_in_threads_on_the_main_path(spark, monkeypatch):
+    """The query's own encoder hands long texts to its threads, and gives the library's ids."""
+    mine = bpe.encoder(PATH)
+    text = ("some words, " * 9 + "x" * 700 + "\n") * 60
+    assert mine.threads > 1 and len(text) >= bpe.PARALLEL
+    ids = mine.encode(text)
+    assert mine._pool is not None and ids.tolist() == bpe.ByteBpe(PATH, 1 << 30, 1)._leaf(text).tolist()
