@@ -36,7 +36,7 @@ from .common import lean, pick, table, tokenizer_path, utf8
 SEQUENCE = 2048
 END_ID = 1
 SENTENCE_CUT = 1.0
-INSIDE_CUT = 4.0
+INSIDE_CUT = 64.0
 INSIDE_STEP = 16
 #: Tokens planned at once; the last sequences of a block are planned again with the next one.
 BLOCK = 1 << 19
