@@ -15,19 +15,23 @@ def brute(docs, templates=L.TEMPLATES, threshold=L.THRESHOLD):
     out = []
     for doc, text in docs:
         lines = (text or "").split("\n")
-        units = ([(0, text)] if len(lines) > 1 else []) + list(enumerate(lines, 1))
+        units = ([(0, grams(text))] if len(lines) > 1 else []) + [(k, grams(u)) for k, u in enumerate(lines, 1)]
+        w = re.findall(r"[^\W_]+", (text or "").lower())
+        pairs = list(zip(w, w[1:]))
         for name, body in templates:
             t = grams(body)
+            size = sum(t.values())
+            last = len(pairs) - size
+            starts = {min(p, last) for p, g in enumerate(pairs) if g in t} if last >= 0 else ()
             hits = []
-            for k, u in units:
-                g = grams(u)
+            for k, g in units + [(-p - 1, Counter(pairs[p : p + size])) for p in starts]:
                 if g:
-                    dice = 2 * sum((g & t).values()) / (sum(g.values()) + sum(t.values()))
+                    dice = 2 * sum((g & t).values()) / (sum(g.values()) + size)
                     if dice >= threshold:
-                        hits.append((dice, -k))
+                        hits.append((-dice, k < 0, abs(k)))
             if hits:
-                dice, k = max(hits)
-                out.append((doc, name, round(dice, 9), -k, len(hits)))
+                dice, window, k = min(hits)
+                out.append((doc, name, round(-dice, 9), -k if window else k, len(hits)))
     return sorted(out)
 
 
@@ -79,3 +83,35 @@ def test_pieces_of_templates_hold_an_anchor():
         for n in range(2, len(w) + 1):
             if 10 * 2 * (n - 1) >= 8 * (n - 1 + len(w) - 1):
                 assert all(anchors & set(L.bigrams(" ".join(w[k : k + n]))) for k in range(len(w) - n + 1)), (name, n)
+
+
+def test_notices_within_prose_and_wrapped_texts(spark):
+    full = dict(L.TEMPLATES)
+    wrapped = "\n".join(re.sub(r"(.{1,60})(?: |$)", r"# \1|", full["MIT"]).strip("|").split("|"))
+    docs = [
+        (1, "A long line of prose that says it was released under the MIT License. And it goes on for a while after that, and on."),
+        (2, "Words before.\n" * 40 + wrapped + "\nint main() {}\n" * 30),
+        (3, "def f(): pass\n" + full["BSD-3-Clause"].replace(". ", ".\n").replace("copyright holder nor", "author nor") + "\nend of the file " * 5),
+        (4, "This text ends with a notice: this work is licensed under\nthe GNU General Public License, version"),
+        (5, ("licensed under cc by 4.0 " * 50) + "x"), (6, "of the use in the software or the other " * 30), (7, "the mit license"),
+    ]
+    got = found(documents(spark, docs))
+    assert got == brute(docs)
+    names = {(d, n) for d, n, *_ in got}
+    assert {(1, "MIT-notice"), (2, "MIT"), (3, "BSD-3-Clause"), (5, "CC-BY-4.0-notice")} <= names and not {6, 7} & {d for d, _ in names}
+
+
+def test_windows_by_brute_force(spark):
+    """Random words of a small alphabet, so that windows start, end and repeat everywhere."""
+    import random
+
+    r = random.Random(3)
+    templates = (("x", "a b a b c a"), ("y", "c c c a b"), ("z", "b a c"), ("w", "a b c a b c a b c a b c"))
+    docs = [(k, " ".join(r.choice(["a", "b", "c", "d", "\n"]) for _ in range(r.randint(0, 40)))) for k in range(120)]
+    for threshold in (0.5, 0.8, 1.0):
+        assert found(documents(spark, docs), templates=templates, threshold=threshold) == brute(docs, templates, threshold)
+
+
+def test_repeated_notice_in_a_long_text(spark):
+    """Work grows with the text, not with the square of its hits."""
+    assert found(documents(spark, [(1, "Licensed under CC BY 4.0. " * 20_000)]))[0][:3] == (1, "CC-BY-4.0-notice", 1.0)
