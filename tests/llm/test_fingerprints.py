@@ -14,7 +14,7 @@ from tests.llm.helpers import documents, empty
 
 
 def units(text):
-    return set(re.findall(rf"[^\n]{{1,{iblt.SEGMENT}}}", text))
+    return set(re.findall(rf"[^\n]{{1,{iblt.SEGMENT}}}[^\n.!?]{{0,{2 * iblt.SEGMENT}}}[.!?]*", text))
 
 
 def jaccard(a, b):
@@ -83,3 +83,35 @@ def test_no_python_in_the_plan(spark):
     plan = iblt.op7(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_an_insertion_shifts_few_pieces():
+    text = " ".join(f"Sentence {k} of a long line is of some length or other{', and on it goes' * (k % 4)}." for k in range(200))
+    changed = text[:4000] + "an insertion " + text[4000:]
+    assert len(units(text) ^ units(changed)) < 12 and len(units(text)) > 100
+
+
+@pytest.mark.parametrize("differ", [0, 3, 20, 150, 1200])
+def test_tables_follow_the_difference(spark, differ):
+    """Two texts of 3,000 lines: the blocks of the larger table are as many as the difference asks for, and its digests are recovered."""
+    lines = [f"line {k}" for k in range(3000)]
+    other = lines[: 3000 - differ] + [f"other {k}" for k in range(differ)]
+    df = spark.createDataFrame([("\n".join(lines), "\n".join(other))], "a string, b string")
+    d = df.select(iblt.paragraphs(F.col("a")).alias("a"), iblt.paragraphs(F.col("b")).alias("b"))
+    d = d.select("*", iblt.subtract(iblt.sketch(F.col("a")), iblt.sketch(F.col("b"))).alias("x"))
+    r = d.select(iblt.peel(F.col("x")).alias("peeled"), iblt.differing(F.col("x"), F.size("a"), F.size("b")).alias("about")).first()
+    if differ <= 3:
+        assert len(r["peeled"]) == 2 * differ
+    else:
+        assert r["peeled"] is None and differ / 3 < r["about"] < 8 * differ
+    got = {r["doc_id"]: r for r in run(documents(spark, [(1, "\n".join(lines)), (2, "\n".join(other))])).collect()}
+    assert got[1]["near_next"] == pytest.approx((3000 - differ) / (3000 + differ))
+
+
+def test_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(iblt, "RANGE_BYTES", 40)
+    docs = [(k * k % 1009, f"text {k}.\nand {k % 7}") for k in range(400)]
+    chain = iblt.with_next(documents(spark, docs), "doc_id", "text").collect()
+    want = sorted(docs)
+    got = sorted((r["key"], r["text"], r["next_text"]) for r in chain)
+    assert got == [(i, t, u) for (i, t), (_, u) in zip(want, want[1:] + want[:1])] and len({r["bucket"] for r in chain}) > 100
