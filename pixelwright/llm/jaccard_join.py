@@ -10,11 +10,11 @@ index is at least 0.8. The join is exact; no candidate, partner or bucket is cap
 2. In the global order come the shingles of one class only, then the others by hash, the common
    ones last. Linked sets share one of the first n - ceil(0.8 n) + 1 in any such order; of these
    the shingles of one class can't be the shared one, so they need no key, and most documents,
-   having enough of them, need no key at all. The other keys go out packed as bytes, one row
-   for each scan task and target. Classes that meet in a key, and whose sizes lie in one stretch
-   without a gap wider than the threshold allows, form a group under the least of them, the
-   leader; a class is in as many groups as it has leaders. Any two linked classes meet in the
-   group of their shared key's leader.
+   having enough of them, need no key at all. Classes that meet in a key, and whose sizes lie in
+   one stretch without a gap wider than the threshold allows, form a group under the least of
+   them, the leader; a class is in as many groups as it has leaders. Any two linked classes meet
+   in the group of their shared key's leader. Leaders are found by minima per key and size,
+   which are pre-aggregated before the shuffle, so that no key's classes come together in a task.
 3. A group's sets are stored in a compressed prefix tree, in an order of its own with shared
    shingles first, so that near copies share long paths. Each set walks the tree: a node's
    overlap is computed once for all sets below it, and a subtree is left when the overlap and
@@ -24,7 +24,7 @@ index is at least 0.8. The join is exact; no candidate, partner or bucket is cap
    chunk is joined in itself and with a few pivots of the group. Then every class outside the
    group's largest component meets every chunk: what remains unlinked after the first step is
    compared with everything, so this is exact, too, and a huge group of near copies costs little
-   more than its size.
+   more than its size. Rows of a group meet its figures by group and salt.
 5. Links are between the classes' least doc_ids; components come from alternating stars, whose
    roots are the least doc_ids and so the components' ids.
 
@@ -41,7 +41,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_files, lean, materialize, pick, table, text_parts, utf8
@@ -58,6 +58,10 @@ COMMON = 48
 CHUNK = 1 << 21
 CHUNK_ROWS = 512
 PIVOTS = 8
+#: A large group's rows are dealt out to so many tasks where they meet its figures.
+SALTS = 64
+#: Bytes of input for each target of counted shingles; and the most targets.
+TARGET_BYTES, MOST_TARGETS = 1 << 24, (1 << 16) - 1
 #: Shingles that a task holds before it hands them on.
 BUFFER = 1 << 19
 
@@ -131,7 +135,7 @@ def _holds(table: np.ndarray, at: np.ndarray) -> np.ndarray:
 _SUMMARY = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d", pa.int64()), ("target", pa.int32()), ("packed", pa.binary())])
 
 
-def _summary(targets: int):
+def _summary(targets: int, common_from: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
@@ -139,9 +143,11 @@ def _summary(targets: int):
 
         def counted() -> pa.RecordBatch:
             s = np.concatenate(held)
+            s.sort()
+            if len(s) > common_from:  # more copies of a shingle than make it common say nothing new
+                s = s[np.concatenate([np.ones(common_from, bool), s[common_from:] != s[:-common_from]])]
             t = _target(s, targets)
-            order = np.argsort(t, kind="stable")
-            s, t = (s[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32), t[order]
+            s = (s & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             cuts = np.flatnonzero(np.diff(t, prepend=-1))
             parts = [x.tobytes() for x in np.split(s, cuts[1:])]
             none = [None] * len(parts)
@@ -211,30 +217,17 @@ def prefix_length(n: int) -> int:
     return n - -(-NUMERATOR * n // DENOMINATOR) + 1
 
 
-_POSTING = np.dtype([("key", "<u4"), ("n", "<u4"), ("d", "<i8")])
+_POSTING = pa.schema([("key", pa.int64()), ("n", pa.int64()), ("d", pa.int64())])
 
 
 def _postings(targets: int, shared_bits: int, common_bits: int, tables):
+    """(key, size, class) for each key of each class, once for each task that has it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, common = tables.value
-        held: list[tuple[np.ndarray, int, int]] = []
-        size = 0
         seen: set[int] = set()
-
-        def packed() -> pa.RecordBatch:
-            s = np.concatenate([h[0] for h in held])
-            rows = np.empty(len(s), _POSTING)
-            rows["key"] = s & np.uint64(0xFFFFFFFF)
-            lengths = [len(h[0]) for h in held]
-            rows["n"] = np.repeat([h[1] for h in held], lengths)
-            rows["d"] = np.repeat([h[2] for h in held], lengths)
-            t = _target(s, targets)
-            order = np.argsort(t, kind="stable")
-            rows, t = rows[order], t[order]
-            cuts = np.flatnonzero(np.diff(t, prepend=-1))
-            return pa.RecordBatch.from_arrays([pa.array(t[cuts], pa.int32()), pa.array([x.tobytes() for x in np.split(rows, cuts[1:])], pa.binary())], names=["target", "packed"])
-
         for batch in batches:
+            held: list[tuple[np.ndarray, int, int]] = []
             for value in batch.column(0):
                 s = shingles(value.as_py())
                 if not len(s):
@@ -251,40 +244,28 @@ def _postings(targets: int, shared_bits: int, common_bits: int, tables):
                 if wanted <= 0:
                     continue
                 late = _holds(common, _bit(some, targets, common_bits))
-                first = np.concatenate([some[~late], some[late]])[:wanted]
-                held.append((first, len(s), d))
-                size += len(first)
-                if size > BUFFER:
-                    yield packed()
-                    held.clear()
-                    size = 0
-        if held:
-            yield packed()
+                held.append((np.concatenate([some[~late], some[late]])[:wanted], len(s), d))
+            if held:
+                lengths = [len(h[0]) for h in held]
+                columns = np.concatenate([h[0] for h in held]).view(np.int64), np.repeat([h[1] for h in held], lengths), np.repeat([h[2] for h in held], lengths)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_POSTING)
 
     return run
 
 
-def _memberships(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct (leader, member) pairs of one target's keys; a leader is a member of its group."""
-    names = ["leader", "member", "n"]
-    for _, parts in _runs(batches):
-        rows = np.concatenate([np.frombuffer(p, _POSTING) for p in parts])
-        rows = rows[np.lexsort((rows["d"], rows["n"], rows["key"]))]
-        keep = np.ones(len(rows), bool)
-        keep[1:] = (rows["key"][1:] != rows["key"][:-1]) | (rows["d"][1:] != rows["d"][:-1])
-        rows = rows[keep]
-        # by size a key falls into stretches: sets further apart than the threshold allows can't link
-        n = rows["n"].astype(np.int64)
-        fresh = np.ones(len(rows), bool)
-        fresh[1:] = (rows["key"][1:] != rows["key"][:-1]) | (NUMERATOR * n[1:] > DENOMINATOR * n[:-1])
-        starts = np.flatnonzero(fresh)
-        sizes = np.diff(starts, append=len(rows))
-        leaders = np.repeat(np.minimum.reduceat(rows["d"], starts), sizes)
-        met = np.repeat(sizes, sizes) > 1
-        pairs = np.empty(int(met.sum()), np.dtype([("l", "<i8"), ("m", "<i8"), ("n", "<i8")]))
-        pairs["l"], pairs["m"], pairs["n"] = leaders[met], rows["d"][met], n[met]
-        pairs = np.unique(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[c].copy(), pa.int64()) for c in ("l", "m", "n")], names=names)
+def _groups(postings: DataFrame) -> DataFrame:
+    """Distinct (leader, member, n) of the keys' groups of two classes or more; a leader is a member of its group.
+
+    By size a key falls into stretches: sets further apart than the threshold allows can't link.
+    """
+    by_size = postings.groupBy("key", "n").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    along = Window.partitionBy("key").orderBy("n")
+    before = F.lag("n").over(along)
+    fresh = F.when(before.isNull() | (NUMERATOR * F.col("n") > DENOMINATOR * before), 1).otherwise(0)
+    stretch = by_size.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(along))
+    whole = Window.partitionBy("key", "stretch")
+    leaders = stretch.select("key", "n", F.min("low").over(whole).alias("leader"), F.max("high").over(whole).alias("last")).where("leader < last")
+    return postings.join(leaders.drop("last"), ["key", "n"]).select("leader", F.col("d").alias("member"), "n").distinct()
 
 
 # -- 3. the prefix tree -----------------------------------------------------------------
@@ -450,18 +431,19 @@ def _group_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bool, dict[
         yield at[2], members
 
 
-def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, all_documents: bool) -> DataFrame:
-    """Links a, b within (leader, chunk, whole); dealt: leader, chunk, whole, member, walker.
+def _links(dealt: DataFrame, docs: DataFrame, classes: DataFrame, all_documents: bool) -> tuple[DataFrame, list[DataFrame]]:
+    """Links a, b within (leader, chunk, whole), and the tables written for them; dealt: leader, chunk, whole, member, walker.
 
     With ``all_documents`` the deal grows with the corpus, and the texts meet it by a sort-merge
     join at every size. Otherwise it is written first, so that the planner knows its size.
     """
     named = dealt.join(classes.select(F.col("d").alias("member"), "rep"), "member")
-    named = named.hint("merge") if all_documents else materialize(named, "dealt")
+    written = [] if all_documents else [materialize(named, "dealt")]
+    named = named.hint("merge") if all_documents else written[0]
     rows = docs.select(F.col("doc_id").alias("rep"), utf8("text").alias("_bytes")).join(named, "rep")
     rows = rows.select("leader", "chunk", "whole", "member", "walker", "rep", "_bytes")
     rows = rows.repartition("leader", "chunk").sortWithinPartitions("leader", "chunk", "member")
-    return materialize(rows.mapInArrow(_join_groups, "a long, b long"), "links")
+    return materialize(rows.mapInArrow(_join_groups, "a long, b long"), "links"), written
 
 
 def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
@@ -477,10 +459,11 @@ def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
 def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CHUNK_ROWS, common_from: int = COMMON, shared_bits: int = SHARED_BITS, common_bits: int = COMMON_BITS) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, n_shingles, component_id. The other parameters steer the work, not the result."""
     spark = docs.sparkSession
-    targets = min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 1 << 12)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # the planner's estimate
+    targets = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TARGET_BYTES), MOST_TARGETS)
 
-    scanned = materialize(docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(_summary(targets), "doc_id long, n long, d long, target int, packed binary"), "sets")
+    scanned = materialize(docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(_summary(targets, common_from), "doc_id long, n long, d long, target int, packed binary"), "sets")
     summary = scanned.where("target is null").select("doc_id", "n", "d")
     counted = scanned.where("target is not null").select("target", "packed").repartition("target").sortWithinPartitions("target")
     tables = spark.sparkContext.broadcast(_gather(counted.mapInArrow(_tables(targets, shared_bits, common_bits, common_from), "target int, shared binary, common binary"), targets, shared_bits, common_bits))
@@ -488,21 +471,25 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CH
     summary = materialize(summary, "summary")
     drop_files(scanned)  # the packed shingles are as large as the texts
 
-    packed = docs.select(utf8("text").alias("_bytes")).mapInArrow(_postings(targets, shared_bits, common_bits, tables), "target int, packed binary")
-    met = packed.repartition("target").sortWithinPartitions("target").mapInArrow(_memberships, "leader long, member long, n long")
-    groups = materialize(met.distinct(), "groups")
+    postings = materialize(docs.select(utf8("text").alias("_bytes")).mapInArrow(_postings(targets, shared_bits, common_bits, tables), "key long, n long, d long"), "postings")
+    groups = materialize(_groups(postings), "groups")
+    drop_files(postings)
     classes = summary.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"))
 
     more = F.greatest(F.sum("n") / chunk, F.count(F.lit(1)) / chunk_rows).cast("int")
-    dealt = groups.join(groups.groupBy("leader").agg(more.alias("more")), "leader").withColumn("h", F.xxhash64("member"))
-    edges = _links(_first_deal(dealt), docs, classes, all_documents=True)
+    large = groups.groupBy("leader").agg(more.alias("more")).where("more > 0")
+    dealt = _with_figures(groups.withColumn("h", F.xxhash64("member")), large, "left").withColumn("more", F.coalesce("more", F.lit(0)))
+    edges, used = _links(_first_deal(dealt), docs, classes, all_documents=True)
     labels = components(edges)
-    again = materialize(_second_deal(dealt.where("more > 0").join(classes, dealt["member"] == classes["d"]), labels), "again")
+    again, marked = _second_deal(dealt.where("more > 0").join(classes, dealt["member"] == classes["d"]), labels)
+    done = [groups, again, marked, edges, *used]
     if again.limit(1).count():
-        edges = edges.unionByName(_links(again, docs, classes, all_documents=False))
-        labels = components(edges)
-    for done in (groups, again, edges):
-        drop_files(done)
+        found, used = _links(again, docs, classes, all_documents=False)
+        drop_files(labels)
+        done += [found, *used]
+        labels = components(edges.unionByName(found))
+    for table_ in done:
+        drop_files(table_)
 
     by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d", F.coalesce("root", "rep").alias("component_id"))
     return (
@@ -511,6 +498,13 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CH
     )
 
 
+def _with_figures(rows: DataFrame, figures: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (leader, h ...) with one row of figures for each leader, joined by leader and salt: a group's rows go to SALTS tasks."""
+    salt = F.pmod("h", F.lit(SALTS)).cast("int")
+    copies = figures.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", salt).join(copies, ["leader", "salt"], how).drop("salt")
+
+
 def _first_deal(dealt: DataFrame) -> DataFrame:
     """Groups in chunks by hash, each with the group's pivots: its leader and the least of its hashes."""
     own = dealt.select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member")
@@ -522,16 +516,18 @@ def _first_deal(dealt: DataFrame) -> DataFrame:
     return own.unionByName(copies).distinct().select("leader", "chunk", F.lit(True).alias("whole"), "member", F.lit(True).alias("walker"))
 
 
-def _second_deal(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """For groups in several chunks: every class outside the group's largest component so far walks in every chunk."""
+def _second_deal(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For groups in several chunks: every class outside the group's largest component so far walks in every chunk. And the written table behind it."""
     marked = large.join(labels, large["rep"] == labels["node"], "left").select("leader", "member", "more", "h", F.coalesce("root", "rep").alias("root"))
     marked = materialize(marked, "marked")
-    largest = marked.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"))
-    outside = marked.join(largest, "leader").where("root <> main").select("leader", "more", "member")
-    walkers = outside.select("leader", F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk"), "member", F.lit(True).alias("walker"))
-    stay = marked.join(outside.select("leader").distinct(), "leader", "left_semi").select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member", F.lit(False).alias("walker"))
+    by_root = marked.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c"))
+    largest = by_root.groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    some = _with_figures(marked, largest)
+    chunks = F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk")
+    walkers = some.where("root <> main").select("leader", chunks, "member", F.lit(True).alias("walker"))
+    stay = some.select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member", F.lit(False).alias("walker"))
     every = stay.unionByName(walkers).groupBy("leader", "chunk", "member").agg(F.max("walker").alias("walker"))
-    return every.select("leader", "chunk", F.lit(False).alias("whole"), "member", "walker")
+    return materialize(every.select("leader", "chunk", F.lit(False).alias("whole"), "member", "walker"), "again"), marked
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

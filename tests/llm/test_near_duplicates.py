@@ -135,3 +135,49 @@ def test_components(spark, seed):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: u.find(x) for x in u.of if u.find(x) != x or any(u.find(y) == x for y in u.of if y != x)}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def written_rows(monkeypatch, df, **options):
+    """Rows of each table that the join writes, by name."""
+    rows, write = {}, J.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        rows[name] = rows.get(name, 0) + out.count()
+        return out
+
+    with monkeypatch.context() as m:
+        m.setattr(J, "materialize", counted)
+        got = found(df, **options)
+    return got, rows
+
+
+def test_unlinked_texts_with_one_passage_take_linear_work(spark, monkeypatch):
+    """Texts that share a passage and nothing else send no keys, however many they are."""
+    passage = " ".join(f"shared{k}" for k in range(80))
+    for n in (500, 5000):
+        texts = [" ".join(f"u{k}x{i}" for i in range(40)) + " " + passage for k in range(n)]
+        got, rows = written_rows(monkeypatch, documents(spark, list(enumerate(texts))))
+        assert all(got[k][1] == k for k in range(n)) and rows["postings"] == 0 and "again" in rows and rows["again"] == 0
+
+
+def test_large_group_of_near_copies_takes_linear_work(spark, monkeypatch):
+    """One group in many chunks: what is dealt is little more than the group."""
+    r = random.Random(4)
+    base = [f"w{k}" for k in range(150)]
+    for n in (400, 1600):
+        texts = []
+        for _ in range(n):
+            w = base.copy()
+            w[r.randrange(150)] = f"e{r.randrange(10**6)}"
+            texts.append(" ".join(w))
+        got, rows = written_rows(monkeypatch, documents(spark, list(enumerate(texts))), chunk_rows=64, common_from=8)
+        assert {v[1] for v in got.values()} == {0}
+        assert rows["groups"] <= 4 * n and rows["again"] <= 4 * n and rows["links"] < 4 * n
+
+
+def test_leaders_of_keys(spark):
+    """Stretches of sizes by hand: (key, size, class)."""
+    rows = [(1, 10, 5), (1, 12, 3), (1, 12, 3), (1, 16, 9), (1, 20, 8), (2, 10, 5), (2, 10, 5), (3, 7, 1), (3, 8, 2), (3, 100, 0)]
+    got = {tuple(r) for r in J._groups(spark.createDataFrame(rows, "key long, n long, d long")).collect()}
+    assert got == {(3, 5, 10), (3, 3, 12), (8, 9, 16), (8, 8, 20), (1, 1, 7), (1, 2, 8)}
