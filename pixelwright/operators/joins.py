@@ -6,10 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def dark_subtract(px: DataFrame, dark: DataFrame, black: int, top: int) -> DataFrame:
-    """Subtract a dark frame by position; a sensor has a fixed number of places, so the dark frame is broadcast."""
-    d = F.broadcast(dark.select("y", "x", F.col("val").alias("d")))
-    return px.join(d, ["y", "x"]).select("frame", "y", "x", F.greatest(F.lit(0), F.least(F.lit(top), F.col("val") - F.col("d") + black)).alias("val"))
+def dark_subtract(frames: DataFrame, dark: DataFrame, black: int, top: int) -> DataFrame:
+    """Dense frames less the dense dark frame of their size, element by element.
+
+    A dark frame is one row of its h and w, so the join moves no pixel; the planner broadcasts
+    that row or not by its size. Frames without a dark frame of their size are left out.
+    """
+    clamped = lambda v, d: F.greatest(F.lit(0), F.least(F.lit(top), v - d + black))
+    d = dark.select("h", "w", F.col("data").alias("_dark"))
+    return frames.join(d, ["h", "w"]).withColumn("data", F.zip_with("data", "_dark", clamped)).drop("_dark")
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, time: str, tie: str, value: str, out: str) -> DataFrame:

@@ -426,7 +426,7 @@ def f8(spark, sf):
     return p.select("p_partkey", "p_name", F.when(F.col("p_size") < 10, "small").when(F.col("p_size") < 30, "medium").otherwise("large").alias("rule"))
 
 
-@query("p29_p30_geometry", with_px("SELECT a.frame, a.y, a.x, b.val AS rotated, c.val AS transposed FROM px a JOIN px b ON b.frame = a.frame AND b.y = 7 - a.y AND b.x = 7 - a.x JOIN px c ON c.frame = a.frame AND c.y = a.x AND c.x = a.y"))
+@query("p29_p30_geometry", "WITH e AS (SELECT vec_id AS frame, list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 8191.5) AS BIGINT)) AS a FROM embeddings) SELECT frame, (p - 1) // 8 AS y, (p - 1) % 8 AS x, a[65 - p] AS rotated, a[((p - 1) % 8) * 8 + (p - 1) // 8 + 1] AS transposed FROM e, (SELECT unnest(range(1, 65)) AS p) r")
 def p29(spark, sf):
     """Both turns are made within a frame's row."""
     from ..operators import stencil as S
@@ -442,7 +442,7 @@ def p31(spark, sf):
     return T.px(spark, sf).select("frame", X.idiv(y, 2).alias("y"), X.idiv(x, 2).alias("x"), ((y % 2) * 2 + x % 2).alias("plane"), "val")
 
 
-@query("sc13_cfa_shift", with_px("SELECT a.frame, a.y, a.x, b.val FROM px a JOIN px b ON b.frame = a.frame AND b.x = a.x AND b.y = CASE WHEN a.y = 7 THEN 6 ELSE a.y + 1 END"))
+@query("sc13_cfa_shift", "WITH e AS (SELECT vec_id AS frame, list_transform(embedding, lambda v: CAST(floor((CAST(v AS DOUBLE) + 1) * 8191.5) AS BIGINT)) AS a FROM embeddings) SELECT frame, (p - 1) // 8 AS y, (p - 1) % 8 AS x, a[CASE WHEN p > 56 THEN p - 8 ELSE p + 8 END] AS val FROM e, (SELECT unnest(range(1, 65)) AS p) r")
 def sc13(spark, sf):
     from ..operators import stencil as S
 

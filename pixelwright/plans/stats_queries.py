@@ -26,14 +26,8 @@ def a27(spark, sf):
     """Levels, upper median of the 10-bit values and a gain per frame, all within the frame's row: no shuffle."""
     lv = F.transform("data", lambda v: X.levels(v * 4, 2048, 15000))
 
-    def rule(v):
-        median = F.get(F.array_sort(F.transform(v, lambda x: F.shiftright(x, 6))), F.floor(F.size(v) / 2))
-        gain = 512.0 / F.greatest(median, F.lit(1))
-        made = F.transform(v, lambda x: X.clamp16(X.trunc(x * gain)))
-        return F.struct(median.alias("median"), (F.round(F.log2(gain), 6) + 0.0).alias("correction"), made.alias("data"))
-
-    f = T.frames(spark, sf).select("frame", "h", "w", S.once(lv, rule).alias("m"))
-    return T.to_long(f.select("frame", "h", "w", "m.*"), "median", "correction").select("frame", "y", "x", "median", "correction", "val")
+    f = A.deflicker(T.frames(spark, sf).withColumn("data", lv), target=512.0)
+    return T.to_long(f, "median", "correction").select("frame", "y", "x", "median", "correction", "val")
 
 
 @query("a1_histogram", with_px("SELECT frame, least(val, 12000) >> 6 AS bin, count(*) AS n FROM px GROUP BY ALL"))
@@ -141,16 +135,28 @@ def a15(spark, sf):
     return A.weighted_line(d, "frame").select("frame", (F.round("a", 6) + 0.0).alias("a"), (F.round("b", 6) + 0.0).alias("b"))
 
 
-@query("a16_j12_slope_scan", with_px("SELECT frame, ev, score FROM (SELECT frame, ev, score, row_number() OVER (PARTITION BY frame ORDER BY score DESC, step) AS k FROM (SELECT p.frame, g.step, g.step / 10.0 AS ev, count(CASE WHEN abs(q.val - 2048 - (p.val - 2048) * pow(2.0, -g.step / 10.0)) < 50 THEN 1 END) AS score FROM px p JOIN px q ON q.frame = p.frame AND q.x = p.x AND q.y = p.y + 2 CROSS JOIN (SELECT unnest(range(0, 31)) AS step) g WHERE p.y % 4 < 2 GROUP BY ALL)) WHERE k = 1"))
+_A16 = """pairs AS (SELECT label, p.val AS b, q.val AS d, count(*) AS n FROM px p JOIN embeddings ON vec_id = p.frame JOIN px q ON q.frame = p.frame AND q.x = p.x AND q.y = p.y + 2 WHERE p.y % 4 < 2 AND p.val < 15000 GROUP BY ALL),
+cb AS (SELECT label, b, sum(n) OVER (PARTITION BY label ORDER BY b) AS cum, sum(n) OVER (PARTITION BY label) AS total FROM (SELECT label, b, sum(n) AS n FROM pairs GROUP BY ALL)),
+cd AS (SELECT label, d, sum(n) OVER (PARTITION BY label ORDER BY d) AS cum, sum(n) OVER (PARTITION BY label) AS total FROM (SELECT label, d, sum(n) AS n FROM pairs GROUP BY ALL)),
+lim AS (SELECT label, min(CASE WHEN cum >= total * 0.98 THEN b END) AS lo, min(CASE WHEN cum >= total * 0.999 THEN b END) AS hi, min(CASE WHEN cum * 2 >= total THEN b END) AS mb FROM cb GROUP BY label),
+md AS (SELECT label, min(CASE WHEN cum * 2 >= total THEN d END) AS md FROM cd GROUP BY label),
+pts AS (SELECT label, b, d, n, mb, md FROM pairs JOIN lim USING (label) JOIN md USING (label) WHERE b > lo AND b < hi),
+sc AS (SELECT label, step, sum(CASE WHEN abs(d - md - (b - mb) * round(pow(2.0, -step / 100.0), 12)) < 50 THEN n ELSE 0 END) AS score FROM pts, (SELECT unnest(range(0, 601)) AS step) g GROUP BY ALL)
+SELECT label, step / 100.0 AS ev, CAST(score AS BIGINT) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, step) AS k FROM sc) WHERE k = 1"""
+
+
+@query("a16_j12_slope_scan", f"WITH {PX}, {_A16}")
 def a16(spark, sf):
-    """For a grid of slopes count the points that fit, keep the first best. The grid has 31 rows, whatever the data."""
-    p = T.px(spark, sf)
-    pairs = p.where("y % 4 < 2").select("frame", "x", (F.col("y") + 2).alias("y"), F.col("val").alias("a")).join(p, ["frame", "y", "x"])
-    grid = F.broadcast(spark.range(31).select(F.col("id").alias("step")))
-    fit = F.abs(F.col("val") - 2048 - (F.col("a") - 2048) * F.pow(F.lit(2.0), -F.col("step") / 10.0)) < 50
-    scores = pairs.crossJoin(grid).groupBy("frame", "step").agg(F.count_if(fit).alias("score"))
-    best = scores.groupBy("frame").agg(F.max(F.struct("score", (-F.col("step")).alias("s"))).alias("m"))
-    return best.select("frame", (-F.col("m.s") / 10.0).alias("ev"), F.col("m.score").alias("score"))
+    """For slopes from 0 to 6 in steps of 0.01 count the pairs of the brightest rows' percentile window that fit, keep the first best.
+
+    Pairs are made within a frame's row and counted by value before anything is compared, so a
+    clip's work is bounded by its distinct pairs in the window, whatever its number of frames.
+    """
+    f = T.frames(spark, sf, "label")
+    w = F.col("w")
+    pair = lambda v, i: F.struct(F.floor(i / w).alias("y"), v.alias("b"), F.get("data", i + w * 2).alias("d"))
+    p = f.select("label", F.explode(F.transform("data", pair)).alias("p")).select("label", "p.*").where("y % 4 < 2 and b < 15000 and d is not null")
+    return A.slope_scan(p.groupBy("label", "b", "d").agg(F.count(F.lit(1)).alias("n")), "label", residual=50)
 
 
 _ratio = "CAST(floor(32768 + 32768 * round(log2(CAST(a AS DOUBLE) / b), 9)) AS BIGINT)"
@@ -174,14 +180,18 @@ def a17(spark, sf):
     return m.select("c", F.col("median").alias("bin"), X.trunc(F.pow(F.lit(2.0), (F.col("median") - 32768) / 32768.0) * 65536).alias("coef"))
 
 
-@query("a18_column_noise", with_px("SELECT p.frame, p.y, p.x, least(greatest(val + o.off - g.mid, 0), 32760) AS val FROM px p JOIN (SELECT frame, x, -quantile_disc(d, 0.5) AS off FROM (SELECT frame, x, val - CAST(floor(avg(val) OVER (PARTITION BY frame, y)) AS BIGINT) AS d FROM px) GROUP BY ALL) o USING (frame, x) JOIN (SELECT frame, quantile_disc(off, 0.5) AS mid FROM (SELECT frame, x, -quantile_disc(d, 0.5) AS off FROM (SELECT frame, x, val - CAST(floor(avg(val) OVER (PARTITION BY frame, y)) AS BIGINT) AS d FROM px) GROUP BY ALL) GROUP BY frame) g USING (frame)"))
+#: Of a frame list a: its row means, gradient mask, noise by place, offsets (0 below the least count of samples) and their lower median.
+_A18 = with_dense("""SELECT frame, (p - 1) // 8 AS y, (p - 1) % 8 AS x, greatest(0, least(32760, least(greatest(a[p] + offs[(p - 1) % 8 + 1], -32767), 32767) - list_sort(offs)[4])) AS val
+FROM (SELECT frame, a, list_transform(range(0, 8), lambda x: CASE WHEN len(cols[x + 1]) < 4 THEN 0 ELSE -list_sort(cols[x + 1])[(len(cols[x + 1]) + 1) // 2] END) AS offs
+  FROM (SELECT frame, a, list_transform(range(0, 8), lambda x: list_transform(
+      list_filter(range(0, 8), lambda y: abs(a[y * 8 + greatest(x - 1, 0) + 1] - a[y * 8 + least(x + 1, 7) + 1]) <= 5000 AND a[y * 8 + x + 1] < 15000),
+      lambda y: a[y * 8 + x + 1] - CAST(list_sum(a[y * 8 + 1 : y * 8 + 8]) AS BIGINT) // 8)) AS cols FROM d)), (SELECT unnest(range(1, 65)) AS p) r""")
+
+
+@query("a18_column_noise", _A18)
 def a18(spark, sf):
-    """Each column's offset is the negative median of its noise, less the frame's median offset."""
-    p = T.px(spark, sf).repartition("frame")  # one exchange; the windows and groupings below reuse it
-    noise = p.withColumn("d", F.col("val") - F.floor(F.avg("val").over(Window.partitionBy("frame", "y"))))
-    offsets = noise.groupBy("frame", "x").agg((-A.lower_median("d")).alias("off"))
-    mid = offsets.groupBy("frame").agg(A.lower_median("off").alias("mid"))
-    return p.join(offsets, ["frame", "x"]).join(mid, "frame").select("frame", "y", "x", X.clamp(F.col("val") + F.col("off") - F.col("mid"), 0, 32760).alias("val"))
+    """Column offsets from the noise at unmasked places, all within the frame's row (at least 4 of 8 samples here; 10 in a whole frame)."""
+    return T.to_long(A.column_noise(T.frames(spark, sf), gradient=5000, white=15000, least=4))
 
 
 @query("a19_highest_green_peak", with_rgb("SELECT max(bin) AS peak FROM (SELECT bin, n, lag(n, 1, 0) OVER (ORDER BY bin) AS before, lead(n, 1, 0) OVER (ORDER BY bin) AS after FROM (SELECT k.bin, count(g) AS n FROM (SELECT unnest(range(0, 256)) AS bin) k LEFT JOIN rgb ON (g >> 8) = k.bin GROUP BY ALL)) WHERE n > before AND n >= after AND n > 3"))
@@ -200,10 +210,11 @@ def a20(spark, sf):
     return g.agg(X.idiv(F.sum("val"), 16).alias("val"))
 
 
-@query("a23_neighbourhood_mean", with_rgb(f"SELECT frame, {r6('avg(r)')} AS r, {r6('avg(g)')} AS g, {r6('avg(b)')} AS b FROM rgb WHERE y BETWEEN 1 - 1 AND 1 + 1 AND x BETWEEN 2 - 1 AND 2 + 1 GROUP BY frame"))
+@query("a23_neighbourhood_mean", with_rgb(f"SELECT frame, py, px, {', '.join(f'{r6(f'avg({c})')} AS {c}' for c in 'rgb')} FROM rgb, (VALUES (1, 2), (0, 0), (3, 3)) q(py, px) WHERE abs(y - py) <= 10 AND abs(x - px) <= 10 GROUP BY frame, py, px"))
 def a23(spark, sf):
-    d = T.rgb(spark, sf).where(F.col("y").between(0, 2) & F.col("x").between(1, 3)).groupBy("frame")
-    return d.agg(*[F.round(F.avg(c), 6).alias(c) for c in "rgb"])
+    """Mean of the 21 x 21 square around picked points, clipped at the frame's edges (which these small frames are)."""
+    points = [(1, 2), (0, 0), (3, 3)]
+    return A.neighbourhood_mean(T.rgb(spark, sf), points, radius=10)
 
 
 _wr, _wb = "(sr * (1.0 + t / 20.0))", "(sb * (3.0 - t / 20.0) + i / 10.0 * 100)"

@@ -70,7 +70,7 @@ def t2(spark, sf):
     return T.index(spark, sf).select("frame", (f % 41 + 10).alias("shown"), F.least(f + 10, F.lit(50)).alias("held"))
 
 
-@query("t4_first_frame_state", with_px("SELECT p.frame, p.y, p.x, p.val - s.val AS val FROM px p JOIN (SELECT e.vec_id AS frame, min(f.vec_id) AS first FROM embeddings e JOIN embeddings f ON f.label = e.label GROUP BY 1) c USING (frame) JOIN px s ON s.frame = c.first AND s.y = p.y AND s.x = p.x"))
+@query("t4_first_frame_state", with_px("SELECT frame, y, x, val - first_value(val) OVER (PARTITION BY label, y, x ORDER BY frame) AS val FROM px JOIN embeddings ON vec_id = frame"))
 def t4(spark, sf):
     """Coefficients of a clip's first frame, used for all its frames. The first frame is an aggregate per clip."""
     f = T.frames(spark, sf, "label")
