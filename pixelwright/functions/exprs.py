@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -278,3 +278,49 @@ def timecode(frame: Column, fps: Column) -> Column:
 def bcd(v: Column) -> Column:
     """Two decimal digits in one byte."""
     return F.call_function("shiftleft", idiv(v, 10), F.lit(4)).bitwiseOR(F.pmod(v, F.lit(10)))
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once: the planner copies an expression into each place that names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def knot_curve(u: Column, knots: Sequence[tuple[float, float]]) -> Column:
+    """A curve through few knots, straight between them, level beyond the ends."""
+
+    def curve(u: Column) -> Column:
+        out = F.lit(float(knots[-1][1]))
+        for (x0, y0), (x1, y1) in reversed(list(zip(knots, knots[1:]))):
+            out = F.when(u < x1, F.lit(float(y0)) + (u - float(x0)) * ((float(y1) - float(y0)) / (float(x1) - float(x0)))).otherwise(out)
+        return F.when(u < knots[0][0], F.lit(float(knots[0][1]))).otherwise(out)
+
+    return bound(u, curve)
+
+
+def hue_curves(h: Column, s: Column, v: Column, hue_luma, hue_sat, hue_hue, luma_sat) -> Column:
+    """HSV (hue in degrees, the others 0 to 1) under four curves of -1 to 1, as a struct; hue is read in steps of 0.01, luma in steps of 1/36000."""
+
+    def by_hue(c: Column) -> Column:
+        at_hue = F.floor(F.round(c["h"] * 100, 6)) / 100.0
+        return F.struct(
+            F.pmod(c["h"] + 60.0 * knot_curve(at_hue, hue_hue) + 360.0, F.lit(360.0)).alias("h"),
+            (c["s"] * (1.0 + 2.0 * knot_curve(at_hue, hue_sat))).alias("s"), (c["v"] * (1.0 + 2.0 * knot_curve(at_hue, hue_luma) * c["s"])).alias("v"),
+        )
+
+    def by_luma(c: Column) -> Column:
+        return F.struct(c["h"].alias("h"), (c["s"] * (1.0 + 2.0 * knot_curve(F.floor(F.round(c["v"] * 36000, 6)) / 36000.0, luma_sat))).alias("s"), c["v"].alias("v"))
+
+    return bound(bound(F.struct(h.alias("h"), s.alias("s"), v.alias("v")), by_hue), by_luma)
+
+
+def gradation(rgb: Sequence[Column], luma_curve, curves) -> list[Column]:
+    """The common curve on all channels, then each channel's own; values 0 to 65535."""
+    step = lambda c, knots: clamp16(trunc(F.round(knot_curve(c / 65535.0, knots) * 65535.0, 6)))
+    return [step(step(c, luma_curve), own) for c, own in zip(rgb, curves)]
+
+
+def pseudo_inverse(rows: Sequence[Sequence[float]]) -> list[list[float]]:
+    """n x 3 pseudo-inverse of an n x 3 matrix of full rank, by its normal equations; out[i][j] as the transposed inverse."""
+    square = [sum(r[i] * r[j] for r in rows) for i in range(3) for j in range(3)]
+    inverse = invert(square)
+    return [[sum(inverse[3 * j + k] * r[k] for k in range(3)) for j in range(3)] for r in rows]

@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import clamp16, idiv, trunc
-from .stencil import once
+from ..functions.exprs import bound, clamp16, idiv, trunc
 
 
 def histogram(px: DataFrame, *keys: str, bin_: Column, white: int | None = None) -> DataFrame:
@@ -71,8 +70,8 @@ def deflicker(df: DataFrame, target: float) -> DataFrame:
         made = F.transform(m["v"], lambda x: clamp16(trunc(x * m["gain"])))
         return F.struct(m["median"].alias("median"), (F.round(F.log2(m["gain"]), 6) + 0.0).alias("correction"), made.alias("data"))
 
-    bound = once(once(once(F.col("data"), with_median), with_gain), lit_up)
-    return df.select("frame", "h", "w", bound.alias("m")).select("frame", "h", "w", "m.*")
+    made = bound(bound(bound(F.col("data"), with_median), with_gain), lit_up)
+    return df.select("frame", "h", "w", made.alias("m")).select("frame", "h", "w", "m.*")
 
 
 def column_noise(df: DataFrame, gradient: int, white: int, least: int = 10) -> DataFrame:
@@ -95,7 +94,7 @@ def column_noise(df: DataFrame, gradient: int, white: int, least: int = 10) -> D
             at = lambda y, xx: F.get(v, (y * w + xx).cast("int"))
             clear = lambda y: (F.abs(at(y, F.greatest(x - 1, F.lit(0))) - at(y, F.least(x + 1, w - 1))) <= gradient) & (at(y, x) < white)
             noise = F.transform(F.filter(F.sequence(F.lit(0), h - 1), clear), lambda y: at(y, x) - F.get(s["mean"], y))
-            return once(noise, lambda values: F.when(F.size(values) < least, F.lit(0).cast("long")).otherwise(-lower(values)))
+            return bound(noise, lambda values: F.when(F.size(values) < least, F.lit(0).cast("long")).otherwise(-lower(values)))
 
         return F.struct(v.alias("v"), F.transform(F.sequence(F.lit(0), w - 1), offset).alias("off"))
 
@@ -106,7 +105,7 @@ def column_noise(df: DataFrame, gradient: int, white: int, least: int = 10) -> D
         moved = lambda v, i: F.least(F.greatest(v + F.get(s["off"], (i % w).cast("int")), F.lit(-32767)), F.lit(32767)) - s["mid"]
         return F.transform(s["v"], lambda v, i: F.greatest(F.lit(0), F.least(F.lit(32760), moved(v, i))))
 
-    return df.withColumn("data", once(once(once(once(F.col("data"), with_noise), with_offsets), with_middle), applied))
+    return df.withColumn("data", bound(bound(bound(bound(F.col("data"), with_noise), with_offsets), with_middle), applied))
 
 
 def _at_share(counts: DataFrame, key: str, value: str, shares: dict[str, float]) -> DataFrame:
@@ -139,8 +138,40 @@ def neighbourhood_mean(rgb: DataFrame, points: Sequence[tuple[int, int]], radius
 
 
 def export_progress(done: DataFrame, key: str, order: str, seconds: str) -> DataFrame:
-    """Per exported frame of a queue: how many are done and to do, and the time that the rest takes at the mean pace so far."""
+    """Per exported frame of a queue: frames done and to do, seconds gone, and the estimated rest at the mean pace so far."""
     w = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(key)
-    d = done.withColumn("done", F.count(F.lit(1)).over(w)).withColumn("to_do", F.count(F.lit(1)).over(whole) - F.col("done")).withColumn("spent", F.sum(seconds).over(w))
-    return d.withColumn("eta_s", F.ceil(F.round(F.col("spent") / F.col("done") * F.col("to_do"), 6)).cast("long"))
+    d = done.withColumn("done", F.count(F.lit(1)).over(w)).withColumn("total", F.count(F.lit(1)).over(Window.partitionBy(key))).withColumn("gone", F.sum(seconds).over(w))
+    rest = idiv(F.col("total") * F.col("gone"), F.col("done")) - F.col("gone")
+    clock = F.format_string("ETA: %02dh%02dm%02ds", idiv(rest, 3600), idiv(rest, 60) % 60, rest % 60)
+    return d.select(key, order, "done", (F.col("total") - F.col("done")).alias("to_do"), "gone", rest.alias("rest"), clock.alias("eta"))
+
+
+def stripe_gains(df: DataFrame, black: int, white: int, least_weight: int = 0, period: int = 8) -> DataFrame:
+    """Gain of each column of a period of eight relative to the next period's first: weighted medians of log ratios.
+
+    Green samples only (RGGB): odd columns come from the even row, even ones from the row below. A
+    column is interpolated linearly to the place of the first column of the next period, so that
+    smooth gradients cancel out. Ratios are counted in bins before any shuffle: a frame sends
+    at most 65,536 bins a column. Columns: c, bin, coef, needed (off by over 0.002).
+    """
+    w = F.col("w")
+
+    def ratios(data: Column) -> Column:
+        blocks = F.sequence(F.lit(0), (F.floor(F.col("h") / 2) * (F.floor(w / period) - 1) - 1).cast("int"))
+
+        def block(q: Column) -> Column:
+            per_row = F.floor(w / period) - 1
+            top, left = F.floor(q / per_row) * 2, (q % per_row) * period
+            cell = lambda row, column: F.get(data, ((top + row) * w + left + column).cast("int")) - black
+            target = cell(1, period)
+            other = lambda k: idiv(cell(1 - k % 2, k) * k + cell(1 - k % 2, period + k) * (period - k), period)
+            return F.array(*[F.struct(F.lit(k).cast("long").alias("c"), target.alias("a"), other(k).alias("b")) for k in range(1, period)])
+
+        return F.flatten(F.transform(blocks, block))
+
+    d = df.select(F.explode(bound(F.col("data"), ratios)).alias("p")).select("p.*").where((F.least("a", "b") >= 32) & (F.greatest("a", "b") <= (white - black) / 1.1))
+    bin_ = F.floor(F.lit(32768) + 32768 * F.round(F.log2(F.col("a").cast("double") / F.col("b")), 9))
+    h = d.groupBy("c", F.least(F.greatest(bin_, F.lit(0)), F.lit(65535)).alias("bin")).agg(F.sum(trunc(F.log2(F.col("a").cast("double")))).alias("n"))
+    m = weighted_median(cumulative(h, "c").where(F.col("total") >= least_weight).select("c", "bin", "n"), "c")
+    coef = trunc(F.round(F.pow(F.lit(2.0), (F.col("median") - 32768) / 32768.0) * 65536, 6))
+    return m.select("c", F.col("median").alias("bin"), coef.alias("coef"), (F.abs(coef / 65536.0 - 1) > 0.002).alias("needed"))

@@ -11,16 +11,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.exprs import bound as once
 from ..functions.exprs import clamp16, idiv, trunc
 
 At = Callable[[int, int], Column]
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """use(value) with the value computed once: the planner copies an expression into each place that names it."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def apply(df: DataFrame, rule: Callable[[At, Column, Column], Column], edge: str = "replicate", column: str = "data") -> DataFrame:
     """New value of each pixel by rule(at, y, x); at(dy, dx) reads a neighbour under the edge policy."""
     h, w = F.col("h"), F.col("w")

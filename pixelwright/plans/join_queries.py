@@ -214,19 +214,6 @@ def p22c(spark, sf):
     return T.rgb(spark, sf).select("frame", "y", "x", (F.round(v, 6) + 0.0).alias("v"))
 
 
-_curve_idx = "(SELECT unnest(range(0, 17)) AS k)"
-
-
-@query("p21_gradation_curve", with_rgb("SELECT frame, y, x, " + ", ".join(f"CAST(floor((65535 * pow(({c} // 4096) / 16.0, 1.2))) AS BIGINT) AS {c}" for c in "rgb") + " FROM rgb"))
-def p21(spark, sf):
-    """Curve lookup: a 17-entry curve broadcast and joined on the value's step."""
-    curve = F.broadcast(spark.createDataFrame([(k, int(65535 * (k / 16.0) ** 1.2)) for k in range(17)], "k long, v long"))
-    d = T.rgb(spark, sf)
-    for c in "rgb":
-        d = d.join(curve.select(F.col("k").alias(f"k_{c}"), F.col("v").alias(f"v_{c}")), X.idiv(F.col(c), 4096) == F.col(f"k_{c}"))
-    return d.select("frame", "y", "x", *[F.col(f"v_{c}").alias(c) for c in "rgb"])
-
-
 @query("sc16_pixel_map_edit", "SELECT y, x FROM (SELECT (p_partkey * 7) % 600 AS y, (p_partkey * 11) % 900 AS x FROM part) GROUP BY ALL HAVING (y, x) NOT IN (SELECT (s_suppkey * 7) % 600, (s_suppkey * 11) % 900 FROM supplier)")
 def sc16(spark, sf):
     """Add pixels to a map, remove others."""

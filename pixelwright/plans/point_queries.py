@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions import exprs as X
 from ..functions import lang
-from .common import clamp, r6, trunc, with_px, with_rgb
+from .common import RGB, clamp, r6, trunc, with_px, with_rgb
 from .registry import query
 
 def V():
@@ -244,12 +244,39 @@ def p18(spark, sf):
     return T.rgb(spark, sf).select("frame", "y", "x", *[(F.round(c, 6) + 0.0).alias(n) for c, n in ((h, "h"), (s, "s"), (v, "v"), (sl, "sl"), (li, "l"))], *[F.round(c * 65535.0).cast("long").alias(f"{n}_back") for c, n in zip(back, "rgb")])
 
 
-@query("p19_hue_curves", with_rgb(f"SELECT frame, y, x, {r6(f'({_h} + 60.0 * (0.2 * sin({_h} * 3.141592653589793 / 180.0)) + 360.0) % 360.0')} AS h, {r6(f'{_hs} * (1.0 + 2.0 * (0.1 * cos({_h} * 3.141592653589793 / 180.0)))')} AS s FROM rgb"))
+#: Knots of the four hue curves and of the gradation curves of these queries.
+HUE_LUMA, HUE_SAT = [(0, 0.1), (120, -0.2), (240, 0.3), (360, 0.1)], [(0, 0.0), (90, 0.25), (200, -0.25), (360, 0.0)]
+HUE_HUE, LUMA_SAT = [(0, -0.1), (180, 0.4), (360, -0.1)], [(0, -0.3), (0.4, 0.1), (1, 0.2)]
+GRADATION = [(0, 0), (0.25, 0.2), (0.7, 0.8), (1, 1)]
+CHANNELS = [[(0, 0), (0.5, 0.55), (1, 1)], [(0, 0.02), (1, 0.98)], [(0, 0), (0.3, 0.25), (1, 0.95)]]
+
+
+def _knots_sql(u: str, knots) -> str:
+    d = lambda v: f"CAST({float(v)!r} AS DOUBLE)"
+    steps = " ".join(f"WHEN {u} < {d(x1)} THEN {d(y0)} + ({u} - {d(x0)}) * {d((float(y1) - float(y0)) / (float(x1) - float(x0)))}" for (x0, y0), (x1, y1) in zip(knots, knots[1:]))
+    return f"(CASE WHEN {u} < {d(knots[0][0])} THEN {d(knots[0][1])} {steps} ELSE {d(knots[-1][1])} END)"
+
+
+_HUES = f"""hs AS (SELECT frame, y, x, {_h} AS h, {_hs} AS s, greatest(r, g, b) / CAST(65535 AS DOUBLE) AS v FROM rgb),
+h1 AS (SELECT *, floor(round(h * 100, 6)) / CAST(100 AS DOUBLE) AS u FROM hs),
+h2 AS (SELECT *, s * (1.0 + 2.0 * {_knots_sql('u', HUE_SAT)}) AS s1, v * (1.0 + 2.0 * {_knots_sql('u', HUE_LUMA)} * s) AS v1, (h + 60.0 * {_knots_sql('u', HUE_HUE)} + 360.0) % 360.0 AS hh FROM h1)
+SELECT frame, y, x, {r6('hh')} AS h, {r6(f"s1 * (1.0 + 2.0 * {_knots_sql('(floor(round(v1 * 36000, 6)) / CAST(36000 AS DOUBLE))', LUMA_SAT)})")} AS s, {r6('v1')} AS v FROM h2"""
+
+
+@query("p19_hue_curves", f"WITH {RGB}, {_HUES}")
 def p19(spark, sf):
-    """Hue-against-hue and hue-against-saturation curves as expressions of the hue."""
-    h, s, _ = X.hsv(*UNIT())
-    a = h * 3.141592653589793 / 180.0
-    return T.rgb(spark, sf).select("frame", "y", "x", (F.round(F.pmod(h + 60.0 * (0.2 * F.sin(a)), F.lit(360.0)), 6) + 0.0).alias("h"), (F.round(s * (1.0 + 2.0 * (0.1 * F.cos(a))), 6) + 0.0).alias("s"))
+    """All four curves: hue against luma, saturation and hue, and luma against saturation."""
+    out = T.rgb(spark, sf).select("frame", "y", "x", X.hue_curves(*X.hsv(*UNIT()), HUE_LUMA, HUE_SAT, HUE_HUE, LUMA_SAT).alias("o"))
+    return out.select("frame", "y", "x", *[(F.round(F.col(f"o.{n}"), 6) + 0.0).alias(n) for n in "hsv"])
+
+
+_step = lambda c, knots: clamp(trunc(f"round({_knots_sql(f'({c} / CAST(65535 AS DOUBLE))', knots)} * CAST(65535 AS DOUBLE), 6)"))
+
+
+@query("p21_gradation_curves", f"WITH {RGB}, l AS (SELECT frame, y, x, {', '.join(f'{_step(c, GRADATION)} AS {c}' for c in 'rgb')} FROM rgb) SELECT frame, y, x, {', '.join(f'{_step(c, k)} AS {c}' for c, k in zip('rgb', CHANNELS))} FROM l")
+def p21(spark, sf):
+    """The common curve, then each channel's own, straight between knots: one projection."""
+    return _rgb(spark, sf, X.gradation((R(), G(), B()), GRADATION, CHANNELS))
 
 
 @query("p20_toning", with_rgb(_rgbq(*[clamp(trunc(f"{c} * CAST({(100 - 30 / 3) / 100!r} AS DOUBLE) + {c} * CAST({30 / 3 / 100 * t / 255!r} AS DOUBLE)")) for c, t in zip("rgb", (255, 180, 90))])))

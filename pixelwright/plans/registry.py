@@ -27,7 +27,7 @@ def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from . import join_queries, point_queries, relational_queries, stats_queries, stencil_queries, timeline_queries  # noqa: F401
+    from . import join_queries, point_queries, relational_queries, repair_queries, source_queries, stats_queries, stencil_queries, timeline_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

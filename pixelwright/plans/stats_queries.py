@@ -9,7 +9,7 @@ from .. import tables as T
 from ..functions import exprs as X
 from ..operators import stats as A
 from ..operators import stencil as S
-from .common import PX, RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
+from .common import DENSE, PX, RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
 from .registry import query
 
 _b, _w = 2048 << 2, int((15000 << 2) * 0.993)
@@ -159,25 +159,26 @@ def a16(spark, sf):
     return A.slope_scan(p.groupBy("label", "b", "d").agg(F.count(F.lit(1)).alias("n")), "label", residual=50)
 
 
-_ratio = "CAST(floor(32768 + 32768 * round(log2(CAST(a AS DOUBLE) / b), 9)) AS BIGINT)"
+#: Frames of a label side by side, 8 x 24 pixels, as rows of a wider frame: tile t, samples by place.
+_A17 = """tall AS (SELECT label, list(a ORDER BY vec_id) AS fs FROM d JOIN embeddings ON vec_id = frame GROUP BY label),
+tiles AS (SELECT unnest(range(0, len(fs) // 3)) AS t, fs FROM tall),
+cells AS (SELECT q AS row, k, fs[3 * t + 1] AS f0, fs[3 * t + 2] AS f1, fs[3 * t + 3] AS f2, b FROM tiles, (SELECT unnest(range(0, 4)) AS q) r, (SELECT unnest(range(1, 8)) AS k) c, (SELECT unnest([0, 1]) AS b) bb),
+two AS (SELECT k, row, CASE WHEN b = 0 THEN f0 ELSE f1 END AS l, CASE WHEN b = 0 THEN f1 ELSE f2 END AS n FROM cells),
+ab AS (SELECT k, n[(2 * row + 1) * 8 + 1] - 2048 AS a, ((l[(2 * row + 1 - k % 2) * 8 + k + 1] - 2048) * k + (n[(2 * row + 1 - k % 2) * 8 + k + 1] - 2048) * (8 - k)) // 8 AS b FROM two),
+bins AS (SELECT k AS c, least(greatest(CAST(floor(32768 + 32768 * round(log2(CAST(a AS DOUBLE) / b), 9)) AS BIGINT), 0), 65535) AS bin, CAST(trunc(log2(CAST(a AS DOUBLE))) AS BIGINT) AS w FROM ab WHERE least(a, b) >= 32 AND greatest(a, b) <= (15000 - 2048) / 1.1::DOUBLE),
+cum AS (SELECT c, bin, sum(w) OVER (PARTITION BY c ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY c) AS total FROM (SELECT c, bin, sum(w) AS w FROM bins GROUP BY ALL)),
+med AS (SELECT c, min(bin) AS bin FROM cum WHERE cum * 2 >= total GROUP BY c)
+SELECT c, bin, CAST(trunc(round(pow(2.0, (bin - 32768) / 32768.0::DOUBLE) * 65536, 6)) AS BIGINT) AS coef, abs(CAST(trunc(round(pow(2.0, (bin - 32768) / 32768.0::DOUBLE) * 65536, 6)) AS BIGINT) / 65536.0::DOUBLE - 1) > 0.002 AS needed FROM med"""
 
 
-@query("a17_stripe_gain", with_px(f"SELECT c, min(bin) AS bin, {trunc('pow(2.0, (min(bin) - 32768) / 32768.0) * 65536')} AS coef FROM (SELECT c, bin, sum(w) OVER (PARTITION BY c ORDER BY bin) AS cum, sum(w) OVER (PARTITION BY c) AS total FROM (SELECT c, bin, CAST(sum(wt) AS BIGINT) AS w FROM (SELECT p.x AS c, {_ratio.replace('a AS', 'p.val - 1000 AS').replace('/ b', '/ (q.val - 1000)')} AS bin, {trunc('log2(CAST(p.val - 1000 AS DOUBLE))')} AS wt FROM px p JOIN px q ON q.frame = p.frame AND q.y = p.y AND q.x = CASE WHEN p.x = 0 THEN 2 ELSE p.x - 1 END WHERE p.val - 1000 >= 32 AND q.val - 1000 >= 32 AND greatest(p.val, q.val) < 14500) GROUP BY ALL)) WHERE cum * 2 >= total GROUP BY c"))
+@query("a17_stripe_gain", f"WITH {DENSE}, {_A17}")
 def a17(spark, sf):
-    """Column gains as weighted medians of log ratios to a neighbour; ratios are made within a frame's row."""
-    f = T.frames(spark, sf)
-    w = F.col("w")
-
-    def pair(v, i):
-        x = i % w
-        other = F.get("data", F.when(x == 0, i + 2).otherwise(i - 1))
-        return F.struct(x.cast("long").alias("c"), (v - 1000).alias("a"), (other - 1000).alias("b"))
-
-    d = f.select(F.explode(F.transform("data", pair)).alias("p")).select("p.*").where("a >= 32 and b >= 32 and greatest(a, b) < 13500")
-    bin_ = F.floor(F.lit(32768) + 32768 * F.round(F.log2(F.col("a").cast("double") / F.col("b")), 9))
-    h = d.groupBy("c", bin_.alias("bin")).agg(F.sum(X.trunc(F.log2(F.col("a").cast("double")))).alias("n"))
-    m = A.weighted_median(h, "c")
-    return m.select("c", F.col("median").alias("bin"), X.trunc(F.pow(F.lit(2.0), (F.col("median") - 32768) / 32768.0) * 65536).alias("coef"))
+    """Seven column gains by weighted medians of log ratios; three frames of a label side by side make one of 8 x 24 pixels."""
+    f = T.frames(spark, sf, "label")
+    numbered = f.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("frame")) - 1).withColumn("t", X.idiv(F.col("k"), 3))
+    g = numbered.groupBy("label", "t").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "data"))), lambda s: s["data"]).alias("fs")).where(F.size("fs") == 3)
+    wide = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda y: F.flatten(F.transform("fs", lambda a: F.slice(a, y * 8 + 1, 8)))))
+    return A.stripe_gains(g.select(F.lit(8).alias("h"), F.lit(24).alias("w"), wide.alias("data")), black=2048, white=15000)
 
 
 #: Of a frame list a: its row means, gradient mask, noise by place, offsets (0 below the least count of samples) and their lower median.
@@ -270,3 +271,9 @@ def sk2(spark, sf):
 def exposure(spark, sf):
     g = T.px(spark, sf).groupBy("frame").agg(A.lower_median("if(y % 4 < 2, val, null)").alias("mb"), A.lower_median("if(y % 4 >= 2, val, null)").alias("md"))
     return g.select("frame", F.round(F.col("md") - F.col("mb") * 0.25, 6).cast("double").alias("offset"), F.lit(1).cast("long").alias("pairs"))
+
+
+@query("a29_export_progress", with_index("SELECT clip, frame, done, total - done AS to_do, gone, total * gone // done - gone AS rest, printf('ETA: %02dh%02dm%02ds', (total * gone // done - gone) // 3600, (total * gone // done - gone) // 60 % 60, (total * gone // done - gone) % 60) AS eta FROM (SELECT clip, frame, count(*) OVER w AS done, count(*) OVER (PARTITION BY clip) AS total, CAST(sum(frame % 7 + 1) OVER w AS BIGINT) AS gone FROM idx WINDOW w AS (PARTITION BY clip ORDER BY frame ROWS UNBOUNDED PRECEDING))"))
+def a29(spark, sf):
+    """Progress of an export queue: one window per clip."""
+    return A.export_progress(T.index(spark, sf).select("clip", "frame", (F.col("frame") % 7 + 1).alias("s")), "clip", "frame", "s")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import exprs as X
-from ..operators import hdr, kernels, repair
+from ..operators import kernels, repair
 from ..operators import stencil as S
 from .common import DENSE, at, at_zero, clamp, trunc, with_dense, with_px, with_rgb
 from .registry import query
@@ -136,25 +136,6 @@ def w7m(spark, sf):
     return T.to_long(repair.same_color_median(T.frames(spark, sf), lambda y, x: (x * 7 + y * 3) % 11 == 0))
 
 
-_e = lambda e: f"(log2(CAST(greatest(1, {e} - 2048) AS DOUBLE)))"
-
-
-@query("w17_dual_exposure_interpolation", with_dense(f"SELECT frame, y, x, CASE WHEN y % 4 < 2 THEN val ELSE {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} END AS bright, CASE WHEN y % 4 < 2 THEN {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} ELSE val END AS dark FROM pd"))
-def w17(spark, sf):
-    return hdr.interpolate_rows(T.frames(spark, sf), black=2048)
-
-
-_br = f"(CASE WHEN y % 4 < 2 THEN val ELSE {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} END)"
-_dk = f"(CASE WHEN y % 4 < 2 THEN {trunc(f'2048.0 + round(pow(2.0, ({_e(at(-2, 0))} + {_e(at(2, 0))}) / 2.0), 4)')} ELSE val END)"
-_k = f"(round((1.0 - cos(3.141592653589793 * least(greatest({_e(_br)} - 10.0, 0.0), 3.0) / 3.0)) / 2.0, 9))"
-
-
-@query("w20_w21_exposure_blend", with_dense(f"SELECT frame, y, x, round({_k}, 6) + 0.0 AS k, {trunc(f'2048.0 + round(pow(2.0, {_e(_br)} * (1.0 - {_k}) + {_e(_dk)} * {_k}), 4)')} AS val FROM pd"))
-def w20(spark, sf):
-    """Rows interpolated for both exposures, then mixed in EV by a cosine curve of the bright one."""
-    return hdr.blend(hdr.interpolate_rows(T.frames(spark, sf), black=2048), black=2048, start=10.0, overlap=3.0)
-
-
 @query("w22_temporal_mean", with_px("SELECT frame, clip, y, x, CAST(sum(val) OVER w AS BIGINT) // count(*) OVER w AS mean3, (val + coalesce(lag(val) OVER v, val)) // 2 AS blend FROM (SELECT px.*, label AS clip FROM px JOIN embeddings ON vec_id = frame) WINDOW w AS (PARTITION BY clip, y, x ORDER BY frame ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), v AS (PARTITION BY clip, y, x ORDER BY frame)"))
 def w22(spark, sf):
     """Mean of three frames and blend of two of a clip.
