@@ -4,7 +4,7 @@ A container is a sequence of little-endian blocks: tag (4 bytes), size of the wh
 time in microseconds (u64), then the payload. Three ways in:
 
 * ``blocks(spark, path)`` reads through Spark's binaryFile source, so any store that Spark can
-  open will do; one row per file is parsed by an Arrow kernel.
+  open will do; one row per file is parsed by an Arrow kernel (``parse_files``).
 * ``spark.read.format("tagged_blocks")`` is a Python data source for files on a mounted file
   system: it seeks from header to header, so a header-only scan never reads payloads.
 * ``frame_index(blocks)`` orders frames by time; ``save_index``/``load_index`` keep it as Parquet.
@@ -18,7 +18,7 @@ import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -63,6 +63,11 @@ def block(tag: str, ts: int, payload: bytes) -> bytes:
 def blocks(spark: SparkSession, path: str, max_frames: int | None = None, payload: bool = True) -> DataFrame:
     """All blocks of all files under a path (spanned chunks by their names)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.lower("path").rlike(r"\.(mlv|m\d\d)$"))
+    return parse_files(files, max_frames, payload)
+
+
+def parse_files(files: DataFrame, max_frames: int | None = None, payload: bool = True) -> DataFrame:
+    """All blocks of files given as rows (path, content); with ``max_frames`` up to so many video frames of each."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,6 +87,23 @@ def blocks(spark: SparkSession, path: str, max_frames: int | None = None, payloa
     return files.select("path", "content").mapInArrow(parse, BLOCK_SCHEMA)
 
 
+def little_endian(value: Column, size: int) -> Column:
+    """A number as so many bytes, the lowest first."""
+    digits = F.lpad(F.hex(value.cast("long")), 2 * size, "0")
+    return F.unhex(F.concat(*[F.substring(digits, 2 * k + 1, 2) for k in reversed(range(size))]))
+
+
+def block_bytes(tag: Column, ts: Column, payload: Column) -> Column:
+    """A whole block: tag, size, time, payload (binary)."""
+    return F.concat(F.encode(tag, "utf-8"), little_endian(F.octet_length(payload) + 16, 4), little_endian(ts, 8), payload)
+
+
+def chunk_files(rows: DataFrame, path: str, *order: str) -> DataFrame:
+    """One row (path, content) per file from rows with that path, columns of order, and ``block`` (binary); a file is one value by its nature."""
+    held = rows.groupBy(F.col(path).alias("path")).agg(F.sort_array(F.collect_list(F.struct(*order, "block"))).alias("b"))
+    return held.select("path", F.expr("aggregate(b, X'', (acc, x) -> acc || x.block)").alias("content"))
+
+
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     schema = pa.schema([("clip", pa.string()), ("chunk", pa.int32()), ("offset", pa.int64()), ("type", pa.string()), ("size", pa.int64()), ("ts", pa.int64()), ("payload", pa.binary())])
     columns = list(zip(*rows)) if rows else [()] * 7

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 
 def pixel_map(spark: SparkSession, path: str) -> DataFrame:
-    """``x y`` per line, optional ``#FPM <hex id>`` line; the camera and frame size come from the file's name."""
+    """``x y`` per line, optional ``#FPM <hex id>`` line; the camera and frame size come from the name of the file, or of the folder that Spark wrote it as."""
     lines = spark.read.text(path).withColumn("path", F.input_file_name())
-    name = F.regexp_extract("path", r"([^/]+)\.[fb]pm$", 1)
+    name = F.regexp_extract("path", r"([^/]+)\.[fb]pm(?:/part-[^/]*)?$", 1)
     d = lines.select(
         F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)", 1).alias("x"), F.regexp_extract("value", r"^\s*(\d+)\s+(\d+)", 2).alias("y"),
         F.regexp_extract(name, r"^([0-9a-fA-F]+)_", 1).alias("camera"), F.regexp_extract(name, r"_(\d+)x", 1).cast("int").alias("width"), F.regexp_extract(name, r"x(\d+)$", 1).cast("int").alias("height"),
@@ -34,7 +34,7 @@ class CubeError(ValueError):
 
 def cube_lut(spark: SparkSession, path: str) -> dict:
     """A .cube file: title, dimension (1 or 3), size, domain, entries. At most 3 * 256^3 numbers, so it is read to the driver."""
-    lines = [r[0].strip() for r in spark.read.option("wholetext", "true").text(path).selectExpr("explode(split(value, '\\\\r?\\\\n')) AS l").collect()]
+    lines = [r[0].strip() for r in spark.read.text(path, wholetext=True).selectExpr("explode(split(value, '\\\\r?\\\\n')) AS l").collect()]
     out: dict = {"title": "", "dimension": 0, "size": 0, "domain": ([0.0] * 3, [1.0] * 3), "entries": []}
     for line in lines:
         word, _, rest = line.partition(" ")
@@ -90,7 +90,7 @@ def session(spark: SparkSession, path: str) -> DataFrame:
 
 def edit_list(spark: SparkSession, path: str) -> DataFrame:
     """Distinct clip names of an edit list with their first place, cut at ``.[`` and stripped of their ending."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     by_name = F.regexp_extract_all("value", F.lit(r'<(?:clip|asset-clip|clipitem)\b[^>]*\bname="([^"]*)"'), F.lit(1))
     names = text.select(F.posexplode(by_name).alias("pos", "name"))
     cut = F.regexp_replace(F.substring_index("name", ".[", 1), r"\.[^.]*$", "")

@@ -96,6 +96,11 @@ SCHEMA = "clip string, kind string, number long, offset long, ts long, meta stri
 def read(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Rows of kind clip (camera metadata), frame, audio and error, through Spark's binaryFile source."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.mcraw").load(path)
+    return parse_files(files, payload)
+
+
+def parse_files(files: DataFrame, payload: bool = True) -> DataFrame:
+    """The same of files given as rows (path, content)."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("clip", pa.string()), ("kind", pa.string()), ("number", pa.int64()), ("offset", pa.int64()), ("ts", pa.int64()), ("meta", pa.string()), ("payload", pa.binary())])
