@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
@@ -324,3 +325,50 @@ def pseudo_inverse(rows: Sequence[Sequence[float]]) -> list[list[float]]:
     square = [sum(r[i] * r[j] for r in rows) for i in range(3) for j in range(3)]
     inverse = invert(square)
     return [[sum(inverse[3 * j + k] * r[k] for k in range(3)) for j in range(3)] for r in rows]
+
+
+#: The cone response matrix of CIECAM02.
+CONES = [0.7328, 0.4296, -0.1624, -0.7036, 1.6975, 0.0061, 0.0030, 0.0136, 0.9834]
+
+
+def daylight_xyz(kelvin: float) -> list[float]:
+    """White point at Y = 1: the CIE daylight locus from 4000 K on, below it the cubic approximation of black bodies (Kim et al., 2002)."""
+    t = 1e3 / kelvin
+    if kelvin < 4000:
+        x = -0.2661239 * t**3 - 0.2343589 * t**2 + 0.8776956 * t + 0.179910
+        y = (-1.1063814 * x**3 - 1.34811020 * x**2 + 2.18555832 * x - 0.20219683) if kelvin < 2222 else (-0.9549476 * x**3 - 1.37418593 * x**2 + 2.09137015 * x - 0.16748867)
+    else:
+        x = (-4.6070 * t**3 + 2.9678 * t**2 + 0.09911 * t + 0.244063) if kelvin <= 7000 else (-2.0064 * t**3 + 1.9018 * t**2 + 0.24748 * t + 0.237040)
+        y = -3 * x * x + 2.87 * x - 0.275
+    return [x / y, 1.0, (1 - x - y) / y]
+
+
+def _times(m: Sequence[float], v: Sequence[float]) -> list[float]:
+    return [sum(m[3 * i + j] * v[j] for j in range(3)) for i in range(3)]
+
+
+def gains_at(kelvin: float, knots: Sequence[tuple[float, float, float, float]]) -> list[float]:
+    """Red, green and blue gains between two knots of temperature."""
+    k = min(max(kelvin, knots[0][0]), knots[-1][0])
+    for lo, hi in zip(knots, knots[1:]):
+        if k < hi[0]:
+            w = (hi[0] - k) / (hi[0] - lo[0])
+            return [lo[c] * w + hi[c] * (1 - w) for c in (1, 2, 3)]
+    return list(knots[-1][1:])
+
+
+def white_balance(kelvin: float, tint: float, knots, camera: Sequence[float], gamut: Sequence[float]) -> tuple[list[float], list[float]]:
+    """Gains of all channels (1 at least) and the 3x3 matrix that follows them.
+
+    The matrix undoes the untinted gains, goes from the camera's colours to XYZ, adapts the white of
+    the temperature to that of 6500 K in cone space, and ends in the gamut. ``camera`` is XYZ to camera,
+    ``gamut`` XYZ to RGB.
+    """
+    plain = gains_at(kelvin, knots)
+    shaped = math.copysign((abs(tint) / 10) ** 1.75 * 10, tint)
+    tinted_ = [plain[0] + shaped / 19.0, plain[1], plain[2] + shaped / 11.0]
+    least = min(tinted_)
+    undo = [0.0 if i != j else 1 / plain[i] for i in range(3) for j in range(3)]
+    target, source = (_times(CONES, daylight_xyz(k)) for k in (6500.0, kelvin))
+    adapt = [0.0 if i != j else target[i] / source[i] for i in range(3) for j in range(3)]
+    return [g / least for g in tinted_], compose(gamut, invert(CONES), adapt, CONES, invert(camera), undo)

@@ -53,12 +53,9 @@ def half_cosine(ev: Column, start: float, over: float) -> Column:
 
 
 def overlap(corr_ev: float, dark_range: float) -> float:
-    """EV over which both exposures are mixed; too little of it is an error."""
-    ov = dark_range - corr_ev
-    ov -= min(3.0, ov - 3.0)
-    if ov < 0.5:
-        raise ValueError("the exposures hardly overlap")
-    return ov
+    """EV over which both exposures are mixed: 3 less than they share, 3 at least."""
+    shared = dark_range - corr_ev
+    return shared - min(3.0, shared - 3.0)
 
 
 def mix(df: DataFrame, black: int, white: int, corr_ev: float, dark_range: float) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import exprs as X
+from ..operators import cube
 from ..operators import joins as J
-from .common import r6, trunc, with_dense, with_index, with_px, with_rgb
+from .common import RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
 from .registry import query
 
 
@@ -190,28 +193,56 @@ def p22(spark, sf):
     return T.rgb(spark, sf).select("frame", "y", "x", *[look(F.col(c)).alias(c) for c in "rgb"])
 
 
-_fr = {c: f"({_c(c)} - floor({_c(c)}))" for c in "rgb"}
-_corner = lambda a, b, d: f"((least(floor({_c('r')}) + {a}, 3) * 2 + least(floor({_c('g')}) + {b}, 3) * 3 + least(floor({_c('b')}) + {d}, 3) * 5 + least(floor({_c('r')}) + {a}, 3) * least(floor({_c('g')}) + {b}, 3)) / 39.0)"
-_x, _yy, _z = _fr["r"], _fr["g"], _fr["b"]
-_tet = (
-    f"CASE WHEN {_x} > {_yy} THEN CASE WHEN {_yy} > {_z} THEN (1 - {_x}) * {_corner(0,0,0)} + ({_x} - {_yy}) * {_corner(1,0,0)} + ({_yy} - {_z}) * {_corner(1,1,0)} + {_z} * {_corner(1,1,1)}"
-    f" WHEN {_x} > {_z} THEN (1 - {_x}) * {_corner(0,0,0)} + ({_x} - {_z}) * {_corner(1,0,0)} + ({_z} - {_yy}) * {_corner(1,0,1)} + {_yy} * {_corner(1,1,1)}"
-    f" ELSE (1 - {_z}) * {_corner(0,0,0)} + ({_z} - {_x}) * {_corner(0,0,1)} + ({_x} - {_yy}) * {_corner(1,0,1)} + {_yy} * {_corner(1,1,1)} END"
-    f" ELSE CASE WHEN {_z} > {_yy} THEN (1 - {_z}) * {_corner(0,0,0)} + ({_z} - {_yy}) * {_corner(0,0,1)} + ({_yy} - {_x}) * {_corner(0,1,1)} + {_x} * {_corner(1,1,1)}"
-    f" WHEN {_z} > {_x} THEN (1 - {_yy}) * {_corner(0,0,0)} + ({_yy} - {_z}) * {_corner(0,1,0)} + ({_z} - {_x}) * {_corner(0,1,1)} + {_x} * {_corner(1,1,1)}"
-    f" ELSE (1 - {_yy}) * {_corner(0,0,0)} + ({_yy} - {_x}) * {_corner(0,1,0)} + ({_x} - {_z}) * {_corner(1,1,0)} + {_z} * {_corner(1,1,1)} END END"
-)
+#: A table of 17 a side whose outputs bend differently along each axis: whole numbers i, j, k of a place in, components out.
+SIDE = 17
+_TABLE = [((2 * i + 3 * j + i * j) / 336.0, (j * j + k) / 272.0, 1 - (i + 4 * k) / 80.0) for k in range(SIDE) for j in range(SIDE) for i in range(SIDE)]
+_PLACES = {c: f"({c} * 16 / 65536.0::DOUBLE)" for c in "rgb"}
+_LUT = "lu AS (SELECT frame, y, x, r, g, b, " + ", ".join(f"floor({e}) AS i{c}, least(floor({e}) + 1, 16) AS j{c}, {e} - floor({e}) AS f{c}" for c, e in _PLACES.items()) + " FROM rgb)"
+
+
+def _corner(which: str, out: int) -> str:
+    """The table's entry at a corner of the cell; which holds, for r, g and b, i (this side) or j (the next)."""
+    i, j, k = (f"{w}{c}" for w, c in zip(which, "rgb"))
+    return (f"((2 * {i} + 3 * {j} + {i} * {j}) / 336.0::DOUBLE)", f"(({j} * {j} + {k}) / 272.0::DOUBLE)", f"(1 - ({i} + 4 * {k}) / 80.0::DOUBLE)")[out]
+
+
+def _path_sql(order: tuple[int, int, int], out: int) -> str:
+    at, before = ["i"] * 3, _corner("iii", out)
+    total = before
+    for axis in order:
+        at[axis] = "j"
+        here = _corner("".join(at), out)
+        total, before = f"{total} + f{'rgb'[axis]} * ({here} - {before})", here
+    return f"({total})"
+
+
+def _tetrahedral_sql(out: int) -> str:
+    orders = [((0, 1, 2), "fr >= fg AND fg >= fb"), ((0, 2, 1), "fr >= fb AND fb >= fg"), ((1, 0, 2), "fg >= fr AND fr >= fb"), ((1, 2, 0), "fg >= fb AND fb >= fr"), ((2, 0, 1), "fb >= fr AND fr >= fg")]
+    return "CASE " + " ".join(f"WHEN {when} THEN {_path_sql(order, out)}" for order, when in orders) + f" ELSE {_path_sql((2, 1, 0), out)} END"
 
 
-@query("p22_cube_lut_3d", with_rgb(f"SELECT frame, y, x, {r6(_tet)} AS v FROM rgb"))
+def _trilinear_sql(out: int) -> str:
+    corners = [("".join(w), " * ".join(f"f{c}" if v == "j" else f"(1 - f{c})" for v, c in zip(w, "rgb"))) for w in itertools.product("ij", repeat=3)]
+    return "(" + " + ".join(f"{weight} * {_corner(w, out)}" for w, weight in corners) + ")"
+
+
+def _mixed_sql(found: str, c: str, strength: float) -> str:
+    return trunc(f"round({c} * CAST({1 - strength!r} AS DOUBLE) + {clamp(trunc(f'round({found} * 65535.0, 6)'))} * CAST({strength!r} AS DOUBLE), 6)")
+
+
+def _cube_query(sql, strength: float) -> str:
+    return f"WITH {RGB}, {_LUT} SELECT frame, y, x, {', '.join(f'{_mixed_sql(sql(k), c, strength)} AS {c}' for k, c in enumerate('rgb'))} FROM lu"
+
+
+@query("p22_cube_lut_3d", _cube_query(_tetrahedral_sql, 0.75))
 def p22c(spark, sf):
-    """Three-dimensional table with tetrahedral interpolation: the order of the fractions picks the path through the cell."""
-    from ..operators import cube
+    """A three-dimensional table of 17 a side, tetrahedral, mixed by a strength; the table is shared once and looked up batch by batch."""
+    return cube.apply(T.rgb(spark, sf), _TABLE, SIDE, strength=0.75)
+
 
-    n = 4
-    table = [(2 * r + 3 * g + 5 * b + r * g) / 39.0 for r in range(n) for g in range(n) for b in range(n)]
-    v = cube.tetrahedral([F.col(c) / F.lit(65536.0) * (n - 1) for c in "rgb"], table, n)
-    return T.rgb(spark, sf).select("frame", "y", "x", (F.round(v, 6) + 0.0).alias("v"))
+@query("p22_cube_lut_trilinear", _cube_query(_trilinear_sql, 1.0))
+def p22t(spark, sf):
+    return cube.apply(T.rgb(spark, sf), _TABLE, SIDE, method="trilinear")
 
 
 @query("sc16_pixel_map_edit", "SELECT y, x FROM (SELECT (p_partkey * 7) % 600 AS y, (p_partkey * 11) % 900 AS x FROM part) GROUP BY ALL HAVING (y, x) NOT IN (SELECT (s_suppkey * 7) % 600, (s_suppkey * 11) % 900 FROM supplier)")

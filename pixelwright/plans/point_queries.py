@@ -65,7 +65,9 @@ def p2(spark, sf):
 def p3(spark, sf):
     """By bit depth, and by each frame's own range (one row per frame, so no second pass over pixels)."""
     f = T.frames(spark, sf)
-    own = F.transform("data", lambda v: F.floor((v - F.array_min("data")) * F.lit(16383.0) / (F.array_max("data") - F.array_min("data"))))
+    ends = lambda data: F.struct(data.alias("v"), F.array_min(data).alias("lo"), F.array_max(data).alias("hi"))
+    stretched = lambda s: F.transform(s["v"], lambda v: F.floor((v - s["lo"]) * F.lit(16383.0) / (s["hi"] - s["lo"])))
+    own = X.bound(X.bound(F.col("data"), ends), stretched)
     both = f.withColumn("data", F.arrays_zip(F.col("data").alias("v"), own.alias("s")))
     d = T.to_long(both)
     return d.select("frame", "y", "x", X.restricted_range(F.col("val.v"), 2048, 14000, 0).alias("val"), F.col("val.s").alias("stretched"))
@@ -110,21 +112,25 @@ def p6(spark, sf):
     return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (F.round(t, 6) + 0.0).alias("tint"), *[(F.round(g, 6) + 0.0).alias(n) for g, n in zip(out, "rgb")])
 
 
-#: A synthetic camera and adaptation chain; real ones come from a camera table.
+#: A synthetic camera (XYZ to its colours) and the linear sRGB gamut; real cameras come from a camera table.
 CAMERA = [0.8, 0.15, 0.05, 0.25, 0.7, 0.05, 0.02, 0.18, 0.8]
-ADAPT = [1.05, 0.0, 0.0, 0.0, 0.98, 0.0, 0.0, 0.0, 1.1]
-GAMUT = [1.6, -0.4, -0.2, -0.3, 1.4, -0.1, 0.0, -0.2, 1.2]
-CHAIN = X.compose(GAMUT, ADAPT, CAMERA)
+GAMUT = [3.2404542, -1.5371385, -0.4985314, -0.9692660, 1.8760108, 0.0415560, 0.0556434, -0.2040259, 1.0572252]
+BALANCE, CHAIN = X.white_balance(4300.0, 2.5, KNOTS, CAMERA, GAMUT)
 
 
 def _matrix_sql(m, c=("r", "g", "b")):
     return ["(" + " + ".join(f"{n} * CAST({float(k)!r} AS DOUBLE)" for k, n in zip(m[3 * i : 3 * i + 3], c) if k) + ")" for i in range(3)]
 
 
-@query("p7_p8_color_matrix", with_rgb(_rgbq(*[clamp(trunc(e)) for e in _matrix_sql(CHAIN)])))
+_balanced = [clamp(trunc(f"round({c} * CAST({g!r} AS DOUBLE), 6)")) for c, g in zip("rgb", BALANCE)]
+
+
+@query("p7_p8_color_matrix", with_rgb("SELECT frame, y, x, " + ", ".join(f"{clamp(trunc(f'round({e}, 6)'))} AS {n}" for e, n in zip(_matrix_sql(CHAIN), "rgb")) + f" FROM (SELECT frame, y, x, {', '.join(f'{e} AS {n}' for e, n in zip(_balanced, 'rgb'))} FROM rgb) q"))
 def p8(spark, sf):
-    """The white-balance chain is composed on the driver into one matrix."""
-    return _rgb(spark, sf, [X.clamp16(X.trunc(c)) for c in X.matrix((R(), G(), B()), CHAIN)])
+    """White balance at 4300 K with a tint: gains, then camera to XYZ, adaptation in cone space and the gamut as one matrix made on the driver."""
+    step = lambda c: X.clamp16(X.trunc(F.round(c, 6)))
+    balanced = T.rgb(spark, sf).select("frame", "y", "x", *[step(F.col(c) * F.lit(g)).alias(c) for c, g in zip("rgb", BALANCE)])
+    return balanced.select("frame", "y", "x", *[step(c).alias(n) for c, n in zip(X.matrix((R(), G(), B()), CHAIN), "rgb")])
 
 
 def _gamut_sql(knee: float = 0.5):

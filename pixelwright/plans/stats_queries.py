@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from .. import tables as T
 from ..functions import exprs as X
 from ..operators import stats as A
-from ..operators import stencil as S
+from ..operators import whitebalance
 from .common import DENSE, PX, RGB, clamp, r6, trunc, with_dense, with_index, with_px, with_rgb
+from .point_queries import KNOTS
 from .registry import query
 
 _b, _w = 2048 << 2, int((15000 << 2) * 0.993)
@@ -218,18 +219,26 @@ def a23(spark, sf):
     return A.neighbourhood_mean(T.rgb(spark, sf), points, radius=10)
 
 
-_wr, _wb = "(sr * (1.0 + t / 20.0))", "(sb * (3.0 - t / 20.0) + i / 10.0 * 100)"
+def _gain24(c: int) -> str:
+    d = lambda v: f"CAST({v!r} AS DOUBLE)"
+    cases = " ".join(f"WHEN k < {d(hi[0])} THEN {d(lo[c])} * (({d(hi[0])} - k) / {d(hi[0] - lo[0])}) + {d(hi[c])} * (1.0 - ({d(hi[0])} - k) / {d(hi[0] - lo[0])})" for lo, hi in zip(KNOTS, KNOTS[1:]))
+    return f"(CASE {cases} ELSE {d(KNOTS[-1][c])} END)"
 
 
-@query("a24_white_balance_picker", with_rgb(f"SELECT frame, t, i, round(delta, 4) AS delta FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY delta, t, i) AS k FROM (SELECT frame, t, i, round(abs({_wr} - sg) + abs(sg - {_wb}) + abs({_wr} - {_wb}), 4) AS delta FROM (SELECT frame, avg(r) AS sr, avg(g) AS sg, avg(b) AS sb FROM rgb GROUP BY frame), (SELECT unnest(range(0, 40)) AS t), (SELECT unnest(range(-5, 6)) AS i))) WHERE k = 1"))
+_A24 = f"""grid AS (SELECT k, i, g1 + t / 19.0::DOUBLE AS a, g2 AS b, g3 + t / 11.0::DOUBLE AS c FROM (SELECT CAST(k AS DOUBLE) AS k, i, {_gain24(1)} AS g1, {_gain24(2)} AS g2, {_gain24(3)} AS g3, sign(i / 10.0::DOUBLE) * pow(abs(i / 10.0::DOUBLE / 10.0::DOUBLE), 1.75) * 10.0 AS t FROM (SELECT unnest(range(2300, 10001, 10)) AS k), (SELECT unnest(range(-100, 101)) AS i))),
+gains AS (SELECT k, i, a / least(a, b, c) AS ga, b / least(a, b, c) AS gb, c / least(a, b, c) AS gc FROM grid),
+curve AS (SELECT list(CAST(trunc(round(pow(v / 65535.0::DOUBLE, 1 / 2.2::DOUBLE) * 65535.0::DOUBLE, 6)) AS BIGINT) ORDER BY v) AS cv FROM (SELECT unnest(range(0, 65536)) AS v)),
+mean AS (SELECT frame, CAST(sum(r) AS BIGINT) // count(*) AS r, CAST(sum(g) AS BIGINT) // count(*) AS g, CAST(sum(b) AS BIGINT) // count(*) AS b FROM rgb GROUP BY frame),
+lit AS (SELECT frame, k, i, cv[CAST(least(trunc(round(ga * r, 6)), 65535) AS INT) + 1] AS x, cv[CAST(least(trunc(round(gb * g, 6)), 65535) AS INT) + 1] AS y, cv[CAST(least(trunc(round(gc * b, 6)), 65535) AS INT) + 1] AS z FROM mean, gains, curve),
+best AS (SELECT frame, min(struct_pack(d := abs(x - y) + abs(y - z) + abs(x - z), k := k, i := i)) AS m FROM lit GROUP BY frame)
+SELECT frame, CAST(m.k AS BIGINT) AS kelvin, m.i AS tint, m.d AS delta FROM best"""
+
+
+@query("a24_white_balance_picker", f"WITH {RGB}, {_A24}")
 def a24(spark, sf):
-    """Arg-min over a fixed grid of temperatures and tints, first win; pixels are aggregated before the grid."""
-    s = T.rgb(spark, sf).groupBy("frame").agg(*[F.avg(c).alias(f"s{c}") for c in "rgb"])
-    grid = F.broadcast(spark.range(40).select(F.col("id").alias("t")).crossJoin(spark.range(-5, 6).select(F.col("id").alias("i"))))
-    red, blue = F.col("sr") * (1.0 + F.col("t") / 20.0), F.col("sb") * (3.0 - F.col("t") / 20.0) + F.col("i") / 10.0 * 100
-    delta = F.round(F.abs(red - F.col("sg")) + F.abs(F.col("sg") - blue) + F.abs(red - blue), 4)
-    best = s.crossJoin(grid).groupBy("frame").agg(F.min(F.struct(delta.alias("delta"), "t", "i")).alias("m"))
-    return best.select("frame", "m.t", "m.i", "m.delta")
+    """Arg-min over 771 temperatures and 201 tints, first win, per frame's mean colour (21 x 21 around a pixel is more than these frames have)."""
+    mean = [X.idiv(F.sum(c), F.count(F.lit(1))).alias(c) for c in "rgb"]
+    return whitebalance.pick(T.rgb(spark, sf).groupBy("frame").agg(*mean), KNOTS, 2.2)
 
 
 @query("a25_exposure_alternation", with_px(f"SELECT frame, {r6('CAST(next AS DOUBLE) / total')} AS ratio, CAST(next AS DOUBLE) / total NOT BETWEEN 0.7 AND 1.3 AS alternates FROM (SELECT frame, total, lead(total) OVER (PARTITION BY frame // 2 ORDER BY frame) AS next FROM (SELECT frame, CAST(sum(val) AS BIGINT) AS total FROM px GROUP BY frame)) WHERE next IS NOT NULL"))
@@ -261,10 +270,9 @@ def a30(spark, sf):
     return cuts.groupBy("clip").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("frames"))
 
 
-@query("sk2_frame_average", with_px("SELECT y, x, (CAST(sum(val) AS BIGINT) + count(*) // 2) // count(*) AS val FROM px WHERE frame BETWEEN 10 AND 200 GROUP BY ALL"))
+@query("sk2_frame_average", with_px("SELECT y, x, (CAST(sum(val) AS BIGINT) + count(*) // 2) // count(*) AS val FROM px GROUP BY ALL"))
 def sk2(spark, sf):
-    f = T.frames(spark, sf).where(F.col("frame").between(10, 200))
-    return T.to_long(f).groupBy("y", "x").agg(X.idiv(F.sum("val") + X.idiv(F.count(F.lit(1)), 2), F.count(F.lit(1))).alias("val"))
+    return T.to_long(T.frames(spark, sf)).groupBy("y", "x").agg(X.idiv(F.sum("val") + X.idiv(F.count(F.lit(1)), 2), F.count(F.lit(1))).alias("val"))
 
 
 @query("exposure_match_gain", with_px(f"SELECT frame, {r6('(md - mb * 0.25)')} AS offset, CAST(count(*) AS BIGINT) AS pairs FROM (SELECT frame, CAST(quantile_disc(CASE WHEN y % 4 < 2 THEN val END, 0.5) AS DOUBLE) AS mb, CAST(quantile_disc(CASE WHEN y % 4 >= 2 THEN val END, 0.5) AS DOUBLE) AS md FROM px GROUP BY frame) GROUP BY frame, md, mb"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import tables as T
 from ..functions import exprs as X
-from ..operators import kernels, repair
+from ..operators import kernels, layers, repair
 from ..operators import stencil as S
 from .common import DENSE, at, at_zero, clamp, trunc, with_dense, with_px, with_rgb
 from .registry import query
@@ -164,27 +164,44 @@ def w6(spark, sf):
 
 @query("w9_chroma_smooth")
 def w9(spark, sf):
-    return T.to_long(kernels.chroma_smooth(T.frames(spark, sf), black=2048, white=15000))
+    """All three sizes on frames of 16 x 16; one Arrow kernel per frame."""
+    f = T.tiled(spark, sf)
+    made = [T.to_long(kernels.chroma_smooth(f, black=2048, white=15000, size=size)).withColumn("size", F.lit(size)) for size in kernels.CHROMA]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @query("w14_recursive_bilateral")
 def w14(spark, sf):
-    return T.to_long(kernels.recursive_bilateral(T.frames(spark, sf), sigma_space=0.0005, sigma_range=0.15, top=16383))
+    """Three channels with one joint distance."""
+    out = kernels.joint_bilateral(T.rgb_frames(spark, sf), sigma_space=0.0005, sigma_range=0.15, top=65535)
+    return T.to_long(out.withColumn("data", F.arrays_zip("r", "g", "b"))).select("frame", "y", "x", "val.*")
 
 
 @query("w16_edge_clamp")
 def w16(spark, sf):
-    return T.to_long(kernels.edge_clamp(T.frames(spark, sf), threshold=1500))
+    """Red and blue within what green's edges allow."""
+    out = kernels.guided_clamp(T.rgb_frames(spark, sf), threshold=6000)
+    return T.to_long(out.withColumn("data", F.arrays_zip("r", "g", "b"))).select("frame", "y", "x", "val.*")
 
 
 @query("w19_alias_map")
 def w19(spark, sf):
-    return T.to_long(kernels.alias_map(T.frames(spark, sf)))
+    """Of frames of 16 x 16 against their blurred selves, where the light is low."""
+    f = T.tiled(spark, sf)
+    half = S.box_blur(f, 1).select("frame", F.col("data").alias("g"))
+    return T.to_long(kernels.alias_map(f.withColumnRenamed("data", "r").join(half, "frame").withColumn("b", F.transform("r", lambda v: F.lit(2049).cast("long") + v % 16)), black=2048, noise=100))
 
 
 @query("w23_resize")
 def w23(spark, sf):
-    return T.to_long(kernels.resize(T.frames(spark, sf), 5, 6))
+    return T.to_long(kernels.resize_fine(T.frames(spark, sf), 5, 6, top=16383))
+
+
+@query("sk13_blend_export", with_dense("SELECT frame, 5 - y AS y, x, CAST(trunc(least(greatest(round(val / CAST(12000 AS DOUBLE) * (16384 - 2048) + 2048, 6), 0.0), 16384.0)) AS BIGINT) AS val FROM pd WHERE y < 6"))
+def sk13(spark, sf):
+    """Blended frames of 8 x 7, cut to whole cells, turned upside down and mapped to the sensor's range."""
+    f = T.frames(spark, sf).select("frame", F.lit(7).alias("h"), "w", F.transform(F.slice("data", 1, 56), lambda v: v / F.lit(12000.0)).alias("data"))
+    return T.to_long(layers.blend_export(f, black=2048, bits=14))
 
 
 @query("a22_color_binning", with_px("SELECT frame, y // 4 AS y, x // 4 AS x, CAST((y % 2) * 2 + x % 2 AS BIGINT) AS plane, CAST(sum(val) AS BIGINT) // 4 AS binned, max(CASE WHEN y % 4 < 2 AND x % 4 < 2 THEN val END) AS skipped FROM px GROUP BY ALL"))

@@ -64,6 +64,21 @@ def rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("frame", idiv(pos, half).alias("y"), F.pmod(pos, F.lit(half)).alias("x"), "c.*")
 
 
+def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The colour frames, dense: arrays r, g and b a frame."""
+    g = rgb(spark, sf_dir).groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("s"))
+    half = F.lit(SIDE // 2)
+    return g.select("frame", half.alias("h"), half.alias("w"), *[F.transform("s", lambda v, c=c: v[c]).alias(c) for c in "rgb"])
+
+
+def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of 16 x 16: four of 8 x 8 whose numbers follow each other, where all four are there."""
+    key = idiv(F.col("frame"), 4)
+    g = frames(spark, sf_dir).groupBy(key.alias("frame")).agg(F.transform(F.sort_array(F.collect_list(F.struct("frame", "data"))), lambda s: s["data"]).alias("fs")).where(F.size("fs") == 4)
+    row = lambda y: F.concat(*[F.slice(F.get("fs", (F.floor(y / SIDE) * 2 + k).cast("int")), y % SIDE * SIDE + 1, SIDE) for k in (0, 1)])
+    return g.select("frame", F.lit(2 * SIDE).alias("h"), F.lit(2 * SIDE).alias("w"), F.flatten(F.transform(F.sequence(F.lit(0), F.lit(2 * SIDE - 1)), row)).alias("data"))
+
+
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frame index: event_id as frame number, ts as its time in microseconds, kind and size."""
     e = table(spark, sf_dir, "events")

@@ -60,9 +60,9 @@ def test_kernels_by_numpy(dense):
                     b += 1
                 run = np.sort(src[k][y, a : b + 1])
                 assert f[y, x] == run[(len(run) - 1) // 2]
-    same = frames(kernels.resize(dense, 6, 7))
+    same = frames(kernels.resize_fine(dense, 6, 7))
     assert all((f == src[k]).all() for k, f in same.items())
-    half = frames(kernels.resize(dense.where("frame = 9"), 3, 3))[9]
+    half = frames(kernels.resize_fine(dense.where("frame = 9"), 3, 3))[9]
     assert half.shape == (3, 3) and (half == 5000).all()
     for k, f in frames(kernels.edge_clamp(dense, 20000)).items():
         assert (f == src[k]).all()
