@@ -21,10 +21,14 @@ index is at least 0.8. The join is exact; no candidate, partner or bucket is cap
    the remaining lengths can no longer reach the threshold, or all its sets are already known
    to be in the walker's component. Groups give forests of links, not all pairs.
 4. A group of more than CHUNK shingles or CHUNK_ROWS classes is dealt out by hash to chunks; each
-   chunk is joined in itself and with a few pivots of the group. Then every class outside the
-   group's largest component meets every chunk: what remains unlinked after the first step is
-   compared with everything, so this is exact, too, and a huge group of near copies costs little
-   more than its size. Rows of a group meet its figures by group and salt.
+   chunk is joined in itself and with a few pivots of the group, so a huge group of near copies
+   costs little more than its size. Any link still missing has an end outside the group's largest
+   component. Where few classes are outside, they meet every chunk. Where that would be more rows
+   than DEALT times the group, the group is keyed again by itself: its shingles are counted
+   within the group, each class sends those of its first ones in the order of these counts that
+   are not its own alone, and the classes that meet in one form smaller groups, which are treated
+   alike (and there the few meet every chunk). Both ways are exact. Rows of a group meet its
+   figures by group and salt.
 5. Links are between the classes' least doc_ids; components come from alternating stars, whose
    roots are the least doc_ids and so the components' ids.
 
@@ -50,14 +54,16 @@ from .components import components
 WORDS = 5
 #: The threshold as a fraction: 100 * intersection >= 80 * union, so 9 * intersection >= 4 * (sizes together).
 NUMERATOR, DENOMINATOR = 4, 5
-#: Two fixed-size tables of bits say which shingles are shared by several classes, and which by at least COMMON.
-SHARED_BITS = 1 << 27
-COMMON_BITS = 1 << 24
+#: Two tables of bits say which shingles are shared by several classes, and which by at least COMMON. The first has a bit
+#: for each shingle of the corpus, within these bounds (2 and 128 MB); the second, an eighth of that, is at most an eighth full.
+LEAST_BITS, MOST_BITS = 1 << 24, 1 << 30
 COMMON = 48
 #: Shingles, and classes, of one chunk of a group.
 CHUNK = 1 << 21
 CHUNK_ROWS = 512
 PIVOTS = 8
+#: Rows that classes outside the largest component may make in a group's chunks, as a multiple of its classes.
+DEALT = 4
 #: A large group's rows are dealt out to so many tasks where they meet its figures.
 SALTS = 64
 #: Bytes of input for each target of counted shingles; and the most targets.
@@ -187,6 +193,8 @@ def _tables(targets: int, shared_bits: int, common_bits: int, common_from: int):
             made = []
             for bits, least in ((shared_bits, 2), (common_bits, common_from)):
                 part = _part(bits, targets)
+                if least > 2 and (counts >= least).sum() > part // 8:
+                    least = int(np.partition(counts, -(part // 8))[-(part // 8)]) + 1
                 flags = np.zeros(part, bool)
                 flags[(keys[counts >= least].astype(np.uint64) * np.uint64(part) >> np.uint64(32)).astype(np.int64)] = True
                 made.append(np.packbits(flags, bitorder="little").tobytes())
@@ -456,7 +464,7 @@ def _gather(parts: DataFrame, targets: int, *bits: int) -> list[np.ndarray]:
     return tables
 
 
-def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CHUNK_ROWS, common_from: int = COMMON, shared_bits: int = SHARED_BITS, common_bits: int = COMMON_BITS) -> DataFrame:
+def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CHUNK_ROWS, common_from: int = COMMON, shared_bits: int | None = None, common_bits: int | None = None, dealt: int = DEALT) -> DataFrame:
     """docs: doc_id, text. Per row: doc_id, n_shingles, component_id. The other parameters steer the work, not the result."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -464,38 +472,94 @@ def similar_components(docs: DataFrame, chunk: int = CHUNK, chunk_rows: int = CH
     targets = min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // TARGET_BYTES), MOST_TARGETS)
 
     scanned = materialize(docs.select("doc_id", utf8("text").alias("_bytes")).mapInArrow(_summary(targets, common_from), "doc_id long, n long, d long, target int, packed binary"), "sets")
-    summary = scanned.where("target is null").select("doc_id", "n", "d")
+    summary = materialize(scanned.where("target is null").select("doc_id", "n", "d"), "summary")
+    shingles_ = summary.agg(F.sum("n")).first()[0] or 0
+    shared_bits = shared_bits or min(max(LEAST_BITS, 1 << int(shingles_).bit_length()), MOST_BITS)
+    common_bits = common_bits or shared_bits // 8
     counted = scanned.where("target is not null").select("target", "packed").repartition("target").sortWithinPartitions("target")
     tables = spark.sparkContext.broadcast(_gather(counted.mapInArrow(_tables(targets, shared_bits, common_bits, common_from), "target int, shared binary, common binary"), targets, shared_bits, common_bits))
-
-    summary = materialize(summary, "summary")
     drop_files(scanned)  # the packed shingles are as large as the texts
 
     postings = materialize(docs.select(utf8("text").alias("_bytes")).mapInArrow(_postings(targets, shared_bits, common_bits, tables), "key long, n long, d long"), "postings")
-    groups = materialize(_groups(postings), "groups")
-    drop_files(postings)
     classes = summary.where("n > 0").groupBy("d").agg(F.min("doc_id").alias("rep"))
+    edges, done = _linked(postings, docs, classes, None, chunk, chunk_rows, dealt)
+    labels = components(edges)
+    for table_ in done:
+        drop_files(table_)
+
+    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d", F.coalesce("root", "rep").alias("component_id"))
+    return (
+        summary.join(by_class, "d", "left")
+        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    )
 
+
+def _linked(postings: DataFrame, docs: DataFrame, classes: DataFrame, known: DataFrame | None, chunk: int, chunk_rows: int, dealt_most: int | None) -> tuple[DataFrame, list[DataFrame]]:
+    """All links between classes that share a posting's key, besides those known, and the tables written meanwhile.
+
+    With ``dealt_most`` None, classes outside the largest component meet every chunk, however many they are.
+    """
+    groups = materialize(_groups(postings), "groups")
+    drop_files(postings)
     more = F.greatest(F.sum("n") / chunk, F.count(F.lit(1)) / chunk_rows).cast("int")
     large = groups.groupBy("leader").agg(more.alias("more")).where("more > 0")
     dealt = _with_figures(groups.withColumn("h", F.xxhash64("member")), large, "left").withColumn("more", F.coalesce("more", F.lit(0)))
     edges, used = _links(_first_deal(dealt), docs, classes, all_documents=True)
+    done = [groups, edges, *used]
+    if known is not None:
+        edges = edges.unionByName(known)
+    large_rows = dealt.where("more > 0")
+    if not large_rows.limit(1).count():
+        return edges, done
     labels = components(edges)
-    again, marked = _second_deal(dealt.where("more > 0").join(classes, dealt["member"] == classes["d"]), labels)
-    done = [groups, again, marked, edges, *used]
+    outside, marked = _outside(large_rows.join(classes, dealt["member"] == classes["d"]), labels)
+    drop_files(labels)
+    done += [outside, marked]
+    costly = F.lit(False) if dealt_most is None else F.col("n_outside") * (F.col("more") + 1) > F.lit(dealt_most) * F.col("members")
+    again = materialize(_second_deal(outside.where(~costly)), "again")
+    done.append(again)
     if again.limit(1).count():
         found, used = _links(again, docs, classes, all_documents=False)
-        drop_files(labels)
         done += [found, *used]
-        labels = components(edges.unionByName(found))
-    for table_ in done:
-        drop_files(table_)
+        edges = edges.unionByName(found)
+    if dealt_most is not None:
+        rest = outside.where(costly).select("leader", "member")
+        if rest.limit(1).count():
+            edges, used = _linked(_keyed_again(rest, docs, classes), docs, classes, edges, chunk, chunk_rows, None)
+            done += used
+    return edges, done
 
-    by_class = classes.join(labels, classes["rep"] == labels["node"], "left").select("d", F.coalesce("root", "rep").alias("component_id"))
-    return (
-        summary.join(by_class, "d", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-    )
+
+def _keyed_again(members: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings (key, n, d) of groups by the counts of their shingles within the group; members: leader, member.
+
+    Shingles of one class come first and link nothing; the others follow by count, so that what
+    all share comes last. A group's shingles are as many as its texts', and are written once.
+    """
+    named = materialize(members.join(classes.select(F.col("d").alias("member"), "rep"), "member"), "rekeyed")
+    rows = docs.select(F.col("doc_id").alias("rep"), utf8("text").alias("_bytes")).join(named, "rep").select("leader", "member", "_bytes")
+    items = materialize(rows.mapInArrow(_items, "leader long, d long, n long, key long").distinct(), "items")
+    counts = items.groupBy("leader", "key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    shared = items.join(counts, ["leader", "key"]).groupBy("leader", "d", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("k"))
+    first = F.col("n") - F.ceil(F.col("n") * F.lit(NUMERATOR) / F.lit(DENOMINATOR)) + 1 - (F.col("n") - F.size("k"))
+    keys = shared.select("leader", "n", "d", F.explode(F.slice("k", F.lit(1), F.greatest(first, F.lit(0)).cast("int"))).alias("k"))
+    postings = materialize(keys.select(F.xxhash64("leader", "k.key").alias("key"), "n", "d"), "postings-again")
+    drop_files(items)
+    drop_files(named)
+    return postings
+
+
+def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(leader, class, size, shingle) of each member of a group."""
+    for batch in batches:
+        for leader, member, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            s = shingles(text.as_py())
+            if digest(s) != member:  # another row with the same id
+                continue
+            for start in range(0, len(s), BUFFER):
+                part = s[start : start + BUFFER].view(np.int64)
+                fixed = [pa.array(np.full(len(part), v, np.int64)) for v in (leader, member, len(s))]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(part)], names=["leader", "d", "n", "key"])
 
 
 def _with_figures(rows: DataFrame, figures: DataFrame, how: str = "inner") -> DataFrame:
@@ -516,18 +580,24 @@ def _first_deal(dealt: DataFrame) -> DataFrame:
     return own.unionByName(copies).distinct().select("leader", "chunk", F.lit(True).alias("whole"), "member", F.lit(True).alias("walker"))
 
 
-def _second_deal(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For groups in several chunks: every class outside the group's largest component so far walks in every chunk. And the written table behind it."""
+def _outside(large: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Groups in several chunks with more than one component so far: leader, member, more, h, out (outside the largest), members, n_outside. And the table behind it."""
     marked = large.join(labels, large["rep"] == labels["node"], "left").select("leader", "member", "more", "h", F.coalesce("root", "rep").alias("root"))
     marked = materialize(marked, "marked")
     by_root = marked.groupBy("leader", "root").agg(F.count(F.lit(1)).alias("c"))
-    largest = by_root.groupBy("leader").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    some = _with_figures(marked, largest)
+    largest = by_root.groupBy("leader").agg(F.max(F.struct("c", "root")).alias("m"), F.sum("c").alias("members")).where("m.c < members")
+    figures = largest.select("leader", F.col("m.root").alias("main"), "members", (F.col("members") - F.col("m.c")).alias("n_outside"))
+    found = _with_figures(marked, figures).select("leader", "member", "more", "h", (F.col("root") != F.col("main")).alias("out"), "members", "n_outside")
+    return materialize(found, "outside"), marked
+
+
+def _second_deal(some: DataFrame) -> DataFrame:
+    """Every class outside its group's largest component walks in every chunk of the group."""
     chunks = F.explode(F.sequence(F.lit(0), F.col("more"))).alias("chunk")
-    walkers = some.where("root <> main").select("leader", chunks, "member", F.lit(True).alias("walker"))
+    walkers = some.where("out").select("leader", chunks, "member", F.lit(True).alias("walker"))
     stay = some.select("leader", F.pmod("h", F.col("more") + 1).cast("int").alias("chunk"), "member", F.lit(False).alias("walker"))
     every = stay.unionByName(walkers).groupBy("leader", "chunk", "member").agg(F.max("walker").alias("walker"))
-    return materialize(every.select("leader", "chunk", F.lit(False).alias("whole"), "member", "walker"), "again"), marked
+    return every.select("leader", "chunk", F.lit(False).alias("whole"), "member", "walker")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
