@@ -292,5 +292,5 @@ def lanczos(n: int, m: int, lobes: int = 3) -> np.ndarray:
 
 def resize_fine(df: DataFrame, height: int, width: int, top: int = 65535) -> DataFrame:
     """High-quality resampling by a windowed sinc along both axes."""
-    return run(df, lambda f: np.clip(np.floor(lanczos(f.shape[0], height) @ f @ lanczos(f.shape[1], width).T + 0.5), 0, top).astype(np.int64))
+    return run(df, lambda f: np.clip(np.floor(np.round(lanczos(f.shape[0], height) @ f @ lanczos(f.shape[1], width).T, 6) + 0.5), 0, top).astype(np.int64))
 

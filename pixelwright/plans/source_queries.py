@@ -11,9 +11,9 @@ from .. import scratch
 from .. import tables as T
 from ..functions import exprs as X
 from ..functions import lang
-from ..sources import container, text_formats, trailer_container
+from ..sources import container, samples, stills, text_formats, trailer_container
 from ..streaming import playback
-from .common import r6, with_index, with_px
+from .common import r6, with_dense, with_index, with_px, with_rgb
 from .registry import query
 
 # -- tagged blocks -------------------------------------------------------------------------------
@@ -280,3 +280,55 @@ def pinv(spark, sf):
     v = [F.col(f"l_{c}") for c in ("quantity", "discount", "tax", "extendedprice")]
     out = [sum((x * row[k] for x, row in zip(v[1:], inverse[1:])), v[0] * inverse[0][k]) for k in range(3)]
     return T.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", *[(F.round(o, 4) + 0.0).alias(c) for o, c in zip(out, "rgb")])
+
+
+# -- single frames as files ------------------------------------------------------------------------
+
+_STILL = stills.Still(matrix=(0.8, -0.1, 0.05, -0.2, 1.1, 0.1, 0.0, 0.2, 0.7), neutral=(0.5, 1.0, 0.625), fps=23.976)
+_BACK = "frame long, h int, w int, data array<bigint>, bits long, black long, white long, timecode string, compression long"
+
+
+def _dng_back(files):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for frame, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                image, tags = stills.read_dng(content.as_py())
+                rows.append((frame, *image.shape, image.reshape(-1).tolist(), *(tags[t][0] for t in ("BitsPerSample", "BlackLevel", "WhiteLevel")), bytes(tags["TimeCodes"]).hex(), tags["Compression"][0]))
+            types = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * 9, types)], names=[f.split()[0] for f in _BACK.split(", ")])
+
+    return files.mapInArrow(run, _BACK)
+
+
+@query("sk4_dng_sequence", with_px("SELECT frame, y, x, val, CAST(14 AS BIGINT) AS bits, CAST(2048 AS BIGINT) AS black, CAST(15000 AS BIGINT) AS white, printf('%02d%02d%02d%02d', frame % 24, frame // 24 % 60, frame // 1440 % 60, frame // 86400 % 24) || '00000000' AS timecode, CAST(c AS BIGINT) AS compression FROM px, (VALUES (1), (7)) v(c)"))
+def sk4(spark, sf):
+    """Every frame as a DNG of packed samples and as one of lossless JPEG, and what a reader finds in them."""
+    f = T.frames(spark, sf)
+    both = stills.dng_files(f, _STILL).unionByName(stills.dng_files(f, _STILL, compressed=True))
+    return T.to_long(_dng_back(both), "bits", "black", "white", "timecode", "compression")
+
+
+@query("sk12_single_frame_png", with_rgb("SELECT frame, y, x, r, g, b FROM rgb"))
+def sk12(spark, sf):
+    """Every colour frame as a 16-bit PNG, and the image that a reader finds in it."""
+
+    def run(batches):
+        for batch in batches:
+            images = [stills.read_png(c.as_py())[0] for c in batch.column(1)]
+            planes = [pa.array([i[:, :, k].reshape(-1).tolist() for i in images], pa.list_(pa.int64())) for k in range(3)]
+            sizes = [pa.array([i.shape[k] for i in images], pa.int32()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *sizes, *planes], names=["frame", "h", "w", "r", "g", "b"])
+
+    back = stills.png_files(T.rgb_frames(spark, sf)).mapInArrow(run, "frame long, h int, w int, r array<bigint>, g array<bigint>, b array<bigint>")
+    return T.to_long(back.withColumn("data", F.arrays_zip("r", "g", "b"))).select("frame", "y", "x", "val.*")
+
+
+_BITS = "list_aggregate(list_transform(a, lambda v: lpad(bin(v), 14, '0')), 'string_agg', '')"
+
+
+@query("sk5_packed_bytes", with_dense(f"SELECT frame, list_aggregate(list_transform(range(0, 112), lambda k: printf('%02X', list_sum(list_transform(range(0, 8), lambda j: CASE substr(s, CAST((k // 2) * 16 + (1 - k % 2) * 8 + j + 1 AS BIGINT), 1) WHEN '1' THEN CAST(pow(2, 7 - j) AS INT) ELSE 0 END)))), 'string_agg', '') AS packed FROM (SELECT frame, {_BITS} AS s FROM d)"))
+def sk5(spark, sf):
+    """The payload's very bytes: 14-bit samples one after the other, in 16-bit words of which the low byte comes first."""
+    video = samples.as_blocks(T.frames(spark, sf), 14)
+    return video.select(F.col("ts").cast("long").alias("frame"), F.expr("right(hex(payload), 224)").alias("packed"))

@@ -156,7 +156,10 @@ def w22(spark, sf):
     return T.to_long(near.withColumn("data", made), "clip").select("frame", "clip", "y", "x", "val.*")
 
 
-@query("w6_edge_aware_blur")
+_run = "list_max(list_filter(range(0, x + 1), lambda k: k = 0 OR abs(r[k + 1] - r[k]) > 900))", "list_min(list_filter(range(x + 1, 9), lambda k: k = 8 OR abs(r[k + 1] - r[k]) > 900))"
+
+
+@query("w6_edge_aware_blur", with_dense(f"SELECT frame, y, x, s[(len(s) + 1) // 2] AS val FROM (SELECT frame, y, x, list_sort(r[first + 1 : last]) AS s FROM (SELECT frame, y, x, r, {_run[0]} AS first, {_run[1]} AS last FROM (SELECT frame, y, x, a[y * 8 + 1 : y * 8 + 8] AS r FROM pd)))"))
 def w6(spark, sf):
     """Medians over runs that end at edges: the extent depends on the data, so one Arrow kernel per frame."""
     return T.to_long(kernels.edge_aware_blur(T.frames(spark, sf), threshold=900, reach=25))
@@ -192,7 +195,11 @@ def w19(spark, sf):
     return T.to_long(kernels.alias_map(f.withColumnRenamed("data", "r").join(half, "frame").withColumn("b", F.transform("r", lambda v: F.lit(2049).cast("long") + v % 16)), black=2048, noise=100))
 
 
-@query("w23_resize")
+def _weights(n: int, m: int) -> str:
+    return ", ".join(f"({k}, {at}, CAST({float(v)!r} AS DOUBLE))" for k, row in enumerate(kernels.lanczos(n, m)) for at, v in enumerate(row))
+
+
+@query("w23_resize", with_px(f"SELECT frame, CAST(wy.k AS BIGINT) AS y, CAST(wx.k AS BIGINT) AS x, CAST(least(greatest(floor(round(sum(wy.v * wx.v * val), 6) + 0.5), 0), 16383) AS BIGINT) AS val FROM px JOIN (VALUES {_weights(8, 5)}) wy(k, i, v) ON wy.i = px.y JOIN (VALUES {_weights(8, 6)}) wx(k, i, v) ON wx.i = px.x GROUP BY frame, wy.k, wx.k"))
 def w23(spark, sf):
     return T.to_long(kernels.resize_fine(T.frames(spark, sf), 5, 6, top=16383))
 

@@ -68,7 +68,7 @@ def rgb_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The colour frames, dense: arrays r, g and b a frame."""
     g = rgb(spark, sf_dir).groupBy("frame").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("s"))
     half = F.lit(SIDE // 2)
-    return g.select("frame", half.alias("h"), half.alias("w"), *[F.transform("s", lambda v, c=c: v[c]).alias(c) for c in "rgb"])
+    return g.select("frame", half.alias("h"), half.alias("w"), *[F.col(f"s.{c}").alias(c) for c in "rgb"])
 
 
 def tiled(spark: SparkSession, sf_dir: str) -> DataFrame:
