@@ -1,5 +1,7 @@
 """Pages written and labelled by hand, in layouts that the page generator doesn't make."""
 
+from collections import Counter
+
 import pytest
 
 from pixelwright.llm import html_text
@@ -95,10 +97,10 @@ def test_blocks_of_a_layout(name):
 
 
 def test_all_layouts():
-    """Of all blocks, one at most gets the wrong label."""
+    """Of all blocks, one at most is missing or too much. Counted by text, since menu entries may read like headings."""
     wrong = total = 0
     for page, want in PAGES.values():
-        found = blocks(page)
-        wrong += sum((b.text in want) != label for b, label in zip(found, html_text.trained().decode(found)))
-        total += len(found)
+        got, wanted = Counter(html_text.trained().text(page).split("\n")), Counter(want)
+        wrong += (got - wanted).total() + (wanted - got).total()
+        total += len(blocks(page))
     assert total > 50 and wrong <= 1
