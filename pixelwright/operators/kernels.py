@@ -233,9 +233,9 @@ def guided_clamp(df: DataFrame, threshold: int) -> DataFrame:
     return run_rgb(df, kernel)
 
 
-#: The 37 places of a disc of same-colour samples, and weights in 1/1024 of the blur by offset (two pixels a step).
+#: The 37 places of a disc of same-colour samples. Terms of the blur, as offset (two pixels a step) and weight in 1/1024.
 DISC = [(2 * j, 2 * i) for j in range(-3, 4) for i in range(-3, 4) if abs(j) + abs(i) < 5]
-BLUR = {(0, 0): 1024, (0, 1): 820 + 421, (1, 1): 657 + 2 * 337 + 173, (0, 3): 139, (1, 3): 111 + 57}
+BLUR = ((0, 0, 1024), (0, 1, 820), (1, 1, 657), (0, 1, 421), (1, 1, 2 * 337), (1, 1, 173), (0, 3, 139), (1, 3, 111), (1, 3, 57))
 
 
 def build_alias_map(full: np.ndarray, half: np.ndarray, bright: np.ndarray, black: int, noise: int, most: int = 15000) -> np.ndarray:
@@ -257,7 +257,7 @@ def build_alias_map(full: np.ndarray, half: np.ndarray, bright: np.ndarray, blac
         ranked[6:-6, 6:-6] = np.sort(np.stack([part(out, *o) for o in DISC]), axis=0)[-5]
         ranked = np.where(inner, ranked, out)
         blurred = np.zeros((h - 12, w - 12), np.int64)
-        for (a, b), k in BLUR.items():
+        for a, b, k in BLUR:
             places = {(2 * s * y, 2 * t * x) for y, x in ((a, b), (b, a)) for s in (-1, 1) for t in (-1, 1)}
             blurred += sum(part(ranked, *o) for o in places) * k // 1024
         out[6:-6, 6:-6] = np.where(inner[6:-6, 6:-6], blurred, out[6:-6, 6:-6])

@@ -115,7 +115,7 @@ def test_alias_map_by_loops():
             if used[y][x]:
                 at = lambda dy, dx: ranked[y + dy][x + dx]
                 total = 0
-                for (p, q), k in kernels.BLUR.items():
+                for p, q, k in kernels.BLUR:
                     ring = {(s * 2 * u, t * 2 * v) for u, v in ((p, q), (q, p)) for s in (1, -1) for t in (1, -1)}
                     total += sum(at(*o) for o in ring) * k // 1024
                 out[y][x] = total
