@@ -191,7 +191,7 @@ def test_unlinked_texts_of_common_passages_take_linear_work(spark, monkeypatch):
     for n in (200, 800):
         texts = [" ".join([passages[0], *(passages[p] for p in r.sample(range(1, 60), 4))]) for _ in range(n)]
         docs = list(enumerate(texts))
-        got, rows = written_rows(monkeypatch, documents(spark, docs), chunk_rows=32, common_from=1 << 20)
+        got, rows = written_rows(monkeypatch, documents(spark, docs), chunk_rows=16, common_from=1 << 20)
         if n == 200:
             assert got == brute(docs)
         dealt[n] = rows.get("again", 0)
