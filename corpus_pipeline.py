@@ -10,26 +10,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pixelwright.llm import jaccard_join, langid, packing, quality
-from pixelwright.llm.common import drop_files, lean, materialize, tokenizer_path
+from pixelwright.llm.common import drop_files, lean, lean_reads, materialize, tokenizer_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known and clear."""
+    lean_reads(spark)
     return langid.stage(spark, docs, sf_dir)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    lean_reads(spark)
     return quality.stage(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked documents."""
+    lean_reads(spark)
     return jaccard_join.stage(spark, docs, sf_dir)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all remaining documents in training sequences."""
+    lean_reads(spark)
     lean(spark)
     return packing.pack(docs.select("doc_id", "text"), "doc_id", "text", tokenizer_path(packing.VOCABULARY))
 

@@ -79,6 +79,18 @@ def lean(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+#: Rows of texts that Spark's Parquet reader holds at once in each task, and bytes of input of a task, whose rows
+#: a Parquet writer may hold until the task ends; the planner's defaults of 4,096 rows and 128 MB are for narrow rows.
+READ_ROWS, TASK_BYTES = 256, "32m"
+
+
+def lean_reads(spark: SparkSession) -> None:
+    """Less memory a task for stages that read and write whole texts, unless the session sets its own."""
+    for name, usual, value in (("spark.sql.parquet.columnarReaderBatchSize", "4096", str(READ_ROWS)), ("spark.sql.files.maxPartitionBytes", "134217728b", TASK_BYTES)):
+        if spark.conf.get(name) == usual:
+            spark.conf.set(name, value)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or (local tests) a temporary one.
 

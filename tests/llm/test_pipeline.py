@@ -46,3 +46,28 @@ def test_registered(spark):
 
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(k.startswith(f"op{n}_") for k in names) for n in range(1, 11))
+
+
+LOW_HEAP = """
+import sys
+from pyspark.sql import SparkSession
+import corpus_pipeline as P
+spark = SparkSession.builder.master("local[1]").config("spark.driver.memory", "512m").config("spark.ui.enabled", "false").getOrCreate()
+out = P.quality_classifier(spark, spark.read.parquet(sys.argv[1]), sys.argv[2])
+out.write.mode("overwrite").format("noop").save()
+"""
+
+
+def test_long_texts_in_a_small_heap(spark, tmp_path):
+    """Thousands of long texts in one file: a reader's batch of 4,096 of them doesn't fit the heap. Without labels the stage keeps all rows."""
+    import subprocess
+    import sys
+
+    from pyspark.sql import functions as F
+
+    text = F.concat(F.col("id").cast("string"), F.repeat(F.lit(" a word and a line.\n"), 4000))
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.length(text).cast("long").alias("n_chars"))
+    docs.coalesce(1).write.parquet(path := f"{tmp_path}/documents.parquet")
+    table(spark, SF, "labels").where("false").write.parquet(f"{tmp_path}/labels.parquet")
+    ran = subprocess.run([sys.executable, "-c", LOW_HEAP, path, str(tmp_path)], cwd=P.__file__.rpartition("/")[0], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0, ran.stderr[-2000:]
