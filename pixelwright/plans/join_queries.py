@@ -157,12 +157,12 @@ _layers = "SELECT frame // 4 AS clip, y, x, frame % 4 AS layer, val / 16383.0 AS
 
 @query("e8_layer_compositing", with_px(f", l AS ({_layers}), s AS (SELECT clip, y, x, max(CASE WHEN layer = 0 THEN v END) AS v0, max(CASE WHEN layer = 1 THEN v END) AS v1, max(CASE WHEN layer = 2 THEN v END) AS v2, max(CASE WHEN layer = 3 THEN v END) AS v3, max(CASE WHEN layer = 1 THEN alpha END) AS a FROM l GROUP BY ALL) SELECT clip, y, x, {r6('v3 * a + abs((v1 * a + v0 * (1 - a)) - v2) * (1 - a)')} AS v FROM s").replace(") , l AS", "), l AS"))
 def e8(spark, sf):
-    """Layers with feathered edges over each other, one of them as a difference."""
+    """Four layers with feathered edges over each other, one of them as a difference; null where a clip lacks one."""
     y, x = F.col("y"), F.col("x")
     feather = F.least(F.least(x, 7 - x) / 3.0, F.lit(1.0)) * F.least(F.least(y, 7 - y) / 3.0, F.lit(1.0))
     layer = F.col("frame") % 4
     d = T.px(spark, sf).select(X.idiv(F.col("frame"), 4).alias("clip"), "y", "x", layer.alias("layer"), (F.col("val") / 16383.0).alias("v"), F.when(layer == 0, 1.0).otherwise(feather).alias("alpha"), (layer == 2).alias("difference"))
-    return J.composite(d, "clip", "y", "x").select("clip", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
+    return J.composite(d, "clip", "y", "x", count=4).select("clip", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
 
 
 @query("e9_canvas_extent", "SELECT p_brand, min(p_size) AS x0, max(p_size + p_partkey % 50) AS x1, min(p_partkey % 40) AS y0, max(p_partkey % 40 + p_size) AS y1 FROM part GROUP BY p_brand")

@@ -1,5 +1,6 @@
 """Every registered query of the frame engine: against its oracle, or at least rows and schema."""
 
+import duckdb
 import pytest
 
 from pixelwright.plans import registry
@@ -39,3 +40,13 @@ def test_filter_reaches_the_scan(spark):
 def test_frame_operators_do_not_shuffle(spark):
     for name in ("w1_box_blur", "w3_sobel", "w10_bilinear_demosaic", "p12_tone_curves", "a27_deflicker", "a3_lower_median"):
         assert "Exchange" not in QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layers_of_incomplete_clips(spark, tmp_path):
+    """Clips that lack a layer, one with a frame twice, one below zero: null, the largest and as the SQL says."""
+    frames = [0, 1, 2, 3, 3, 4, 5, 6, 9, 10, 11, 12, 14, 15, -1, -2, 21]
+    rows = [(i, [((i * 7 + n * 3 + p * 5) % 29) / 15 - 0.9 for p in range(64)], 0) for n, i in enumerate(frames)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
+    check(spark, con, QUERIES["e8_layer_compositing"], ORACLES["e8_layer_compositing"], str(tmp_path))
