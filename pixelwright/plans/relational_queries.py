@@ -58,9 +58,11 @@ def semi_anti(spark, sf):
 
 @query("r_range_join", "SELECT r.lo, count(*) AS n, round(sum(value), 4) AS total FROM events JOIN (SELECT unnest(range(0, 500, 50)) AS lo) r ON value >= r.lo AND value < r.lo + 50 GROUP BY r.lo")
 def range_join(spark, sf):
-    """Equal-width ranges become an equi-key."""
-    lo = (F.floor(F.col("value") / 50) * 50).alias("lo")
-    return T.table(spark, sf, "events").groupBy(lo).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Equal-width ranges become an equi-key; values outside all ten ranges join with none."""
+    e = T.table(spark, sf, "events").where("value >= 0 and value < 500")
+    near = F.floor(F.col("value") / 50) * 50
+    lo = F.when(F.col("value") < near, near - 50).otherwise(near).alias("lo")  # the division may round up to the next range
+    return e.groupBy(lo).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query("r_cube", "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(sum(l_quantity) AS BIGINT) AS qty FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")

@@ -50,3 +50,12 @@ def test_layers_of_incomplete_clips(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet/*.parquet'")
     check(spark, con, QUERIES["e8_layer_compositing"], ORACLES["e8_layer_compositing"], str(tmp_path))
+
+
+def test_ranges_at_their_bounds(spark, tmp_path):
+    """Values below, at, just below and beyond the bounds of the ranges, and none."""
+    values = [-0.5, -50.0, -0.0, 0.0, 49.99999999999999, 50.0, 149.99999999999997, 349.99999999999994, 350.0, 499.99999999999994, 500.0, 560.21, float("nan"), float("inf"), None]
+    spark.createDataFrame([(v,) for v in values], "value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    check(spark, con, QUERIES["r_range_join"], ORACLES["r_range_join"], str(tmp_path))
